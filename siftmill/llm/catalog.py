@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import simhash
+from siftmill.llm import chat, prefixprint, simhash, urlfilter
 from siftmill.llm.shared import table
 
 
@@ -14,5 +14,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
-ORACLES: dict[str, str] = {}
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in urlfilter.RULES) + " AS t(host, path, action)")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_url_filters": op3_url_filters,
+    "op9_chat_formatting": op9_chat_formatting,
+}
+ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL}
