@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import chat, prefixprint, simhash, urlfilter
+from siftmill.llm import chat, prefixprint, rules, simhash, urlfilter
 from siftmill.llm.shared import table
 
 
@@ -19,18 +19,23 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in urlfilter.RULES) + " AS t(host, path, action)")
-    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+    listed = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in urlfilter.RULES) + " AS t(host, path, action)")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), listed)
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_url_filters": op3_url_filters,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL}
