@@ -7,8 +7,8 @@ Candidates that the Bloom filter passes go to a hash join with the list, which r
 positives; the longest key wins (then the longer host; of equal keys with both actions, allow).
 A URL that no rule fits gets the method's own verdict, ``default``.
 
-The Bloom filter has 64-bit blocks and at most ``MAX_BLOCKS`` of them (1 MB): beyond that more false
-positives reach the join, and the result is the same. Whether the list is broadcast is left to
+The Bloom filter's size is bounded (see ``bloom``): beyond it more false positives reach the join,
+and the result is the same. Whether the list is broadcast is left to
 Spark's own size check. Column expressions only.
 
 Defined cases: a null URL or one without "://" has an empty host and path and fits no rule; repeated
@@ -17,14 +17,13 @@ rows each keep their row; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_KEY = 16
-MAX_BLOCKS = 1 << 17
+from siftmill.llm import bloom
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The listed rules (host, path, action).
@@ -39,31 +38,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def _mask(key: Column) -> Column:
-    spread = F.xxhash64(F.lit("block bits"), key)
-    out = F.lit(0).cast("long")
-    for i in range(4):
-        place = F.shiftrightunsigned(spread, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-    return out
-
-
-def bloom(rules: DataFrame) -> list[int]:
-    """The filter's blocks as signed longs; at most MAX_BLOCKS rows reach the driver."""
-    blocks = 1
-    wanted = rules.count() * BITS_PER_KEY / 64
-    while blocks < min(wanted, MAX_BLOCKS):
-        blocks *= 2
-    words = [0] * blocks
-    for row in rules.groupBy(_block(F.col("rule"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("rule"))).alias("bits")).collect():
-        words[row["block"]] = row["bits"]
-    return words
-
-
 def candidates(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> Column:
     """The candidate keys of a URL for the (labels, path length) shapes that the list has."""
     keys = [F.when(F.length(path) >= length, F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, length))) for labels, length in shapes]
@@ -74,12 +48,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     """page_id, host, path, rule, verdict of every row of ``pages``; rules has host, path and action."""
     rules = rules.select(F.concat(F.translate("host", UPPER, LOWER), "path").alias("rule"), F.length("host").alias("host_length"), F.length("path").alias("path_length"), F.size(F.split("host", r"\.")).alias("labels"), "action")
     shapes = [(r["labels"], r["path_length"]) for r in rules.select("labels", "path_length").distinct().orderBy("labels", "path_length").collect()]
-    words = bloom(rules)
-    filled = F.from_json(F.lit(json.dumps(words)), "array<bigint>")
-
-    def possible(key: Column) -> Column:
-        return F.element_at(filled, _block(key, len(words)) + 1).bitwiseAND(_mask(key)) == _mask(key)
-
+    possible = bloom.test(bloom.build(rules, "rule"))
     host, path = host_and_path(F.coalesce("url", F.lit("")))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = seen.withColumn("hits", F.filter(candidates(F.col("host"), F.col("path"), shapes), possible))
