@@ -22,7 +22,7 @@ CHUNK = re.compile(
     f"|(?<=[{LETTERS}])[{PUNCTUATION}]+(?=[{SPACE}]|\\Z)"
     f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-MEMORY = 400_000
+MEMORY = 1_000_000
 LONG = 64
 
 
@@ -40,18 +40,18 @@ class Memo:
     def ids(self, text: str) -> bytes:
         """The ids of a whole text."""
         parts = CHUNK.findall(text)
-        try:
-            return b"".join(map(self.young.__getitem__, parts))
-        except KeyError:
-            pass
-        young, old = self.young, self.old
-        missed = [p for p in dict.fromkeys(parts) if p not in young]
-        known = {p: old[p] for p in missed if p in old}
+        found = list(map(self.young.get, parts))
+        if None not in found:
+            return b"".join(found)
+        places = [i for i, x in enumerate(found) if x is None]
+        missed = dict.fromkeys([parts[i] for i in places])
+        known = {p: x for p in missed if (x := self.old.get(p)) is not None}
         new = [p for p in missed if p not in known]
         known.update(zip(new, self.encode(new)))
-        out = b"".join([known[p] if p in known else young[p] for p in parts])
-        if len(young) + len(known) > self.memory // 2:
-            self.old, self.young = young, {}
+        for i in places:
+            found[i] = known[parts[i]]
+        if len(self.young) + len(known) > self.memory // 2:
+            self.old, self.young = self.young, {}
         if len(known) <= self.memory // 2:
             self.young.update((p, v) for p, v in known.items() if len(p) <= LONG)
-        return out
+        return b"".join(found)

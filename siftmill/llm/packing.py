@@ -20,7 +20,9 @@ repeated rows are packed each; an empty table gives an empty result; further col
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +39,8 @@ CAPACITY = 1024
 END_ID = 2
 NODES = 2_000
 BRANCHES = 4
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
+MAX_BUCKETS = 4_096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # --- the plan -------------------------------------------------------------------------
@@ -187,12 +190,13 @@ def slots(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 @lru_cache(2)
 def _memo(path: str) -> Memo:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; waiting threads cost more than they give
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
     def encode(chunks: list[str]) -> Iterator[bytes]:
-        for made in tokenizer.encode_batch(chunks, add_special_tokens=False) if len(chunks) > 1 else [tokenizer.encode(c, add_special_tokens=False) for c in chunks]:
-            yield np.array(made.ids, "<u4").tobytes()
+        for made in tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
+            yield array("I", made.ids).tobytes()  # little-endian where Spark runs
 
     return Memo(encode)
 
@@ -247,7 +251,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     made = shelf.put(cut_up)
     counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most ``capacity`` rows
     table = slots(complete(counts, capacity))
-    buckets = max(1, sum(counts.values()) // ROWS_PER_BUCKET)
+    buckets = max(1, min(MAX_BUCKETS, sum(counts.values()) // ROWS_PER_BUCKET))
     dealt = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lower"))
