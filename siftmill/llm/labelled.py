@@ -7,11 +7,19 @@ at most ``TRAIN_CHARS`` code points: documented bounds of what reaches the drive
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from siftmill.llm.shared import columns, utf8_list
 
 HELD_OUT = 2
+SCORE = "siftmill_score"
 TRAIN_CHARS = 100_000
 
 
@@ -31,3 +39,19 @@ def sample(docs: DataFrame, labels: DataFrame, name: str, per_class: int) -> pd.
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 x per_class rows
     texts = docs.select("doc_id", "text").filter(F.length("text") <= TRAIN_CHARS).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return texts.toPandas().sort_values("doc_id").reset_index(drop=True)
+
+
+def with_scores(docs: DataFrame, scorer: Callable, model: "dict[str, np.ndarray] | float") -> DataFrame:
+    """``docs`` with every column it has and the column SCORE; ``model`` as ``train`` returns it (a number is everyone's score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None if isinstance(model, float) else scorer(model)
+        for batch in batches:
+            if own is None or not batch.num_rows:
+                made = np.full(batch.num_rows, model if own is None else 0.0)
+            else:
+                made = own.scores(utf8_list(columns(batch, "text")[0])).astype(np.float64)
+            yield pa.record_batch([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, SCORE])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
+    return docs.mapInArrow(run, schema)

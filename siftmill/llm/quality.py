@@ -18,16 +18,13 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.labelled import held_out, sample
-from siftmill.llm.shared import columns, utf8_list
+from siftmill.llm.labelled import SCORE, held_out, sample, with_scores
 
 PASSAGE = 64
 SHAPES = 512
@@ -38,7 +35,8 @@ PER_CLASS = 2500
 CUTOFF = 0.7
 MEMORY = 200_000
 BLOCK = 4096
-ROUNDS = 30
+#: Rounds over the documents: at least, at most, and documents over all rounds in between.
+ROUNDS = (30, 200, 60_000)
 FEATURES = 14
 EXTRA = 6
 TURNS = ((re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"))
@@ -165,8 +163,9 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
         weight = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean())).astype(np.float32)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     steps = 0
-    for k in range(ROUNDS):
-        rate = 0.02 / (1 + k / 8)
+    rounds = min(ROUNDS[1], max(ROUNDS[0], ROUNDS[2] // len(texts)))
+    for k in range(rounds):
+        rate = 0.02 / (1 + 4 * k / rounds)
         order = rng.permutation(len(texts))
         for at in range(0, len(order), 64):
             docs = order[at : at + 64]
@@ -261,12 +260,5 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cutoff
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     model = train(docs, labels, per_class)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None if isinstance(model, float) else Scorer(model)
-        for batch in batches:
-            ids, texts = columns(batch, "doc_id", "text")
-            made = scorer.scores(utf8_list(texts)) if scorer and len(ids) else np.full(len(ids), model if not scorer else 0.0)
-            yield pa.record_batch([ids.cast(pa.int64()), pa.array(made.astype(np.float64))], names=["doc_id", "score"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Scorer, model)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= cutoff).cast("int").alias("predicted"))

@@ -29,10 +29,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftmill.llm.components import connect
 from siftmill.llm.shared import Shelf, columns, utf8_list
 
+PRINT = "siftmill_print"
 SEED = 42
 WORDS = 3
 TAU = 3
@@ -300,3 +302,25 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, hot_bucket: int = HOT_BUCKE
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of = placed.join(least, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([fingerprint(t) for t in utf8_list(columns(batch, "text")[0])], np.uint64).view(np.int64)
+        yield pa.record_batch([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, PRINT])
+
+
+def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """The rows of ``docs`` (all columns) without near-duplicates: one row of each component stays.
+
+    It is a row of the least doc_id; of several rows with that id, one of the least fingerprint and
+    of those the one with the least text. Rows that share all of that are collapsed before the shuffle.
+    """
+    groups = near_duplicates(docs, tau)
+    least = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint"))
+    wanted = least.select(F.col("doc_id").alias(PRINT + "_id"), F.conv("fingerprint", 16, -10).cast("long").alias(PRINT + "_of"))
+    printed = docs.mapInArrow(_append, T.StructType([*docs.schema.fields, T.StructField(PRINT, T.LongType())]))
+    kept = printed.join(wanted, F.col("doc_id").eqNullSafe(F.col(PRINT + "_id")) & (F.col(PRINT) == F.col(PRINT + "_of")), "left_semi")
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    one = kept.groupBy("doc_id", PRINT).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(PRINT + "_row"))
+    return one.select(PRINT + "_row.*")

@@ -19,16 +19,13 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.labelled import held_out, sample
-from siftmill.llm.shared import columns, utf8_list
+from siftmill.llm.labelled import SCORE, held_out, sample, with_scores
 
 WINDOW, STEP = 32, 16
 BUCKETS = 1 << 14
@@ -41,7 +38,8 @@ PER_CLASS = 2500
 CUTOFF = 0.3
 MEMORY = 150_000
 BLOCK = 2048
-ROUNDS = (2, 6)  # with random windows, with the highest
+#: Rounds with random windows and with the highest: at least, at most, and texts over all rounds in between.
+ROUNDS = ((2, 12, 8_000), (6, 60, 24_000))
 EDGES = b" \t\n\v\f\r.,;:!?\"'()[]{}<>|#*$%&@~_-+=/\\`^"
 
 
@@ -234,7 +232,8 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
                 m2[rows_of] = 0.99 * m2[rows_of] + 0.01 * grad * grad
                 p[name][rows_of] -= rate * (m1[rows_of] / (1 - 0.9**steps)) / (np.sqrt(m2[rows_of] / (1 - 0.99**steps)) + 1e-6)
 
-    for _ in range(ROUNDS[0]):
+    random_rounds, best_rounds = (min(most, max(least, total // len(texts))) for least, most, total in ROUNDS)
+    for _ in range(random_rounds):
         order = rng.permutation(len(all_picks))
         taken: dict[int, int] = {}
         picks = []
@@ -243,13 +242,13 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
                 taken[owner[i]] += 1
                 picks.append(all_picks[i])
         learn(picks, 0.01)
-    for k in range(ROUNDS[1]):
+    for k in range(best_rounds):
         proj = project(corpus.inputs.vectors(p), p)
         scores = np.concatenate([forward(proj, *corpus.rows(all_picks[at : at + BLOCK]), p)[0] for at in range(0, len(all_picks), BLOCK)])
         best = np.full(len(texts), -1)
         for i in np.argsort(scores, kind="stable"):
             best[owner[i]] = i
-        learn([all_picks[i] for i in rng.permutation(best)], 0.01 / (1 + k / 2))
+        learn([all_picks[i] for i in rng.permutation(best)], 0.01 / (1 + 3 * k / best_rounds))
     return p
 
 
@@ -319,12 +318,5 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, cutoff
     """doc_id, held_out, score, predicted of every row of ``docs``."""
     model = train(docs, labels, per_class)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None if isinstance(model, float) else Scorer(model)
-        for batch in batches:
-            ids, texts = columns(batch, "doc_id", "text")
-            made = scorer.scores(utf8_list(texts)) if scorer and len(ids) else np.full(len(ids), model if not scorer else 0.0)
-            yield pa.record_batch([ids.cast(pa.int64()), pa.array(made.astype(np.float64))], names=["doc_id", "score"])
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cutoff).cast("int").alias("predicted"))
+    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Scorer, model)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= cutoff).cast("int").alias("predicted"))
