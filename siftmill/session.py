@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +24,22 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors' Python workers, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_siftmill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # not where the package itself was loaded from a zip file
+        to = Path(tempfile.mkdtemp()) / "siftmill_package.zip"
+        with zipfile.ZipFile(to, "w") as out:
+            for p in sorted(package.rglob("*.py")):
+                out.write(p, p.relative_to(package.parent))
+        sc.addPyFile(str(to))
+    sc._siftmill_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of an input folder, through Spark's reader only (the folder may be in any store)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
