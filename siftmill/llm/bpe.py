@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from siftmill.llm.chunks import Memo
-from siftmill.llm.shared import columns
+from siftmill.llm.shared import columns, small
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White_Space by name: the same class in every regular-expression library.
@@ -138,7 +138,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in small(batches):
             doc_ids, texts = columns(batch, "doc_id", "text")
             sizes, printed, back = [], [], []
             for text in texts:

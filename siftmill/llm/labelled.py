@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmill.llm.shared import columns, utf8_list
+from siftmill.llm.shared import columns, small, utf8_list
 
 HELD_OUT = 2
 SCORE = "siftmill_score"
@@ -46,7 +46,7 @@ def with_scores(docs: DataFrame, scorer: Callable, model: "dict[str, np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if isinstance(model, float) else scorer(model)
-        for batch in batches:
+        for batch in small(batches):
             if own is None or not batch.num_rows:
                 made = np.full(batch.num_rows, model if own is None else 0.0)
             else:

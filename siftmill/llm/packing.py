@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftmill.llm.chunks import Memo
-from siftmill.llm.shared import Shelf, columns
+from siftmill.llm.shared import Shelf, columns, small
 
 CAPACITY = 1024
 END_ID = 2
@@ -217,7 +217,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = columns(batch, "doc_id", "text")
             rows = [(i, *p) for i, t in zip(ids.to_pylist(), texts) for p in cut(memo.ids(t.as_py() or "") + end, capacity)]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

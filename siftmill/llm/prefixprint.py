@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import columns
+from siftmill.llm.shared import columns, small
 
 MODULI = (2147483647, 2147483629)  # primes below 2^31
 BASES = (911382323, 972663749)
@@ -133,7 +133,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return made
 
-    for batch in batches:
+    for batch in small(batches):
         for rid, ahead, doc_id, text in zip(*(c.to_pylist() for c in columns(batch, "rid", "ahead", "doc_id", "text"))):
             own = None
             if held and held[0] == rid:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import Shelf, columns, utf8_list
+from siftmill.llm.shared import Shelf, columns, small, utf8_list
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -93,7 +93,7 @@ def measure(text: bytes | None) -> tuple:
 
 
 def _measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         ids, texts = columns(batch, "doc_id", "text")
         rows = [measure(t) for t in utf8_list(texts)]
         cols = zip(*rows) if rows else [[]] * len(MEASURES)

@@ -4,41 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from siftmill.session import ship, table
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors' Python workers, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_siftmill_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    if package.is_dir():  # not where the package itself was loaded from a zip file
-        to = Path(tempfile.mkdtemp()) / "siftmill_package.zip"
-        with zipfile.ZipFile(to, "w") as out:
-            for p in sorted(package.rglob("*.py")):
-                out.write(p, p.relative_to(package.parent))
-        sc.addPyFile(str(to))
-    sc._siftmill_shipped = True
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of an input folder, read by Spark alone."""
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["Shelf", "checkpoint_dir", "columns", "ship", "small", "table", "utf8_list"]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a local one only where none is set (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.gettempdir() + "/siftmill-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named or tempfile.gettempdir() + "/siftmill-checkpoints"
 
 
 class Shelf:
@@ -66,6 +45,15 @@ class Shelf:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what Python makes of texts is held for few of them; unused memory goes back."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def utf8_list(column: pa.Array) -> list:
     """The UTF-8 bytes of a string column (None for null), without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill.llm.components import connect
-from siftmill.llm.shared import Shelf, columns, utf8_list
+from siftmill.llm.shared import Shelf, columns, small, utf8_list
 
 PRINT = "siftmill_print"
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         ids, texts = columns(batch, "doc_id", "text")
         prints = np.array([fingerprint(t) for t in utf8_list(texts)], np.uint64).view(np.int64)
         yield pa.record_batch([ids.cast(pa.int64()), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, hot_bucket: int = HOT_BUCKE
 
 
 def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         prints = np.array([fingerprint(t) for t in utf8_list(columns(batch, "text")[0])], np.uint64).view(np.int64)
         yield pa.record_batch([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, PRINT])
 
@@ -318,9 +318,11 @@ def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """
     groups = near_duplicates(docs, tau)
     least = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint"))
-    wanted = least.select(F.col("doc_id").alias(PRINT + "_id"), F.conv("fingerprint", 16, -10).cast("long").alias(PRINT + "_of"))
+    key = F.coalesce("doc_id", F.lit(-(2**63)))  # with the flag, one key for each id and for null: what is joined by it need not be dealt again
+    wanted = least.select(key.alias(PRINT + "_id"), F.col("doc_id").isNull().alias(PRINT + "_null"), F.conv("fingerprint", 16, -10).cast("long").alias(PRINT))
     printed = docs.mapInArrow(_append, T.StructType([*docs.schema.fields, T.StructField(PRINT, T.LongType())]))
-    kept = printed.join(wanted, F.col("doc_id").eqNullSafe(F.col(PRINT + "_id")) & (F.col(PRINT) == F.col(PRINT + "_of")), "left_semi")
+    keyed = printed.withColumn(PRINT + "_id", key).withColumn(PRINT + "_null", F.col("doc_id").isNull())
+    kept = keyed.join(wanted, [PRINT + "_id", PRINT + "_null", PRINT], "left_semi")
     row = F.struct(*(F.col(c) for c in docs.columns))
-    one = kept.groupBy("doc_id", PRINT).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(PRINT + "_row"))
+    one = kept.groupBy(PRINT + "_id", PRINT + "_null", PRINT).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(PRINT + "_row"))
     return one.select(PRINT + "_row.*")

@@ -19,6 +19,7 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -38,6 +39,7 @@ PER_CLASS = 2500
 CUTOFF = 0.3
 MEMORY = 150_000
 BLOCK = 2048
+VECTOR_BLOCK = 8192
 #: Rounds with random windows and with the highest: at least, at most, and texts over all rounds in between.
 ROUNDS = ((2, 12, 8_000), (6, 60, 24_000))
 EDGES = b" \t\n\v\f\r.,;:!?\"'()[]{}<>|#*$%&@~_-+=/\\`^"
@@ -53,18 +55,33 @@ class Inputs:
     """Word and character-run buckets of a list of different words."""
 
     def __init__(self, words: list[bytes]):
-        found = [_buckets(w) for w in words]
-        self.word = np.array([w for w, _ in found], np.int64)
-        sizes = np.array([len(t) for _, t in found], np.int64)
-        self.gram = np.array([i for _, t in found for i in t], np.int64)
-        self.owner = np.repeat(np.arange(len(words)), sizes)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-        self.sizes = sizes[:, None].astype(np.float32)
+        self.word, self.gram = array("i"), array("i")
+        self.counts = np.empty(len(words), np.int32)
+        for i, w in enumerate(words):
+            bucket, grams = _buckets(w)
+            self.word.append(bucket)
+            self.gram.extend(grams)
+            self.counts[i] = len(grams)
+        self.word, self.gram = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (self.word, self.gram))
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def part(self, types: np.ndarray) -> "Inputs":
+        """The inputs of some of the words."""
+        out = Inputs.__new__(Inputs)
+        out.word, out.counts = self.word[types], self.counts[types]
+        out.starts = np.cumsum(out.counts) - out.counts
+        shift = np.repeat(self.starts[types] - out.starts, out.counts)
+        out.gram = self.gram[np.arange(len(shift)) + shift]
+        return out
 
     def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
-        if not len(self.word):
-            return np.zeros((0, WIDTH), np.float32)
-        return p["words"][self.word] + np.add.reduceat(p["grams"][self.gram], self.starts, axis=0) / self.sizes
+        out = np.empty((len(self.word), WIDTH), np.float32)
+        for at in range(0, len(out), VECTOR_BLOCK):
+            to = min(len(out), at + VECTOR_BLOCK)
+            first, last = self.starts[at], self.starts[to - 1] + self.counts[to - 1]
+            sums = np.add.reduceat(p["grams"][self.gram[first:last]], self.starts[at:to] - first, axis=0)
+            out[at:to] = p["words"][self.word[at:to]] + sums / self.counts[at:to, None]
+        return out
 
 
 def windows(n: int) -> list[int]:
@@ -167,7 +184,7 @@ class Corpus:
 
     def __init__(self, texts: list[bytes]):
         known: dict[bytes, int] = {b"": 0}
-        self.docs = [np.array([known.setdefault(w, len(known)) for w in t.split()], np.int64) for t in texts]
+        self.docs = [np.array([known.setdefault(w, len(known)) for w in t.split()], np.int32) for t in texts]
         self.inputs = Inputs(list(known))
 
     def rows(self, picks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,14 +217,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
             rows, mask = corpus.rows(part)
             types, rows = np.unique(rows, return_inverse=True)
             rows = rows.reshape(mask.shape)
-            sub = Inputs.__new__(Inputs)
-            sub.word = corpus.inputs.word[types]
-            spans = [np.arange(corpus.inputs.starts[k], corpus.inputs.starts[k] + int(corpus.inputs.sizes[k, 0])) for k in types]
-            sub.gram = corpus.inputs.gram[np.concatenate(spans)]
-            sub.sizes = corpus.inputs.sizes[types]
-            counts = sub.sizes[:, 0].astype(np.int64)
-            sub.starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            sub.owner = np.repeat(np.arange(len(types)), counts)
+            sub = corpus.inputs.part(types)
             x = sub.vectors(p)
             kept: list = []
             logit, made = forward(project(x, p), rows, mask, p, kept)
@@ -218,7 +228,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
             g["bx"] = dproj.sum(axis=1, keepdims=True)
             dx = (dproj @ p["wx"].transpose(0, 2, 1)).sum(axis=0)
             steps += 1
-            sparse = {"words": (sub.word, dx), "grams": (sub.gram, (dx / sub.sizes)[sub.owner])}
+            sparse = {"words": (sub.word, dx), "grams": (sub.gram, np.repeat(dx / sub.counts[:, None], sub.counts, axis=0))}
             for name in p:
                 if name in sparse:
                     where, values = sparse[name]
