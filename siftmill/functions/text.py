@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill import fixed
-from siftmill.functions.tokens import strip
+from siftmill.functions.tokens import let, strip
 
 
 def hits(text: Column, patterns: Iterable[str] | str) -> Column:
@@ -38,10 +38,13 @@ def p_values(text: Column) -> Column:
 
 def reference_page(text: Column) -> Column:
     """Whether a page looks like a list of references."""
-    t = strip(F.coalesce(text, F.lit("")))
-    head = F.lower(F.substring(t, 1, 800))
-    years, links = hits(t, fixed.PAREN_YEAR), hits(t, fixed.LINK)
-    return (F.length(t) > 0) & (head.rlike(fixed.REFERENCE_HEADER) | (head.rlike(fixed.REFERENCE_WORD) & ((years >= 12) | (links >= 3))) | ((years >= 25) & (links >= 2)))
+
+    def looks(t: Column) -> Column:
+        head = F.lower(F.substring(t, 1, 800))
+        years, links = hits(t, fixed.PAREN_YEAR), hits(t, fixed.LINK)
+        return (F.length(t) > 0) & (head.rlike(fixed.REFERENCE_HEADER) | (head.rlike(fixed.REFERENCE_WORD) & ((years >= 12) | (links >= 3))) | ((years >= 25) & (links >= 2)))
+
+    return let(strip(F.coalesce(text, F.lit(""))), looks)
 
 
 def paren_mode_from_text(text: Column) -> Column:
@@ -65,8 +68,8 @@ def caption(text: Column, kind: str) -> Column:
     """The first caption line of a page ("Table 3. What it shows"), null if none."""
     pattern = fixed.CAPTION % kind
     spaced = F.transform(F.slice(lines(text), 1, fixed.CAPTION_LINES[kind]), lambda x: F.regexp_replace(x, r"(?U)\s+", " "))
-    first = F.get(F.filter(spaced, lambda x: x.rlike(pattern)), F.lit(0))
-    return F.when(first.isNotNull(), strip(F.concat(F.lit(kind.title() + " "), F.regexp_extract(first, pattern, 1), F.lit(". "), F.regexp_extract(first, pattern, 2))))
+    named = lambda x: strip(F.concat(F.lit(kind.title() + " "), F.regexp_extract(x, pattern, 1), F.lit(". "), F.regexp_extract(x, pattern, 2)))
+    return let(F.get(F.filter(spaced, lambda x: x.rlike(pattern)), F.lit(0)), named)
 
 
 def panel(text: Column, kind: str) -> Column:

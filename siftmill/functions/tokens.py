@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from siftmill import fixed
 from siftmill.functions.stats import year_like
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, however often f uses it (a chain of replacements must not be copied into each use)."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def strip(s: Column) -> Column:
     """Without white space at its ends (Unicode's)."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
@@ -16,9 +23,12 @@ def strip(s: Column) -> Column:
 
 def numeric_ratio(s: Column) -> Column:
     """Share of digits and numeric marks among the characters that are not white space; 0 without any."""
-    dense = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)\s+", "")
-    numeric = F.length(dense) - F.length(F.regexp_replace(dense, fixed.NUMERIC_CHARS, ""))
-    return F.when(F.length(dense) > 0, numeric / F.length(dense)).otherwise(F.lit(0.0))
+
+    def share(dense: Column) -> Column:
+        numeric = F.length(dense) - F.length(F.regexp_replace(dense, fixed.NUMERIC_CHARS, ""))
+        return F.when(F.length(dense) > 0, numeric / F.length(dense)).otherwise(F.lit(0.0))
+
+    return let(F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)\s+", ""), share)
 
 
 #: Applied in this order.
@@ -39,13 +49,13 @@ def normal_cell(s: Column) -> Column:
     t = F.translate(strip(F.coalesce(s, F.lit(""))), "−–—‑·∙•", "----...")
     for pattern, by in TIGHTEN:
         t = F.regexp_replace(t, pattern, by)
-    t = F.when(numeric_ratio(t) >= 0.9, F.regexp_replace(t, r"(?U)(?<=\d)\s+(?=\d)", "")).otherwise(t)
+    t = let(t, lambda x: F.when(numeric_ratio(x) >= 0.9, F.regexp_replace(x, r"(?U)(?<=\d)\s+(?=\d)", "")).otherwise(x))
     return strip(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
 def numeric_tokens(normal: Column) -> Column:
     """Array of (raw, value, stars) of the numbers in a normal cell."""
-    found = F.arrays_zip(*(F.regexp_extract_all(normal, F.lit(fixed.NUMERIC_TOKEN), F.lit(g)).alias(n) for g, n in ((0, "raw"), (1, "number"), (2, "marks"))))
+    found = let(normal, lambda t: F.arrays_zip(*(F.regexp_extract_all(t, F.lit(fixed.NUMERIC_TOKEN), F.lit(g)).alias(n) for g, n in ((0, "raw"), (1, "number"), (2, "marks")))))
     return F.transform(found, lambda x: F.struct(x["raw"].alias("raw"), x["number"].cast("double").alias("value"), F.length(x["marks"]).alias("stars")))
 
 
@@ -63,18 +73,20 @@ def first_paren(normal: Column) -> Column:
 def first_coefficient(normal: Column) -> Column:
     """(raw, value, stars) of the first number outside parentheses, a starred one before others; null for label cells."""
     outside = F.regexp_replace(F.regexp_replace(normal, r"\([^)]*\)", " "), fixed.DANGLING_PAREN, " ")
-    tokens = numeric_tokens(normal_cell(outside))
-    chosen = F.coalesce(F.get(F.filter(tokens, lambda x: x["stars"] > 0), F.lit(0)), F.get(tokens, F.lit(0)))
+    chosen = let(numeric_tokens(normal_cell(outside)), lambda found: F.coalesce(F.get(F.filter(found, lambda x: x["stars"] > 0), F.lit(0)), F.get(found, F.lit(0))))
     return F.when(~normal.rlike(fixed.LABEL_ONLY_CELL), chosen)
 
 
 def citation_like(s: Column) -> Column:
     """Whether a cell looks like a part of a citation."""
-    t = strip(F.coalesce(s, F.lit("")))
-    out = F.lit(False)
-    for pattern in fixed.CITATION_PATTERNS:
-        out = out | t.rlike(pattern)
-    return out
+
+    def any_of(t: Column) -> Column:
+        out = F.lit(False)
+        for pattern in fixed.CITATION_PATTERNS:
+            out = out | t.rlike(pattern)
+        return out
+
+    return let(strip(F.coalesce(s, F.lit(""))), any_of)
 
 
 def label_pair(cell: Column, paren_cell: Column, coef_raw: Column, stars: Column) -> Column:

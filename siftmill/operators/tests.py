@@ -98,10 +98,11 @@ def reconstruct(raw: DataFrame, modes: DataFrame) -> DataFrame:
     kind = F.when(by_t, "paren_t").when(size == 0, "invalid_se_zero").otherwise("coef_over_se")
     t = F.when(by_t, F.col("paren")).when(size == 0, F.lit(0.0)).otherwise(F.try_divide("coef", size))
     made = both.withColumn("t_mode", kind).withColumn("se", F.when(kind == "coef_over_se", size)).withColumn("t", t).withColumn("abs_t", F.abs("t"))
-    made = made.withColumn("reasons", drop_reasons(F.col("paren_mode_assumed"), F.col("abs_t"), F.col("se")))
     made = made.withColumn("p_approx_2s", stats.p_of_t(F.col("abs_t")))
-    bad = (F.size("reasons") == 0) & ~stats.valid_p(F.col("p_approx_2s"))
-    return made.withColumn("reasons", F.when(bad, F.array(F.lit("invalid_p"))).otherwise(F.col("reasons"))).withColumn("extractor_version", F.lit(fixed.VERSION))
+    reasons = drop_reasons(F.col("paren_mode_assumed"), F.col("abs_t"), F.col("se"))
+    valid = stats.valid_p(F.col("p_approx_2s"))
+    reasons = tokens.let(reasons, lambda r: F.when((F.size(r) == 0) & ~valid, F.array(F.lit("invalid_p"))).otherwise(r))
+    return made.withColumn("reasons", reasons).withColumn("extractor_version", F.lit(fixed.VERSION))
 
 
 def kept(reconstructed: DataFrame) -> DataFrame:
