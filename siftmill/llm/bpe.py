@@ -39,11 +39,10 @@ BIT = [1 << i for i in range(WORD)]
 
 
 class Codec:
-    """Encoder and decoder of one file of ranks."""
+    """Encoder and decoder by ranks: a token's bytes and its rank, which is its id."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
@@ -127,10 +126,16 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def rank_file(path: str) -> dict[bytes, int]:
+    """The ranks of a file of lines of a token in base 64 and its rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @lru_cache(2)
 def codec(path: str) -> Codec:
     """One codec for each Python worker and file."""
-    return Codec(path)
+    return Codec(rank_file(path))
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -22,7 +22,7 @@ CHUNK = re.compile(
     f"|(?<=[{LETTERS}])[{PUNCTUATION}]+(?=[{SPACE}]|\\Z)"
     f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-MEMORY = 500_000
+MEMORY = 1_000_000
 LONG = 64
 
 

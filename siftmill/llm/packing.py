@@ -20,19 +20,21 @@ repeated rows are packed each; an empty table gives an empty result; further col
 
 from __future__ import annotations
 
-import os
+import json
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from siftmill.llm.chunks import Memo
+from siftmill.llm.bpe import Codec
+from siftmill.llm.chunks import SPACE
 from siftmill.llm.shared import Shelf, columns, small
 
 CAPACITY = 1024
@@ -41,6 +43,9 @@ NODES = 2_000
 BRANCHES = 4
 ROWS_PER_BUCKET = 2_000
 MAX_BUCKETS = 4_096
+#: White space of so many characters in a row is too long for the fast encoder's pattern matcher (its limit is about twice that).
+LONG_RUN = 500_000
+LONG_SPACE = re.compile(f"[{SPACE}]{{{LONG_RUN}}}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # --- the plan -------------------------------------------------------------------------
@@ -188,17 +193,49 @@ def slots(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
 # --- tokens, ranks, places --------------------------------------------------------------
 
 
-@lru_cache(2)
-def _memo(path: str) -> Memo:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; waiting threads cost more than they give
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+def byte_of_letter() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: itself if it can be printed, else the next free letter from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
+
+
+def vocabulary(path: str) -> dict[bytes, int]:
+    """The tokens of a tokenizers file of byte-level BPE, as bytes with their ids. Merges must come in the order of ids."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    byte = byte_of_letter()
+    merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    if merged != sorted(merged):
+        raise ValueError(f"{path}: a merge does not come in the order of ids")
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
+
+
+class Ids:
+    """The ids that the tokenizers library gives a text, by the same vocabulary and pattern.
 
-    def encode(chunks: list[str]) -> Iterator[bytes]:
-        for made in tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
-            yield array("I", made.ids).tobytes()  # little-endian where Spark runs
+    The merging is tiktoken's: ids are the same where merges come in the order of ids, and it takes
+    about half the time that remembering the ids of chunks took, without the memory. White-space
+    runs too long for its pattern matcher are encoded by the rank queue of ``bpe``.
+    """
+
+    def __init__(self, path: str):
+        self.ranks = vocabulary(path)
+        self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
+        self.slow: Codec | None = None
+
+    def of(self, text: str) -> bytes:
+        """Four bytes, little-endian, for each id."""
+        if len(text) >= LONG_RUN and LONG_SPACE.search(text):
+            self.slow = self.slow or Codec(self.ranks)
+            return self.slow.encode(text).tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
-    return Memo(encode)
+
+@lru_cache(2)
+def ids_by(path: str) -> Ids:
+    """One encoder for each Python worker and file."""
+    return Ids(path)
 
 
 def cut(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int, int]]:
@@ -216,10 +253,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(path)
+        encoder = ids_by(path)
         for batch in small(batches):
             ids, texts = columns(batch, "doc_id", "text")
-            rows = [(i, *p) for i, t in zip(ids.to_pylist(), texts) for p in cut(memo.ids(t.as_py() or "") + end, capacity)]
+            rows = [(i, *p) for i, t in zip(ids.to_pylist(), texts) for p in cut(encoder.of(t.as_py() or "") + end, capacity)]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             cols = zip(*rows) if rows else [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

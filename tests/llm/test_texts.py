@@ -123,6 +123,24 @@ def test_fillings_are_undominated():
     assert made[0] == (7, 3) and set(made) >= {(5, 5), (5, 3, 2)} and all(sum(f) == 10 for f in made)
 
 
+@given(st.text(max_size=40) | st.lists(st.sampled_from(["a", " ", "  ", "\n", "'s", "'", ".", "#", "1", "é", "\xa0", "word", " the", "<|endoftext|>", "²", "漢"]), max_size=14).map("".join))
+@settings(max_examples=500, deadline=None)
+def test_ids_are_those_of_the_tokenizers_library(text):
+    cache = test_ids_are_those_of_the_tokenizers_library.__dict__
+    if "library" not in cache:
+        cache["library"] = Tokenizer.from_file(JSON)
+        cache["library"].encode_special_tokens = True
+    text = text.encode("utf-8", "ignore").decode()
+    want = cache["library"].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.ids_by(JSON).of(text), "<u4").tolist() == want
+
+
+def test_ids_of_very_long_white_space():
+    tokenizer = Tokenizer.from_file(JSON)
+    text = "a" + " " * 1_500_000 + "b\n"
+    assert np.frombuffer(packing.ids_by(JSON).of(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_pack(spark):
     tokenizer = Tokenizer.from_file(JSON)
     tokenizer.encode_special_tokens = True
@@ -177,7 +195,7 @@ def test_bpe_equals_the_library(text):
 
 
 def test_memory_is_bounded_and_harmless(known):
-    own = bpe.Codec(RANKS)
+    own = bpe.Codec(bpe.rank_file(RANKS))
     own.memo = chunks.Memo(own.encode_chunks, 10)
     text = " ".join(f"w{i}" for i in range(200))
     assert own.encode(text).tolist() == own.encode(text).tolist() == known.encode_ordinary(text)
