@@ -26,6 +26,8 @@ SHELL = "<html><head><title>T</title><script>var a='<p>no</p>';</script></head><
         ("<article><p>a &lt;b&gt; &#233;&nbsp;c</p><style>p{}</style><script>1</script></article>", "a <b> é c"),
         ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\ntwo\nx\ny"),
         ("<article><header><h1>Own</h1></header><p>t</p></article><header>site</header>", "Own\nt"),
+        ("<body class='has-sidebar ads'><main class='with-menu'><p>kept</p></main><div class=sidebar>s</div>", "kept"),
+        ("<div id=page><div class=nav>n</div><div><h1>T</h1><p>one</p><p>two</p></div><div class='reader-comments'><p>c</p></div></div>", "T\none\ntwo"),
         ("<article><p>unclosed", "unclosed"), ("<p>a<", "a<"), ("<div><a href='>'>x</a> y</div>", "x y"),
     ],
 )
