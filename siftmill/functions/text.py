@@ -127,6 +127,11 @@ def file_hash(content: Column, first: int | None = 5_000_000) -> Column:
     return F.sha2(F.substring(content, 1, first) if first is not None else content, 256)
 
 
+def now() -> Column:
+    """The time of the query as text; never compared."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+
+
 def masked_key(key: Column) -> Column:
     """A secret of which only the last four characters can be read."""
     return F.regexp_replace(F.coalesce(key, F.lit("")), ".(?=.{4})", "*")

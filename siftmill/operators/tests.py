@@ -187,27 +187,40 @@ def risk_score(features: DataFrame) -> DataFrame:
     return scored.withColumn("risk_level", stats.risk_level(F.col("risk_score")))
 
 
-def test_features(tests: DataFrame) -> DataFrame:
-    """Per paper: number of tests and of tables, window counts with calipers. tests: paper_id, page, table_index, abs_t (p_approx_2s).
+def _by_paper(pairs_: DataFrame, counts: list[Column]) -> DataFrame:
+    """Sums of counts by paper, with pairs_raw, tests, tables_raw and tables; pairs_ has ``ok`` (whether a pair is a test).
 
-    Distinct tables are counted by themselves and joined by paper: a distinct count within the same
-    aggregation would carry every row of a table through the shuffle.
+    Counts are made by table first and then summed by paper, so that tables are counted in the same
+    pass and a paper with very many pairs is spread over its tables.
     """
+    by_table = pairs_.groupBy("paper_id", "page", "table_index").agg(F.count("*").alias("pairs_raw"), F.count_if("ok").alias("tests"), *counts)
+    sums = [F.sum(c).alias(c) for c in by_table.columns if c not in ("paper_id", "page", "table_index")]
+    return by_table.groupBy("paper_id").agg(*sums, F.count("*").alias("tables_raw"), F.count_if(F.col("tests") > 0).alias("tables"))
+
+
+def test_features(tests: DataFrame) -> DataFrame:
+    """Per paper: number of tests and of tables, window counts with calipers. tests: paper_id, page, table_index, abs_t (p_approx_2s)."""
     p = F.col("p_approx_2s") if "p_approx_2s" in tests.columns else None
-    counts = tests.groupBy("paper_id").agg(F.count("*").alias("tests"), *window_aggregates(F.col("abs_t"), p))
-    tables = tests.groupBy("paper_id", "page", "table_index").agg(F.lit(1).alias("one")).groupBy("paper_id").agg(F.count("*").alias("tables"))
-    return with_calipers(counts.join(tables, "paper_id"))
-
-
-def paper_features(papers: DataFrame, raw: DataFrame, reconstructed: DataFrame, modes: DataFrame) -> DataFrame:
-    """The feature row of every paper, with its score. papers: paper_id, full_text (pages, sha256, … stay)."""
-    raw_counts = raw.groupBy("paper_id").agg(F.count("*").alias("pairs_raw"))
-    raw_tables = raw.groupBy("paper_id", "page", "table_index").agg(F.lit(1).alias("one")).groupBy("paper_id").agg(F.count("*").alias("tables_raw"))
-    reasons = reason_counts(reconstructed).groupBy("paper_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("filter_counts"))
-    out = papers.drop("full_text").join(text_features(papers), "paper_id").join(modes, "paper_id", "left")
-    for part in (raw_counts, raw_tables, reasons, test_features(kept(reconstructed))):
-        out = out.join(part, "paper_id", "left")
-    numbers = [c for c, kind in out.dtypes if kind in ("bigint", "double") and (c.endswith(("_left", "_right", "_z")) or c in ("tests", "tables", "pairs_raw", "tables_raw", "curve_low", "curve_high", "significant_0_05", "significant_0_10"))]
+    made = _by_paper(tests.withColumn("ok", F.lit(True)), window_aggregates(F.col("abs_t"), p))
+    return with_calipers(made.drop("pairs_raw", "tables_raw"))
+
+
+REASONS = ("column_label_like", "citation_like_text", "paren_looks_like_year", "coef_looks_like_year", "abs_t_gt_30(paren_t)", "missing_se", "se_gt_50", "abs_t_gt_80(coef_over_se)", "invalid_p")
+
+
+def paper_features(papers: DataFrame, reconstructed: DataFrame, modes: DataFrame) -> DataFrame:
+    """The feature row of every paper, with its score. papers: paper_id, full_text (pages, sha256, … stay).
+
+    One pass over the reconstructed pairs gives all counts.
+    """
+    ok = F.size("reasons") == 0
+    counts = window_aggregates(F.when(ok, F.col("abs_t")), F.when(ok, F.col("p_approx_2s")))
+    dropped = [F.count_if(F.array_contains("reasons", r)).alias(f"reason_{k}") for k, r in enumerate(REASONS)]
+    counted = with_calipers(_by_paper(reconstructed.withColumn("ok", ok), [*counts, *dropped]))
+    every = F.map_from_arrays(F.array(*map(F.lit, REASONS)), F.array(*(f"reason_{k}" for k in range(len(REASONS)))))
+    counted = counted.withColumn("filter_counts", F.map_filter(every, lambda _, n: n > 0)).drop(*(f"reason_{k}" for k in range(len(REASONS))))
+    out = papers.drop("full_text").join(text_features(papers), "paper_id").join(modes, "paper_id", "left").join(counted, "paper_id", "left")
+    numbers = [c for c in counted.columns if c.endswith(("_left", "_right", "_z")) or c in ("tests", "tables", "pairs_raw", "tables_raw", "curve_low", "curve_high", "significant_0_05", "significant_0_10")]
     out = out.fillna(0, subset=numbers).withColumn("keep_rate", F.try_divide("tests", "pairs_raw"))
     return risk_score(out)
 

@@ -316,7 +316,7 @@ def _(spark, d):
 def _(spark, d):
     papers, raw = _papers(spark, d), tests.pairs(fx.cells(spark, d))
     modes = tests.paren_modes(raw, papers)
-    return tests.paper_features(papers, raw, tests.reconstruct(raw, modes), modes).drop("p_values")
+    return tests.paper_features(papers, tests.reconstruct(raw, modes), modes).drop("p_values")
 
 
 @query("win6_first_tests", "SELECT paper_id, o, ln, pk, q, ep, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY o, ln, pk, sk, q, ep, sd) AS rank FROM stat_tests) WHERE rank <= 50", "stat_tests")

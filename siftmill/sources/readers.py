@@ -42,9 +42,15 @@ def pdfs(spark: SparkSession, corpus: str, pattern: str | None = None, ids: Data
 
 
 def tests(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of tests. Blank and malformed lines and such as are no objects are passed over; a malformed field alone is null."""
+    """Lines of tests. Blank and malformed lines and such as are no objects are passed over; a malformed field alone is null.
+
+    Where a folder names the paper (``writers.tests_json``), its name is the paper's id.
+    """
     lines = spark.read.text(path).filter(F.length(strip(F.col("value"))) > 0).filter(jsons.is_object(F.col("value")))
-    return lines.select(*(jsons.field(F.col("value"), name, kind).alias(name) for name, kind in TESTS.items()))
+    made = {name: jsons.field(F.col("value"), name, kind) for name, kind in TESTS.items()}
+    if "paper_id" in lines.columns:
+        made["paper_id"] = F.coalesce(F.col("paper_id").cast("string"), made["paper_id"])
+    return lines.select(*(c.alias(name) for name, c in made.items()))
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:

@@ -98,3 +98,56 @@ def test_responder(spark):
 def test_settings_fail_fast(spark):
     with pytest.raises(ValueError, match="spark.siftmill.model"):
         readers.settings(spark)
+
+
+def test_extract_and_report(spark, tmp_path):
+    """From page texts and cells to tests, features and reports, by way of the command line."""
+    from siftmill import __main__
+    from siftmill.plans import screen
+
+    text = "Table 1. Effects\nStandard errors are in parentheses. Robustness of each specification."
+    pages = spark.createDataFrame([("a", 1, text), ("a", 2, "References"), ("b", 1, "nothing"), ("b", 2, "x"), ("b", 3, "x")], readers.PAGES)
+    grid = [("0.20**", "(0.10)"), ("1.95", "(1.0)"), ("0.5 (0.1)", ""), ("3)", "(4)")]
+    cells = []
+    for paper, page in (("a", 1), ("a", 2)):
+        for r, row in enumerate(grid):
+            for k, cell in enumerate(row):
+                cells.append((paper, page, 0, 2 * r + k, 0, cell, [0.0, 0.0, 500.0, 500.0], [100.0, 20.0 * r, 140.0, 20.0 * r + 10]))
+    cells = spark.createDataFrame(cells, readers.CELLS)
+    pages.write.parquet(str(tmp_path / "pages"))
+    cells.write.parquet(str(tmp_path / "cells"))
+    done = screen.extract(pages, cells, max_pdf_pages=2)
+    rows = {r["paper_id"]: r for r in done.features.collect()}
+    assert rows["a"]["tests"] == 3 and rows["a"]["pairs_raw"] == 4 and rows["a"]["filter_counts"] == {"column_label_like": 1}
+    assert rows["a"]["t_1_96_left"] == 1 and rows["a"]["t_1_96_right"] == 1 and rows["a"]["reference_pages"] == 1 and rows["a"]["candidate_pages"] == [1]
+    assert rows["b"]["skipped_reason"] == "pages>2" and rows["b"]["risk_score"] is None
+    assert {r["paren_mode"] for r in done.meta.collect()} == {"se"}
+    words = spark.createDataFrame([("a", 1, 0, 0, 0, "Income", 10.0, 0.0, 60.0, 10.0), ("a", 1, 0, 1, 0, "(1)", 105.0, 3.0, 130.0, 8.0)], "paper_id string, page int, block_no int, line_in_block int, word_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    named = screen.labelled_examples(done.tests, words, done.tests)
+    assert {r["row_label"] for r in named.collect() if r["row_index"] == 0} == {"Income"}
+    __main__.main(["extract", "--pages", str(tmp_path / "pages"), "--cells", str(tmp_path / "cells"), "--out", str(tmp_path / "out")])
+    (tmp_path / "note.md").write_text("## References (APA)\n- Smith (2001)\n")
+    __main__.main(["report", "--pages", str(tmp_path / "pages"), "--tests", str(tmp_path / "out/tests"), "--features", str(tmp_path / "out/features"), "--references", str(tmp_path / "note.md"), "--out", str(tmp_path / "out")])
+    shown = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out/reports"), wholetext=True).collect())
+    assert "Risk score" in shown and "- Smith (2001)" in shown and "Table 1. Effects" in shown
+
+
+def test_sidecars_and_logs(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"extractor_version": "v"}')
+    (tmp_path / "bad.json").write_text("{")
+    got = readers.sidecars(spark, str(tmp_path / "*.json"), "extractor_version string")
+    assert sorted(str(r["extractor_version"]) for r in got.collect()) == ["None", "v"]
+    calls = spark.createDataFrame([("a", "p", "x")], "paper_id string, prompt string, answer string")
+    for _ in range(2):
+        writers.call_log(calls, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    writers.reports(spark.createDataFrame([("a", "# R\ntext")], "paper_id string, report string"), str(tmp_path / "reports"))
+    assert spark.read.text(str(tmp_path / "reports"), wholetext=True).first()["value"].startswith("# R\ntext")
+
+
+def test_packets(spark):
+    pages = spark.createDataFrame([("a", i, f"text {i}") for i in range(1, 12)], "paper_id string, page int, text string")
+    chunks = responder.page_chunks(pages).orderBy("chunk").collect()
+    assert len(chunks) == 2 and json.loads(chunks[0]["prompt"])[0] == {"page": 1, "text": "text 1"}
+    shown = spark.createDataFrame([("## Bottom line\n\ntext",)], "report string").select(responder.has_headings(F.col("report"), ["Bottom line"]).alias("a"), responder.has_headings(F.col("report"), ["Other"]).alias("b")).first()
+    assert shown["a"] and not shown["b"]
