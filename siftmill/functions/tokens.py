@@ -92,7 +92,7 @@ def citation_like(s: Column) -> Column:
 def label_pair(cell: Column, paren_cell: Column, coef_raw: Column, stars: Column) -> Column:
     """Whether a pair is a column label such as "8) (9)" taken for a coefficient."""
     cell, paren_cell, raw = (strip(F.coalesce(c, F.lit(""))) for c in (cell, paren_cell, coef_raw))
-    bare = raw.rlike(r"^\d+$") & F.regexp_like(cell, F.concat(F.lit(r"\b"), raw, F.lit(r"\)"))) & paren_cell.rlike(fixed.PAREN_ONLY_CELL)
+    bare = raw.rlike(r"^\d+$") & paren_cell.rlike(fixed.PAREN_ONLY_CELL) & F.regexp_like(cell, F.concat(F.lit(r"\b"), raw, F.lit(r"\)")))  # the pattern of the row itself comes last
     return (F.coalesce(stars, F.lit(0)) == 0) & (cell.rlike(fixed.LABEL_PAIR_CELL) | bare)
 
 
