@@ -19,7 +19,6 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from array import array
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +36,7 @@ HIDDEN = 8
 ATTENTION = 8
 PER_CLASS = 2500
 CUTOFF = 0.3
-MEMORY = 150_000
+MEMORY = 200_000
 BLOCK = 2048
 VECTOR_BLOCK = 8192
 #: Rounds with random windows and with the highest: at least, at most, and texts over all rounds in between.
@@ -45,25 +44,30 @@ ROUNDS = ((2, 12, 8_000), (6, 60, 24_000))
 EDGES = b" \t\n\v\f\r.,;:!?\"'()[]{}<>|#*$%&@~_-+=/\\`^"
 
 
-def _buckets(word: bytes) -> tuple[int, list[int]]:
-    """The bucket of a word and those of its runs of 3 and of 5 bytes, with marks at its ends."""
-    bare = b"^" + word.lower().strip(EDGES) + b"$"
-    return crc32(bare) % BUCKETS, [crc32(bare[i : i + n], n) % GRAM_BUCKETS for n in GRAMS for i in range(max(1, len(bare) - n + 1))]
-
-
 class Inputs:
-    """Word and character-run buckets of a list of different words."""
+    """Buckets of a list of different words and of their runs of 3 and of 5 bytes, with marks at a word's ends."""
 
     def __init__(self, words: list[bytes]):
-        self.word, self.gram = array("i"), array("i")
-        self.counts = np.empty(len(words), np.int32)
-        for i, w in enumerate(words):
-            bucket, grams = _buckets(w)
-            self.word.append(bucket)
-            self.gram.extend(grams)
-            self.counts[i] = len(grams)
-        self.word, self.gram = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (self.word, self.gram))
+        bare = [b"^" + w.lower().strip(EDGES) + b"$" for w in words]
+        self.word = np.fromiter(map(crc32, bare), np.int64, len(bare)) % BUCKETS
+        sizes = np.fromiter(map(len, bare), np.int64, len(bare))
+        pad = max(GRAMS) - 1
+        letters = np.frombuffer((b"\0" * pad).join([*bare, b""]), np.uint8).astype(np.uint32)
+        begins = np.cumsum(sizes + pad) - sizes - pad
+        each = [np.maximum(1, sizes - n + 1) for n in GRAMS]  # a word shorter than a run is one run
+        self.counts = sum(each)
         self.starts = np.cumsum(self.counts) - self.counts
+        self.gram = np.empty(int(self.counts.sum()), np.int32)
+        shift = np.zeros(len(bare), np.int64)
+        for n, counts in zip(GRAMS, each):
+            nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = np.repeat(begins, counts) + nth
+            h = np.full(len(at), 2166136261 + n, np.uint32)
+            for k in range(n):
+                h = (h ^ letters[at + k]) * np.uint32(16777619)
+            h = (h ^ h >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
+            self.gram[np.repeat(self.starts + shift, counts) + nth] = (h ^ h >> np.uint32(12)) % np.uint32(GRAM_BUCKETS)
+            shift += counts
 
     def part(self, types: np.ndarray) -> "Inputs":
         """The inputs of some of the words."""
@@ -147,6 +151,53 @@ def forward(proj: np.ndarray, rows: np.ndarray, mask: np.ndarray, p: dict[str, n
     return pooled @ p["o"] + p["b"], {"states": states, "t": t, "w": w, "pooled": pooled}
 
 
+def infer(proj: np.ndarray, rows: np.ndarray, mask: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """The logits of ``forward``, for scoring: features before windows and in place, so that every pass over memory is long."""
+    n, full = len(rows), bool(mask.all())
+    ut = np.ascontiguousarray(p["u"].transpose(0, 2, 1))
+    bn, at, v = p["bn"].transpose(0, 2, 1), np.ascontiguousarray(p["a"].T), p["v"]
+    h = np.zeros((2, HIDDEN, n), np.float32)
+    g = np.empty((2, 3 * HIDDEN, n), np.float32)
+    gates, cand = np.empty((2 * HIDDEN, n), np.float32), np.empty((HIDDEN, n), np.float32)
+    states = np.empty((WINDOW, 2 * HIDDEN, n), np.float32)
+    columns_of = np.ascontiguousarray(rows.T)
+    there = mask.T.astype(np.float32)
+    picked = np.empty((n, 3 * HIDDEN), np.float32)
+    for s in range(WINDOW):
+        np.matmul(ut, h, out=g)
+        for k, place in enumerate((s, WINDOW - 1 - s)):
+            proj[k].take(columns_of[place], axis=0, out=picked, mode="clip")
+            x = picked.T
+            np.add(g[k, : 2 * HIDDEN], x[: 2 * HIDDEN], out=gates)
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.add(g[k, 2 * HIDDEN :], bn[k], out=cand)
+            cand *= gates[HIDDEN:]
+            cand += x[2 * HIDDEN :]
+            np.tanh(cand, out=cand)
+            cand -= h[k]
+            np.subtract(1, gates[:HIDDEN], out=gates[:HIDDEN])
+            cand *= gates[:HIDDEN]
+            if not full:
+                cand *= there[place]
+            h[k] += cand
+            states[place, k * HIDDEN : (k + 1) * HIDDEN] = h[k]
+    e = np.empty((WINDOW, n), np.float32)
+    for s in range(WINDOW):
+        e[s] = v @ np.tanh(at @ states[s])
+    e[~mask.T] = -1e9
+    e[0][~mask[:, 0]] = 0  # an empty window attends to its first place
+    w = np.exp(e - e.max(axis=0))
+    w /= w.sum(axis=0)
+    pooled = np.zeros((2 * HIDDEN, n), np.float32)
+    for s in range(WINDOW):
+        states[s] *= w[s]
+        pooled += states[s]
+    return p["o"] @ pooled + p["b"]
+
+
 def backward(dlogit: np.ndarray, kept: list, made: dict, rows: np.ndarray, n_types: int, p: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Gradients of the parameters above the word vectors, and of the projections."""
     states, t, w, pooled = made["states"], made["t"], made["w"], made["pooled"]
@@ -254,7 +305,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
         learn(picks, 0.01)
     for k in range(best_rounds):
         proj = project(corpus.inputs.vectors(p), p)
-        scores = np.concatenate([forward(proj, *corpus.rows(all_picks[at : at + BLOCK]), p)[0] for at in range(0, len(all_picks), BLOCK)])
+        scores = np.concatenate([infer(proj, *corpus.rows(all_picks[at : at + BLOCK]), p) for at in range(0, len(all_picks), BLOCK)])
         best = np.full(len(texts), -1)
         for i in np.argsort(scores, kind="stable"):
             best[owner[i]] = i
@@ -277,7 +328,7 @@ class Scorer:
     def _learn(self, words: list[bytes]) -> None:
         at, to = len(self.known), len(self.known) + len(words)
         if to > self.proj.shape[1]:
-            bigger = np.empty((2, 2 * to, 3 * HIDDEN), np.float32)
+            bigger = np.empty((2, to + to // 4, 3 * HIDDEN), np.float32)
             bigger[:, :at] = self.proj[:, :at]
             self.proj = bigger
         self.proj[:, at:to] = project(Inputs(words).vectors(self.p), self.p)
@@ -310,7 +361,7 @@ class Scorer:
         for at in range(0, len(rows), BLOCK):
             part = slice(at, at + BLOCK)
             mask = np.arange(WINDOW) < sizes[part, None]
-            np.maximum.at(best, owner[part], forward(self.proj, rows[part], mask, self.p)[0])
+            np.maximum.at(best, owner[part], infer(self.proj, rows[part], mask, self.p))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> "dict[str, np.ndarray] | float":

@@ -150,6 +150,16 @@ def test_gradients_of_the_recurrent_network():
         assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-2, abs=3e-3, rel=0.05)
 
 
+def test_scoring_equals_the_training_pass():
+    rng = np.random.default_rng(1)
+    p = toxicity.start()
+    proj = rng.normal(size=(2, 50, 3 * toxicity.HIDDEN)).astype(np.float32)
+    rows = rng.integers(0, 50, (40, toxicity.WINDOW))
+    for sizes in (np.full(40, toxicity.WINDOW), rng.integers(0, toxicity.WINDOW + 1, 40)):
+        mask = np.arange(toxicity.WINDOW) < sizes[:, None]
+        assert np.allclose(toxicity.infer(proj, rows, mask, p), toxicity.forward(proj, rows, mask, p)[0], atol=1e-4)
+
+
 def test_windows_overlap_and_cover():
     for n in (0, 1, 31, 32, 33, 48, 49, 200):
         starts = toxicity.windows(n)
