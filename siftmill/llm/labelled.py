@@ -20,7 +20,7 @@ from siftmill.llm.shared import columns, small, utf8_list
 
 HELD_OUT = 2
 SCORE = "siftmill_score"
-TRAIN_CHARS = 100_000
+TRAIN_CHARS = 20_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -134,6 +134,13 @@ def shares(rows: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.shapes[rows], (there / np.maximum(there.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
+def mixed(rows: np.ndarray, words: Words) -> np.ndarray:
+    """The passages' shares of shape buckets, as a matrix."""
+    buckets, weight = shares(rows, words)
+    cells = np.arange(len(rows))[:, None] * SHAPES + buckets
+    return np.bincount(cells.ravel(), weight.ravel(), len(rows) * SHAPES).reshape(len(rows), SHAPES).astype(np.float32)
+
+
 def encode(described: np.ndarray, mean_shape: np.ndarray, p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The encoder's input and the representations of passages."""
     x = np.concatenate([described, mean_shape], axis=1)
@@ -153,11 +160,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
     sizes = np.array([len(r) for r in rows])
     firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     described = np.concatenate([describe(r, words) for r in rows])
-    # passages' shapes as counts: few different buckets in a passage, so a dense small matrix is the simplest
-    mixes = np.zeros((int(sizes.sum()), SHAPES), np.float32)
-    for i, r in zip(firsts, rows):
-        buckets, weight = shares(r, words)
-        np.add.at(mixes, (np.arange(i, i + len(r))[:, None], buckets), weight)
+    every = np.concatenate(rows)
     weight = np.ones(len(labels), np.float32)
     if share is not None and 0 < share < 1 and 0 < labels.mean() < 1:
         weight = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean())).astype(np.float32)
@@ -173,7 +176,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
             place = np.concatenate([np.arange(firsts[d], firsts[d] + sizes[d]) for d in docs])
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             owner = np.repeat(np.arange(len(docs)), n)
-            mix = mixes[place]
+            mix = mixed(every[place], words)
             x, h = encode(described[place], mix @ p["shapes"], p)
             t, s, e = gate(h, p)
             a = np.exp(e - np.maximum.reduceat(e, starts)[owner])
