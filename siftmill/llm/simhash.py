@@ -44,20 +44,26 @@ PART_COUNTS = (2, 3, 4)
 COUNT_BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """The unsigned fingerprint of a UTF-8 text."""
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of a UTF-8 text's word shingles, in order and with repeats; a text of fewer words is one shingle."""
     tokens = (text or b"").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     line = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(tokens) - words + 1].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(tokens) - words + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: bytes | None, words: int = WORDS) -> int:
+    """The unsigned fingerprint of a UTF-8 text."""
+    hashes = shingles(text, words)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), COUNT_BLOCK):
         block = hashes[at : at + COUNT_BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -292,13 +298,18 @@ def links(distinct: DataFrame, tau: int = TAU, hot_bucket: int = HOT_BUCKET) ->
     return rows.mapInArrow(_verify(tau), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, tau: int = TAU, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links) of every row."""
+def _placed(docs: DataFrame, tau: int, hot_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprint of every row (doc_id, fp), and of each fingerprint its least doc_id and its component (fp, first, root)."""
     shelf = Shelf(docs.sparkSession, "simhash")
     prints = shelf.put(fingerprints(docs))
     distinct = shelf.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connect(links(distinct, tau, hot_bucket), shelf)
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return prints, distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, tau: int = TAU, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links) of every row."""
+    prints, placed = _placed(docs, tau, hot_bucket)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of = placed.join(least, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -310,19 +321,27 @@ def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, PRINT])
 
 
-def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
-    """The rows of ``docs`` (all columns) without near-duplicates: one row of each component stays.
+def one_of_each(printed: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names`` of one row of ``printed`` (which has PRINT beside them) for each root of ``groups`` (doc_id, fp, root).
 
-    It is a row of the least doc_id; of several rows with that id, one of the least fingerprint and
-    of those the one with the least text. Rows that share all of that are collapsed before the shuffle.
+    It is a row of the least doc_id (null comes last); of several rows with that id, one of the least
+    fingerprint and of those the one with the least text. Rows that share all of that are collapsed
+    before the shuffle. A fingerprint has one root, so no two roots ask for the same id and fingerprint.
     """
-    groups = near_duplicates(docs, tau)
-    least = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("fingerprint").alias("fingerprint"))
     key = F.coalesce("doc_id", F.lit(-(2**63)))  # with the flag, one key for each id and for null: what is joined by it need not be dealt again
-    wanted = least.select(key.alias(PRINT + "_id"), F.col("doc_id").isNull().alias(PRINT + "_null"), F.conv("fingerprint", 16, -10).cast("long").alias(PRINT))
-    printed = docs.mapInArrow(_append, T.StructType([*docs.schema.fields, T.StructField(PRINT, T.LongType())]))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("fp").bitwiseXOR(F.lit(-(2**63))).alias("unsigned"), "fp")
+    least = groups.groupBy("root").agg(F.min(order).alias("least")).select("least.*")
+    wanted = least.select(key.alias(PRINT + "_id"), F.col("none").alias(PRINT + "_null"), F.col("fp").alias(PRINT))
     keyed = printed.withColumn(PRINT + "_id", key).withColumn(PRINT + "_null", F.col("doc_id").isNull())
     kept = keyed.join(wanted, [PRINT + "_id", PRINT + "_null", PRINT], "left_semi")
-    row = F.struct(*(F.col(c) for c in docs.columns))
+    row = F.struct(*(F.col(c) for c in names))
     one = kept.groupBy(PRINT + "_id", PRINT + "_null", PRINT).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(PRINT + "_row"))
     return one.select(PRINT + "_row.*")
+
+
+def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """The rows of ``docs`` (all columns) without near-duplicates: one row of each component stays, as ``one_of_each`` says."""
+    prints, placed = _placed(docs, tau, HOT_BUCKET)
+    groups = prints.join(placed.select("fp", "root"), "fp")
+    printed = docs.mapInArrow(_append, T.StructType([*docs.schema.fields, T.StructField(PRINT, T.LongType())]))
+    return one_of_each(printed, groups, docs.columns)

@@ -128,3 +128,11 @@ def test_keep_one(spark):
         groups.setdefault(c if c is not None else p, []).append(k)
     assert len(got) == len(groups)
     assert got == sorted((c if not isinstance(c, str) else None for c in groups), key=str)
+
+
+def test_keep_one_of_components_without_ids_or_with_the_same_least_id(spark):
+    a, b, c, d = (" ".join(f"{letter}{i * i}" for i in range(60)) for letter in "abcd")
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (9, d), (None, c)]
+    assert len({plain_print(t) for t in (a, b, c, d)}) == 4
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (7, c), (7, d)], key=str)
