@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftmill.llm import labelled, quality, toxicity, wrapper
+from siftmill.llm.shared import Shelf
 
 # --- pages
 
@@ -181,6 +182,12 @@ def test_scores_do_not_depend_on_batches():
     assert scorer.attention(texts[0]).sum() == pytest.approx(1)
 
 
+def test_every_host_of_three_pages_has_a_template(spark):
+    pages = spark.createDataFrame([(f"h{i // 3}.org", f"<p>host {i // 3} page {i}</p>") for i in range(120)], "host string, html string").repartition(4)
+    made = wrapper.templates(pages, Shelf(spark, "test")).collect()
+    assert sorted(r["host"] for r in made) == sorted(f"h{k}.org" for k in range(40))
+
+
 # --- pipeline
 
 
