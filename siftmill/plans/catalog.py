@@ -1,6 +1,7 @@
 """Registered queries of the engine's own operators, each beside the SQL that must give the same rows.
 
-Every query runs over the whole of its input. Doubles are rounded on both sides.
+Every query runs over the whole of its input, but for str1, str3, str4, str6, lay2 and lay3 (jn10, jn11),
+whose SQL is of a part: those named ..._of_all run over the whole. Doubles are rounded on both sides.
 """
 
 from __future__ import annotations
@@ -224,7 +225,7 @@ def _(spark, d):
 
 @query("str5_first_coefficients", f"+{TRUE_PAIRS}\nSELECT paper_id, page, table_index, row_index, round(coef, 6) AS coef, CAST(stars AS INT) AS stars FROM pairs", "grid")
 def _(spark, d):
-    made = fx.fixture(spark, d, "cells").filter("row_index % 2 = 0").withColumn("cell", tokens.normal_cell(F.col("cell_text"))).filter(tokens.usable(F.col("cell")))
+    made = fx.fixture(spark, d, "cells").withColumn("cell", tokens.normal_cell(F.col("cell_text"))).filter(tokens.usable(F.col("cell")))
     return made.select("paper_id", "page", "table_index", "row_index", tokens.first_coefficient(F.col("cell")).alias("c")).filter("c IS NOT NULL").select("paper_id", "page", "table_index", "row_index", _r("c.value").alias("coef"), F.col("c.stars").alias("stars"))
 
 
@@ -234,6 +235,48 @@ def _(spark, d):
     return made.select("paper_id", "page", "table_index", "row_index", _r(tokens.first_paren(F.col("cell"))).alias("paren")).filter("paren IS NOT NULL")
 
 
+# the same over all cells: the SQL adds what the other rows and kinds hold
+ALL_CELLS = """every AS (SELECT paper_id, page, table_index, CAST(2 * pair AS INT) AS row_index,
+  CASE kind WHEN 0 THEN '0.' || lpad(CAST(c * 7 AS STRING), 2, '0') || repeat('*', 1 + c % 3) WHEN 1 THEN '0.' || lpad(CAST(c * 7 AS STRING), 2, '0') || ' (0.' || lpad(CAST(q AS STRING), 2, '0') || ')'
+  WHEN 2 THEN CAST(c AS STRING) || ') (' || CAST(c + 1 AS STRING) || ')' WHEN 3 THEN CAST(2000 + c AS STRING) WHEN 4 THEN '12 (3): 45' || CAST(c AS STRING) WHEN 5 THEN 'Controls ' || CAST(c AS STRING)
+  WHEN 6 THEN '-' || CAST(c AS STRING) || '.10' ELSE CAST(c AS STRING) || '234' END AS cell,
+  CASE kind WHEN 0 THEN ['0.' || lpad(CAST(c * 7 AS STRING), 2, '0') || repeat('*', 1 + c % 3)] WHEN 1 THEN ['0.' || lpad(CAST(c * 7 AS STRING), 2, '0'), '0.' || lpad(CAST(q AS STRING), 2, '0')]
+  WHEN 2 THEN [CAST(c AS STRING), CAST(c + 1 AS STRING)] WHEN 3 THEN [CAST(2000 + c AS STRING)] WHEN 4 THEN ['12', '3', '45' || CAST(c AS STRING)] WHEN 5 THEN [CAST(c AS STRING)]
+  WHEN 6 THEN ['-' || CAST(c AS STRING) || '.10'] ELSE [CAST(c AS STRING) || '234'] END AS raws,
+  CASE kind WHEN 1 THEN q / 100.0 WHEN 2 THEN c + 1 WHEN 4 THEN 3 END AS paren, kind <> 4 AS usable FROM grid
+UNION ALL SELECT paper_id, page, table_index, CAST(2 * pair + 1 AS INT) AS row_index,
+  CASE kind WHEN 6 THEN '-(0.' || lpad(CAST(q AS STRING), 2, '0') || ')' WHEN 7 THEN '(' || CAST(45 + q AS STRING) || ')' WHEN 0 THEN '(0.' || lpad(CAST(q AS STRING), 2, '0') || ')' WHEN 3 THEN '(0.' || lpad(CAST(q AS STRING), 2, '0') || ')' ELSE '' END AS cell,
+  CASE WHEN kind IN (0, 3, 6) THEN ['0.' || lpad(CAST(q AS STRING), 2, '0')] WHEN kind = 7 THEN [CAST(45 + q AS STRING)] ELSE CAST([] AS STRING[]) END AS raws,
+  CASE WHEN kind IN (0, 3) THEN q / 100.0 WHEN kind = 6 THEN -q / 100.0 WHEN kind = 7 THEN 45 + q END AS paren, true AS usable FROM grid)"""
+
+
+def _all_cells(spark: SparkSession, d: str) -> DataFrame:
+    return fx.fixture(spark, d, "cells").select("paper_id", "page", "table_index", "row_index", tokens.normal_cell(F.col("cell_text")).alias("cell"))
+
+
+@query("str1_normal_cells_of_all", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, cell FROM every", "grid")
+def _(spark, d):
+    return _all_cells(spark, d)
+
+
+@query("str3_numeric_tokens_of_all", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, raw, round(CAST(rtrim(raw, '*') AS DOUBLE), 6) AS value, CAST(length(raw) - length(rtrim(raw, '*')) AS INT) AS stars FROM (SELECT *, unnest(raws) AS raw FROM every)", "grid")
+def _(spark, d):
+    found = _all_cells(spark, d).select("paper_id", "page", "table_index", "row_index", F.inline(tokens.numeric_tokens(F.col("cell"))))
+    return found.select("paper_id", "page", "table_index", "row_index", "raw", _r("value").alias("value"), "stars")
+
+
+@query("str4_paren_tokens_of_all", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, round(paren, 6) AS paren FROM every WHERE paren IS NOT NULL", "grid")
+def _(spark, d):
+    found = _all_cells(spark, d).select("paper_id", "page", "table_index", "row_index", F.explode(tokens.paren_tokens(F.col("cell"))).alias("paren"))
+    return found.withColumn("paren", _r("paren"))
+
+
+@query("str6_first_paren_of_all", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, round(paren, 6) AS paren FROM every WHERE usable AND paren IS NOT NULL", "grid")
+def _(spark, d):
+    made = _all_cells(spark, d).filter(tokens.usable(F.col("cell")))
+    return made.select("paper_id", "page", "table_index", "row_index", _r(tokens.first_paren(F.col("cell"))).alias("paren")).filter("paren IS NOT NULL")
+
+
 @query("flt4_numeric_ratio", "SELECT row_index, cell_text, round(CASE WHEN length(replace(cell_text, ' ', '')) = 0 THEN 0.0 ELSE len(regexp_extract_all(cell_text, '[0-9.+*(),%-]')) / length(replace(cell_text, ' ', '')) END, 9) AS ratio, count(*) AS n FROM cells GROUP BY ALL", "cells")
 def _(spark, d):
     return fx.fixture(spark, d, "cells").groupBy("row_index", "cell_text", _r(tokens.numeric_ratio(F.col("cell_text")), 9).alias("ratio")).agg(F.count("*").alias("n"))
