@@ -810,8 +810,8 @@ def _(spark, d):
 FLAGGED = "flagged AS (SELECT l_suppkey AS paper_id, CAST(1 + (l_orderkey % 12) AS INT) AS page, l_orderkey * 100000 + l_linenumber * 10000 + l_partkey AS cell_id, min(CAST(l_linenumber * 12 AS DOUBLE)) AS y0 FROM lineitem WHERE l_linenumber >= 4 GROUP BY ALL)"
 
 
-def _flagged(spark: SparkSession, d: str) -> DataFrame:
-    made = table(spark, d, "lineitem").filter("l_linenumber >= 4").groupBy(F.col("l_suppkey").alias("paper_id"), (1 + F.col("l_orderkey") % 12).cast("int").alias("page"), (F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("cell_id")).agg(F.min((F.col("l_linenumber") * 12).cast("double")).alias("y0"))
+def _flagged(spark: SparkSession, d: str, least_line: int = 4) -> DataFrame:
+    made = table(spark, d, "lineitem").filter(F.col("l_linenumber") >= least_line).groupBy(F.col("l_suppkey").alias("paper_id"), (1 + F.col("l_orderkey") % 12).cast("int").alias("page"), (F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("cell_id")).agg(F.min((F.col("l_linenumber") * 12).cast("double")).alias("y0"))
     return made.select("paper_id", "page", "cell_id", F.array(F.lit(0.0), F.lit(0.0), F.lit(600.0), F.lit(200.0)).alias("table_bbox"), F.array(F.lit(535.0), F.col("y0"), F.lit(560.0), F.col("y0") + 10).alias("cell_bbox"))
 
 
@@ -838,6 +838,22 @@ def _(spark, d):
 QUERIES["jn11_column_labels"], ORACLES["jn11_column_labels"] = QUERIES["lay3_column_labels"], ORACLES["lay3_column_labels"]
 
 
+# the same for the flagged cells of all lines: the SQL but for its filter
+for _name in ("lay2_row_labels", "lay3_column_labels"):
+    ORACLES[_name + "_of_all"] = ORACLES[_name].replace(" WHERE l_linenumber >= 4", "")
+
+
+@query("lay2_row_labels_of_all")
+def _(spark, d):
+    return layout.row_labels(_flagged(spark, d, 1), layout.lines(fx.fixture(spark, d, "words")))
+
+
+@query("lay3_column_labels_of_all")
+def _(spark, d):
+    cells = _flagged(spark, d, 1).withColumn("cell_bbox", F.array(F.lit(300.0), F.col("cell_bbox")[1], F.lit(560.0), F.col("cell_bbox")[3]))
+    return layout.column_labels(cells, layout.lines(fx.fixture(spark, d, "words")))
+
+
 @query("agg12_table_tops", f"+{TRUE_PAIRS}\nSELECT paper_id, page, table_index, CAST(min(row_index) * 12 AS DOUBLE) AS top FROM pairs GROUP BY ALL", "grid")
 def _(spark, d):
     return summary.table_tops(tests.pairs(fx.cells(spark, d)))

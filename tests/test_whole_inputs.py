@@ -9,3 +9,9 @@ from siftmill.plans import catalog
 def test_rows_of_both_kinds_are_read(name, spark, sf):
     parities = {r[0] for r in catalog.QUERIES[name](spark, sf).selectExpr("row_index % 2").distinct().collect()}
     assert parities == {0, 1}
+
+
+@pytest.mark.parametrize("name", ["lay2_row_labels", "lay3_column_labels"])
+def test_cells_of_all_lines_are_labelled(name, spark):
+    some, every = (catalog.QUERIES[n](spark, "/root/testdata/sf0.01").select("cell_id").distinct().count() for n in (name, name + "_of_all"))
+    assert some < every
