@@ -908,7 +908,7 @@ def _(spark, d):
 @query("jn13_evidence_with_tests", f"""+ex AS (SELECT paper_id % 40 AS paper_id, page, count(*) AS n FROM stat_tests WHERE abs(abs_t - 1.96) <= 0.20 AND paper_id < 40 GROUP BY ALL)
 SELECT p.paper_id, p.page, CAST(least(3, len({BORDER}) + least(3, coalesce(n, 0))) AS BIGINT) AS n_borderline, CASE WHEN n > 0 THEN 0.35 ELSE 0.25 END AS confidence FROM page_texts p LEFT JOIN ex ON p.paper_id = ex.paper_id AND p.page = ex.page""", "stat_tests", "page_texts")
 def _(spark, d):
-    t = fx.tests(spark, d).filter("paper_id < 40").filter(F.abs(F.col("abs_t") - 1.96) <= 0.20)
+    t = fx.tests(spark, d).filter(F.abs(F.col("abs_t") - 1.96) <= 0.20)
     ex = summary.page_borderline(t).withColumn("anchor", F.lit("x")).select("paper_id", "page", "rank", "anchor", "why_borderline")
     made = report.with_test_examples(report.page_evidence(fx.fixture(spark, d, "page_texts")), ex)
     return made.select("paper_id", "page", F.size("borderline_results").cast("long").alias("n_borderline"), F.col("confidence_0_1").alias("confidence"))

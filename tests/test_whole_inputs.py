@@ -1,6 +1,7 @@
 """Queries that must not leave out a part of their input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftmill.plans import catalog
 
@@ -15,3 +16,12 @@ def test_rows_of_both_kinds_are_read(name, spark, sf):
 def test_cells_of_all_lines_are_labelled(name, spark):
     some, every = (catalog.QUERIES[n](spark, "/root/testdata/sf0.01").select("cell_id").distinct().count() for n in (name, name + "_of_all"))
     assert some < every
+
+
+def test_evidence_reads_the_tests_of_all_papers(spark, sf, monkeypatch):
+    seen = []
+    given = catalog.summary.page_borderline
+    monkeypatch.setattr(catalog.summary, "page_borderline", lambda t: seen.append(t.agg({"paper_id": "max"}).first()[0]) or given(t))
+    monkeypatch.setattr(catalog.fx, "tests", lambda s, d, given=catalog.fx.tests: given(s, d).withColumn("paper_id", F.col("paper_id") + 40))
+    catalog.QUERIES["jn13_evidence_with_tests"](spark, sf)
+    assert seen[0] is not None and seen[0] >= 40
