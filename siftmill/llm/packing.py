@@ -8,19 +8,23 @@ Bin completion: the longest piece left opens a sequence; the undominated filling
 enumerated, fullest first and of equal ones those with longer pieces first; a filling is repeated
 as often as the counts allow. Branch-and-bound revises the choices within the waste that an
 improvement may have left, with a best-fit-decreasing solution and each better one found as the
-incumbent, until the bound ceil(tokens / capacity) is met or ``NODES`` choices were tried (that
-limit can cost optimality, never a piece).
+incumbent, until ``least_sequences`` (a lower bound) is met or the search ends: ``NODES`` choices in
+all, the first ``BRANCHES`` fillings of each, and the greatest repetition only. These limits can cost
+optimality, never a piece; a plan above the bound is logged.
 
 Pieces then get the slots of their length: pieces of a length are ranked by (bucket, doc_id, piece),
 bucket sizes summed before, so a length that a third of all documents have is ranked in many tasks.
 
-Defined cases: a null or empty text is the end id alone; special tokens' strings are ordinary text;
-repeated rows are packed each; an empty table gives an empty result; further columns are ignored.
+Defined cases: a null or empty text is the end id alone; the string of an added token is that token's
+id, as the tokenizers library has it; a text of any length is encoded whole and cut; repeated rows are
+packed each; rows that tie in id, piece and ids are interchangeable; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +41,7 @@ from siftmill.llm.bpe import Codec
 from siftmill.llm.chunks import SPACE
 from siftmill.llm.shared import Shelf, columns, small
 
+LOG = logging.getLogger(__name__)
 CAPACITY = 1024
 END_ID = 2
 NODES = 2_000
@@ -72,23 +77,25 @@ def fillings(room: int, counts: dict[int, int], least: int) -> Iterator[tuple[in
         reach.append(bits)
     reach.reverse()
 
-    def fill(i: int, total: int) -> Iterator[tuple[int, ...]]:
-        if not total:
-            yield ()
-            return
-        while i < len(sizes) and not reach[i + 1] >> total & 1 and sizes[i] > total:
-            i += 1
-        if i == len(sizes):
-            return
-        s = sizes[i]
-        for k in range(min(counts[s], total // s), -1, -1):
-            if reach[i + 1] >> total - k * s & 1:
-                for rest in fill(i + 1, total - k * s):
-                    yield (s,) * k + rest
+    def fill(whole: int) -> Iterator[tuple[int, ...]]:
+        open_ = [(0, whole, ())]  # the last is continued first: no recursion, however many lengths
+        while open_:
+            i, total, taken = open_.pop()
+            if not total:
+                yield taken
+                continue
+            while i < len(sizes) and not reach[i + 1] >> total & 1 and sizes[i] > total:
+                i += 1
+            if i == len(sizes):
+                continue
+            s = sizes[i]
+            for k in range(min(counts[s], total // s) + 1):
+                if reach[i + 1] >> total - k * s & 1:
+                    open_.append((i + 1, total - k * s, taken + (s,) * k))
 
     for total in range(room, max(least, 0) - 1, -1):
         if reach[0] >> total & 1:
-            for filling in fill(0, total):
+            for filling in fill(total):
                 left = dict(counts)
                 for s in filling:
                     left[s] -= 1
@@ -116,10 +123,24 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: for each k, what is longer than capacity - k stands without any piece of k or more; the rest of them is filled up."""
+    sizes = [(s, n) for s, n in counts.items() if n]
+    best = 0
+    for k in {1, *(s for s, _ in sizes if 2 * s <= capacity)}:
+        alone = sum(n for s, n in sizes if s > capacity - k)
+        halves = [(s, n) for s, n in sizes if capacity - k >= s > capacity / 2]
+        pairs = sum(n for _, n in halves)
+        room = pairs * capacity - sum(s * n for s, n in halves)
+        rest = sum(s * n for s, n in sizes if k <= s <= capacity / 2)
+        best = max(best, alone + pairs + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
 def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """Sequences for a histogram of lengths, by bin completion with branch-and-bound."""
     tokens = sum(s * n for s, n in counts.items())
-    bound = max(-(-tokens // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
+    bound = max(-(-tokens // capacity), least_sequences(counts, capacity))
     best = best_fit(counts, capacity)
     best_n = sum(n for _, n in best)
     if best_n == bound or not tokens:
@@ -168,6 +189,8 @@ def complete(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODE
                 best, best_n = found, n
                 spare = (best_n - 1) * capacity - tokens
                 trail = [(choices(start, spare), start, spare, [])] if best_n > bound else []
+    if best_n > bound:
+        LOG.info("packing: %d sequences, lower bound %d, %d choices tried: fewer may be possible", best_n, bound, tried)
     return best
 
 
@@ -211,8 +234,17 @@ def vocabulary(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items()}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizers file takes as one token before anything else, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+        raise ValueError(f"{path}: an added token that takes more than its own string")
+    return {t["content"]: t["id"] for t in tokens if t["content"]}
+
+
 class Ids:
-    """The ids that the tokenizers library gives a text, by the same vocabulary and pattern.
+    """The ids that the tokenizers library gives a text, by the same vocabulary, pattern and added tokens.
 
     The merging is tiktoken's: ids are the same where merges come in the order of ids, and it takes
     about half the time that remembering the ids of chunks took, without the memory. White-space
@@ -223,9 +255,19 @@ class Ids:
         self.ranks = vocabulary(path)
         self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.slow: Codec | None = None
+        self.added = added_tokens(path)
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.added else None
 
     def of(self, text: str) -> bytes:
         """Four bytes, little-endian, for each id."""
+        if self.split is None or not any(t in text for t in self.added):
+            return self.ordinary(text)
+        parts = self.split.split(text)  # every second one is an added token
+        return b"".join(np.array([self.added[x]], "<u4").tobytes() if i % 2 else self.ordinary(x) for i, x in enumerate(parts))
+
+    def ordinary(self, text: str) -> bytes:
+        """The same for a text in which added tokens' strings have no meaning."""
         if len(text) >= LONG_RUN and LONG_SPACE.search(text):
             self.slow = self.slow or Codec(self.ranks)
             return self.slow.encode(text).tobytes()

@@ -118,6 +118,19 @@ def test_branch_and_bound_is_optimal_on_small_cases():
     assert check_plan({4: 2, 3: 4}, packing.complete({4: 2, 3: 4}, 10), 10) == 2
 
 
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+@settings(max_examples=100, deadline=None)
+def test_lower_bound_is_one(sizes):
+    assert packing.least_sequences(dict(Counter(sizes)), 20) <= least_bins(sizes, 20)
+
+
+def test_large_capacity_without_recursion():
+    first = next(packing.fillings(4095, {s: 1 for s in range(1, 4096)}, 0))
+    assert sum(first) == 4095
+    counts = {s: 1 for s in range(1, 4097, 3)}
+    assert check_plan(counts, packing.complete(counts, 4096, 50), 4096) >= packing.least_sequences(counts, 4096)
+
+
 def test_fillings_are_undominated():
     made = list(packing.fillings(10, {7: 1, 5: 2, 3: 2, 2: 1}, 8))
     assert made[0] == (7, 3) and set(made) >= {(5, 5), (5, 3, 2)} and all(sum(f) == 10 for f in made)
@@ -129,7 +142,6 @@ def test_ids_are_those_of_the_tokenizers_library(text):
     cache = test_ids_are_those_of_the_tokenizers_library.__dict__
     if "library" not in cache:
         cache["library"] = Tokenizer.from_file(JSON)
-        cache["library"].encode_special_tokens = True
     text = text.encode("utf-8", "ignore").decode()
     want = cache["library"].encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.ids_by(JSON).of(text), "<u4").tolist() == want
@@ -143,8 +155,8 @@ def test_ids_of_very_long_white_space():
 
 def test_pack(spark):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
-    got = packing.pack(docs(spark, [*ODD, (8, "<|endoftext|>")]), JSON).collect()
+    marked = [(8, "<|endoftext|>"), (9, "hello <|endoftext|> world <|endoftext|><|endof<|endoftext|>text|>")]
+    got = packing.pack(docs(spark, [*ODD, *marked]), JSON).collect()
     pieces = defaultdict(list)
     for r in got:
         pieces[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -155,7 +167,7 @@ def test_pack(spark):
             at += length
         assert at <= 1024
     want = Counter()
-    for k, t in [*ODD, (8, "<|endoftext|>")]:
+    for k, t in [*ODD, *marked]:
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)]
         for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
