@@ -76,6 +76,17 @@ def test_chat(spark):
     assert chat.render(turns(spark, [])).count() == 0
 
 
+def test_chat_ties_and_repeated_rows(spark):
+    rows = [
+        (1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, None, "z"), (1, None, "user", "first"), (2, None, "user", "first"), (2, 0, None, "z"), (2, 0, "user", "a"), (2, 0, "user", "b"), (2, 1, "bot", "end"),
+        (3, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "user", "same"), (0, 7, "user", "zero"), (None, 7, "user", "null"), (5, 0, "user", "x" * 200_000), (6, 0, "user", None), (6, 0, "user", ""),
+    ]
+    got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in chat.render(turns(spark, rows)).collect()}
+    assert set(got) == {2, 3, 0, None, 5, 6}  # 1 begins 2, 4 begins 3
+    assert got[2][1] == "".join(chat.TURN % x for x in [("user", "first"), ("unknown", "z"), ("user", "a"), ("user", "b"), ("bot", "end")])
+    assert got[3][0] == 2 and got[6][0] == 2 and len(got[5][1]) > 200_000 and got[None][1] == chat.TURN % ("user", "null")
+
+
 @pytest.mark.parametrize("which", ["urls", "chat"])
 def test_sql(spark, which):
     db = duckdb.connect()
