@@ -2,34 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 from siftmill.session import ship, table
 
-__all__ = ["Shelf", "checkpoint_dir", "columns", "ship", "small", "table", "utf8_list"]
+__all__ = ["Shelf", "checkpoint_dir", "columns", "quoted", "ship", "small", "table", "unused", "utf8_list"]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names; a local one only where none is set and one process does all (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.gettempdir() + "/siftmill-checkpoints"
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.gettempdir() + "/siftmill-checkpoints"
 
 
 class Shelf:
     """Intermediate tables written to the shared folder, so that a lost executor costs no lineage.
 
     ``put`` writes a DataFrame as Parquet and returns the reread table; ``drop`` removes a table
-    that nothing reads any more.
+    that nothing reads any more, ``clear`` all of a shelf. An operator's result may still read its
+    shelf, so the shelf stays until the caller clears it (``Shelf.since``) or the program ends.
     """
 
+    opened: list["Shelf"] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()  # outlive a session that is stopped
+        Shelf.opened.append(self)
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n:03d}"
@@ -40,9 +52,44 @@ class Shelf:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.shelf_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._remove(df.shelf_path)
+
+    def _remove(self, folder: str) -> None:
+        path = self._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self._conf).delete(path, True)
+
+    def clear(self) -> None:
+        """Removes every table of the shelf."""
+        if self in Shelf.opened:
+            Shelf.opened.remove(self)
+            self._remove(self.base)
+
+    @staticmethod
+    def since(mark: int) -> list["Shelf"]:
+        """The shelves opened after ``mark``, a former length of ``Shelf.opened``."""
+        return Shelf.opened[mark:]
+
+
+@atexit.register
+def _clear_all() -> None:
+    for shelf in list(Shelf.opened):
+        try:
+            shelf.clear()
+        except (Py4JError, ConnectionError):  # the JVM has gone first
+            return
+
+
+def unused(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, or that with underscores after it, so that no column of a table has the name (Spark's names know no case)."""
+    taken = {n.lower() for n in names}
+    while any(n.startswith(wanted.lower()) for n in taken):
+        wanted += "_"
+    return wanted
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -11,12 +11,13 @@ then in some group i they differ in at most t_i, so they meet in a bucket. Each
 Skew: exact copies are one fingerprint before the search. A bucket reports a spanning forest of its
 verified links, not its pairs, so a dense group of n near copies yields n - 1 rows. The forest is
 found by breadth-first search that compares a member only with members not yet reached. Buckets of
-over ``HOT_BUCKET`` members are first dealt out again by the same principle over the other bits.
+over ``HOT_BUCKET`` members are first dealt out by the same principle over the bits that their members
+need not share, again and again until none is above it.
 
 Defined cases: null and word-less texts have fingerprint 0 and link like any other; texts of one or
-two words are one shingle; repeated rows and repeated ids each keep their row; a null doc_id is
-never a component id unless its whole component has none; an empty table gives an empty result;
-further columns are ignored.
+two words are one shingle; the shingles of a text of any length all count; repeated rows and repeated
+ids each keep their row; a null doc_id is never a component id unless its whole component has none; an
+empty table gives an empty result; further columns are ignored, or kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill.llm.components import connect
-from siftmill.llm.shared import Shelf, columns, small, utf8_list
+from siftmill.llm.shared import Shelf, columns, quoted, small, unused, utf8_list
 
 PRINT = "siftmill_print"
 SEED = 42
@@ -261,40 +262,46 @@ def _verify(tau: int):
     return run
 
 
-def _deal_again(parts: list[tuple[list[int], int]], tau: int):
-    """Deals the members of hot buckets out by tau + 1 groups of the bits outside the bucket's own group."""
-    rest = []
-    for bits, _ in parts:
-        others = [b for b in range(64) if b not in set(bits)]
-        rest.append([_mask(others[j :: tau + 1]) for j in range(tau + 1)])
+BUCKET = ("part", "value", "sub")
+
+
+def _deal_again(tau: int):
+    """Deals the members of hot buckets out by tau + 1 groups of the bits not yet ``used``: two that are near are equal in one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, value, fp, exact = (c.to_numpy(zero_copy_only=False) for c in columns(batch, "part", "value", "fp", "exact"))
-            prints = fp.view(np.uint64)
-            for j in range(tau + 1):
-                masks = np.array([r[j] for r in rest], np.uint64)[part] if len(part) else np.empty(0, np.uint64)
-                # the group's index goes into a bit of the bucket's own group, which the mask leaves free
-                tag = np.array([sum(1 << b for i, b in enumerate(bits[:3]) if j >> i & 1) for bits, _ in parts], np.uint64)[part] if len(part) else np.empty(0, np.uint64)
-                sub = ((prints & masks) | tag).view(np.int64)
-                yield pa.record_batch([pa.array(part), pa.array(value), pa.array(sub), pa.array(fp), pa.array(exact)], names=["part", "value", "sub", "fp", "exact"])
+            part, value, sub, used, fp, exact = (c.to_numpy(zero_copy_only=False) for c in columns(batch, *BUCKET, "used", "fp", "exact"))
+            prints, spent = fp.view(np.uint64), used.view(np.uint64)
+            for seen in np.unique(spent):  # as many as there are groups of groups
+                here = spent == seen
+                free = [b for b in range(64) if not int(seen) >> b & 1]
+                for j in range(tau + 1):
+                    mask = _mask(free[j :: tau + 1])
+                    keys = zip(sub[here].tolist(), (prints[here] & mask).tolist())
+                    deeper = np.array([xxhash.xxh3_64_intdigest(b"%d %d %d" % (j, a, b)) for a, b in keys], np.uint64).view(np.int64)
+                    now = np.full(len(deeper), seen | mask, np.uint64).view(np.int64)
+                    yield pa.record_batch([pa.array(x) for x in (part[here], value[here], deeper, now, fp[here], exact[here])], names=[*BUCKET, "used", "fp", "exact"])
 
     return run
 
 
-def links(distinct: DataFrame, tau: int = TAU, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+def links(distinct: DataFrame, tau: int = TAU, hot_bucket: int = HOT_BUCKET, shelf: Shelf | None = None) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within ``tau`` bits whose transitive closure is that of all such pairs."""
+    shelf = shelf or Shelf(distinct.sparkSession, "links")
     n, together = bit_statistics(distinct)
     parts = plan(n, together, tau)
     filed = distinct.select("fp").mapInArrow(_file(parts), "part int, value long, fp long, exact boolean")
-    sizes = filed.groupBy("part", "value").agg(F.count("*").alias("size")).filter(F.col("size") > hot_bucket)
-    hot = [(r["part"], r["value"]) for r in sizes.limit(1).collect()]
-    rows = filed.withColumn("sub", F.lit(0).cast("long"))
-    if hot:
-        rows = filed.join(sizes.select("part", "value"), ["part", "value"], "left_anti").withColumn("sub", F.lit(0).cast("long"))
-        again = filed.join(sizes.select("part", "value"), ["part", "value"], "left_semi").mapInArrow(_deal_again(parts, tau), "part int, value long, sub long, fp long, exact boolean")
-        rows = rows.select("part", "value", "sub", "fp", "exact").unionByName(again)
-    rows = rows.select("part", "value", "sub", "fp", "exact").repartition("part", "value", "sub").sortWithinPartitions("part", "value", "sub")
+    own = F.element_at(F.array(*(F.lit(int(_mask(bits).view(np.int64))) for bits, _ in parts)), F.col("part") + 1)
+    rows = filed.select("part", "value", F.lit(0).cast("long").alias("sub"), own.alias("used"), "fp", "exact")
+    while True:
+        open_ = rows.filter(F.bit_count("used") < 64 - tau)  # tau free bits tell 2 ** tau fingerprints apart: such a bucket is never hot
+        hot = open_.groupBy(*BUCKET).agg(F.count("*").alias("size")).filter(F.col("size") > hot_bucket).select(*BUCKET)
+        if not hot.limit(1).collect():
+            break
+        hot = shelf.put(hot)
+        again = rows.join(hot, list(BUCKET), "left_semi").select(*BUCKET, "used", "fp", "exact").mapInArrow(_deal_again(tau), "part int, value long, sub long, used long, fp long, exact boolean")
+        rows = shelf.put(rows.join(hot, list(BUCKET), "left_anti").select(*BUCKET, "used", "fp", "exact").unionByName(again))
+    rows = rows.select(*BUCKET, "fp", "exact").repartition(*BUCKET).sortWithinPartitions(*BUCKET)
     return rows.mapInArrow(_verify(tau), "a long, b long")
 
 
@@ -303,7 +310,7 @@ def _placed(docs: DataFrame, tau: int, hot_bucket: int) -> tuple[DataFrame, Data
     shelf = Shelf(docs.sparkSession, "simhash")
     prints = shelf.put(fingerprints(docs))
     distinct = shelf.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connect(links(distinct, tau, hot_bucket), shelf)
+    roots = connect(links(distinct, tau, hot_bucket, shelf), shelf)
     return prints, distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -315,33 +322,40 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, hot_bucket: int = HOT_BUCKE
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _append(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        prints = np.array([fingerprint(t) for t in utf8_list(columns(batch, "text")[0])], np.uint64).view(np.int64)
-        yield pa.record_batch([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, PRINT])
+def _append(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            prints = np.array([fingerprint(t) for t in utf8_list(columns(batch, "text")[0])], np.uint64).view(np.int64)
+            yield pa.record_batch([*batch.columns, pa.array(prints, pa.int64())], names=[*batch.schema.names, name])
+
+    return run
 
 
-def one_of_each(printed: DataFrame, groups: DataFrame, names: list[str]) -> DataFrame:
-    """The columns ``names`` of one row of ``printed`` (which has PRINT beside them) for each root of ``groups`` (doc_id, fp, root).
+def one_of_each(printed: DataFrame, groups: DataFrame, names: list[str], mark: str) -> DataFrame:
+    """The columns ``names`` of one row of ``printed`` (which has ``mark`` beside them) for each root of ``groups`` (doc_id, fp, root).
 
     It is a row of the least doc_id (null comes last); of several rows with that id, one of the least
-    fingerprint and of those the one with the least text. Rows that share all of that are collapsed
-    before the shuffle. A fingerprint has one root, so no two roots ask for the same id and fingerprint.
+    fingerprint, of those the one with the least text, and of those the one whose other columns have
+    the least JSON. Rows that share id and fingerprint are collapsed before the shuffle. A fingerprint
+    has one root, so no two roots ask for the same id and fingerprint. No column may begin with ``mark``.
     """
     key = F.coalesce("doc_id", F.lit(-(2**63)))  # with the flag, one key for each id and for null: what is joined by it need not be dealt again
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("fp").bitwiseXOR(F.lit(-(2**63))).alias("unsigned"), "fp")
     least = groups.groupBy("root").agg(F.min(order).alias("least")).select("least.*")
-    wanted = least.select(key.alias(PRINT + "_id"), F.col("none").alias(PRINT + "_null"), F.col("fp").alias(PRINT))
-    keyed = printed.withColumn(PRINT + "_id", key).withColumn(PRINT + "_null", F.col("doc_id").isNull())
-    kept = keyed.join(wanted, [PRINT + "_id", PRINT + "_null", PRINT], "left_semi")
-    row = F.struct(*(F.col(c) for c in names))
-    one = kept.groupBy(PRINT + "_id", PRINT + "_null", PRINT).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias(PRINT + "_row"))
-    return one.select(PRINT + "_row.*")
+    wanted = least.select(key.alias(mark + "_id"), F.col("none").alias(mark + "_null"), F.col("fp").alias(mark))
+    keyed = printed.withColumn(mark + "_id", key).withColumn(mark + "_null", F.col("doc_id").isNull())
+    kept = keyed.join(wanted, [mark + "_id", mark + "_null", mark], "left_semi")
+    row = F.struct(*(F.col(quoted(c)) for c in names))
+    others = [F.col(quoted(c)) for c in names if c.lower() not in ("doc_id", "text")]
+    tie = F.struct(F.coalesce("text", F.lit("")), F.to_json(F.struct(*others)) if others else F.lit(""), F.col("text").isNull())
+    one = kept.groupBy(mark + "_id", mark + "_null", mark).agg(F.min_by(row, tie).alias(mark + "_row"))
+    return one.select(mark + "_row.*")
 
 
 def keep_one(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """The rows of ``docs`` (all columns) without near-duplicates: one row of each component stays, as ``one_of_each`` says."""
     prints, placed = _placed(docs, tau, HOT_BUCKET)
     groups = prints.join(placed.select("fp", "root"), "fp")
-    printed = docs.mapInArrow(_append, T.StructType([*docs.schema.fields, T.StructField(PRINT, T.LongType())]))
-    return one_of_each(printed, groups, docs.columns)
+    mark = unused(docs.columns, PRINT)
+    printed = docs.mapInArrow(_append(mark), T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
+    return one_of_each(printed, groups, docs.columns, mark)

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from helpers import ODD, docs
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftmill.llm import labelled, quality, toxicity, wrapper
+from siftmill.llm import labelled, quality, shared, simhash, toxicity, wrapper
 from siftmill.llm.shared import Shelf
 
 # --- pages
@@ -213,6 +214,62 @@ def test_pipeline(spark, tmp_path):
     assert len(kept & good) >= 0.9 * len(good) and max(kept) < 500
 
 
+def test_every_stage_stands_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and very long texts, clashing names, rows that differ in one column only."""
+    rows = corpus(120)
+    base = docs(spark, [(i + 1000, t) for i, t, _, _ in rows] + ODD + ODD)
+    twins = base.filter("doc_id = 1001").withColumn("lang", F.lit("aa"))
+    odd = base.unionByName(twins).withColumn("siftmill_score", F.lit("own")).withColumn("SIFTMILL_PRINT", F.lit(7)).withColumn("siftmill_print_row", F.lit("x"))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i + 1000, q, t) for i, _, t, q in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    key = lambda r: repr(r)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        for source in (spark.read.parquet(str(tmp_path / "documents.parquet")), frame):  # the odd rows themselves, and what the stages before left
+            made = stage(spark, source, str(tmp_path))
+            assert made.columns == odd.columns
+            whole = {key(r) for r in source.collect()}
+            assert all(key(r) in whole for r in made.collect()), name
+        made.write.parquet(str(tmp_path / f"odd{k}"))
+        frame = spark.read.parquet(str(tmp_path / f"odd{k}"))
+    kept = simhash.keep_one(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    assert len({r["text"] for r in kept}) == len(kept) and [r["lang"] for r in kept if r["doc_id"] == 1001] == ["aa"]
+    packed = corpus_pipeline.STAGES[3][1](spark, frame, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in frame.collect()}
+
+
+def test_shelves_are_removed(spark, tmp_path):
+    docs(spark, [(i, t) for i, t, _, _ in corpus(40)]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, q, t) for i, _, t, q in corpus(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    mark = len(Shelf.opened)
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = Shelf.since(mark)
+    assert [Path(s.base).name.split("-")[0] for s in left] == ["pipeline", "packing"]  # what the result still reads
+    assert [p.name for p in Path(left[0].base).iterdir()] == ["002"]
+    for shelf in left:
+        shelf.clear()
+        assert not Path(shelf.base).exists()
+
+
+def test_a_cluster_must_name_its_folder():
+    class Fake:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.checkpoint_dir(Fake)
+    Fake.sparkContext.master = "local[4]"
+    assert shared.checkpoint_dir(Fake).endswith("siftmill-checkpoints")
+
+
+def test_long_labelled_texts_are_represented(spark):
+    long = "".join(f"{i:07d} " for i in range(10_000))
+    got = labelled.sample(docs(spark, [(1, long), (3, "short"), (4, None)]), spark.createDataFrame([(1, 1, 1), (3, 0, 0), (4, 0, 0)], "doc_id long, quality int, toxic int"), "toxic", 10)
+    texts = dict(zip(got["doc_id"], got["text"]))
+    assert texts[3] == "short" and 4 not in texts
+    assert len(texts[1]) == labelled.TRAIN_CHARS + labelled.TRAIN_PARTS - 1 and texts[1][:2000] == long[:2000] and texts[1][-2000:] == long[-2000:]
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
