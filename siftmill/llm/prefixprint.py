@@ -2,51 +2,70 @@
 
 For code points c_0 .. c_(n-1) the prefix array of a modulus p is P[k] = sum over j < k of
 (c_j + 1) * B^j mod p. Any two spans are equal, but for a chance of about 2^-62, when
-(P[j] - P[i]) * B^i' matches (P'[j'] - P'[i']) * B^i for both moduli; longest common extensions
+(P[j] - P[i]) * B^-i matches (P'[j'] - P'[i']) * B^-i' for both moduli; longest common extensions
 from either end are found by binary search. The printed fingerprint is the end of both arrays with
-the length. The likeness of two fingerprints is the share of the longer text that their longest
-common extension from the front and the one from the back cover without overlap.
+the length.
 
-Every document meets its successor in doc_id order. Rows are dealt to ranges of doc_id whose bounds
-come from quantiles over all ids, the first row of a range also goes to the range before it, and a
-range is read in order as a stream with one row of look-ahead: one shuffle of the texts, and no task
-holds more than two texts with their arrays.
+Likeness: in either text, code points are common that lie in the longest common extension from the
+front, in that from the back (without overlap), or in a span of ``SPAN`` code points that the other
+text has anywhere, looked up by its hash. The lesser number of common code points over the length of
+the longer text is the likeness: scattered edits cost little more than themselves.
+
+Every document meets its successor. Rows are ordered by doc_id, then the first ``HEAD`` code points of
+the text, its hash and the row's place in the input, dealt by Spark to ranges of that order, and a
+range is read as a stream. The last row of a range meets the first of the next in a join of these
+rows alone. So the texts are shuffled once, ranges grow in number with the corpus, no task holds more
+than two texts with their arrays, and rows of one id (or of none) are split like others.
 
 Defined cases: a null text is empty; a null doc_id comes before all others; rows with equal ids are
-ordered by text; a single row is its own successor; two empty texts have likeness 1; repeated rows
-each keep their row; an empty table gives an empty result; further columns are ignored.
+in the order above; a single row is its own successor; two empty texts have likeness 1; texts of any
+length are hashed whole; repeated rows each keep their row; an empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.shared import columns, small
+from siftmill.llm.shared import Shelf, columns, small
 
 MODULI = (2147483647, 2147483629)  # primes below 2^31
 BASES = (911382323, 972663749)
-ROWS_PER_RANGE = 1024
-MAX_RANGES = 20_000
+SPAN = 32
+HEAD = 32
+BYTES_PER_RANGE = 1 << 25
 BLOCK = 1 << 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDGES = SCHEMA + ", range long, is_first boolean, text string"
 
 _powers = [np.ones(1, np.uint64) for _ in MODULI]
+_inverses = [np.ones(1, np.uint64) for _ in MODULI]
 
 
-def powers(which: int, upto: int) -> np.ndarray:
-    """B^0 .. B^upto of a modulus; the table doubles when it is too short."""
+def _grown(tables: list[np.ndarray], base: int, which: int, upto: int) -> np.ndarray:
+    """base^0 .. base^upto of a modulus; the table doubles when it is too short."""
     p = np.uint64(MODULI[which])
-    while len(_powers[which]) <= upto:
-        have = _powers[which]
-        step = np.uint64(pow(BASES[which], len(have), MODULI[which]))
-        _powers[which] = np.concatenate([have, have * step % p])
-    return _powers[which]
+    while len(tables[which]) <= upto:
+        have = tables[which]
+        step = np.uint64(pow(base, len(have), MODULI[which]))
+        tables[which] = np.concatenate([have, have * step % p])
+    return tables[which]
+
+
+def powers(which: int, upto: int) -> np.ndarray:
+    return _grown(_powers, BASES[which], which, upto)
+
+
+def inverses(which: int, upto: int) -> np.ndarray:
+    return _grown(_inverses, pow(BASES[which], -1, MODULI[which]), which, upto)
 
 
 def codes(text: str) -> np.ndarray:
@@ -58,7 +77,7 @@ class Prefixes:
 
     def __init__(self, points: np.ndarray, shared: "Prefixes | None" = None, keep: int = 0):
         """``shared`` and ``keep``: the first ``keep`` points are those of another text, whose arrays serve for them."""
-        self.n = len(points)
+        self.n, self.shared, self.keep = len(points), shared, keep
         self.arrays = []
         for which, p in enumerate(MODULI):
             out = np.empty(self.n + 1, np.uint32)
@@ -105,12 +124,43 @@ class Prefixes:
                 high = mid - 1
         return low
 
+    @cached_property
+    def spans(self) -> np.ndarray:
+        """The hashes of all spans of SPAN points by their start; equal spans have equal ones wherever they stand."""
+        count = max(0, self.n - SPAN + 1)
+        known = min(count, max(0, self.keep - SPAN + 1)) if self.shared is not None else 0
+        out = np.zeros(count, np.uint64)
+        if known:
+            out[:known] = self.shared.spans[:known]
+        for which, p in enumerate(MODULI):
+            a, inverse, p = self.arrays[which], inverses(which, count), np.uint64(p)
+            for at in range(known, count, BLOCK):
+                to = min(count, at + BLOCK)
+                between = (a[at + SPAN : to + SPAN].astype(np.uint64) + p - a[at:to]) % p
+                out[at:to] = out[at:to] << np.uint64(31) | between * inverse[at:to] % p
+        return out
+
+    def common(self, other: "Prefixes", front: int, back: int) -> int:
+        """How many points are in the extensions from both ends or in a span that the other text has."""
+        low, high = max(0, front - SPAN + 1), min(self.n - back, len(self.spans))  # starts of spans that reach between the ends
+        if high <= low or not len(other.spans):
+            return front + back
+        found = np.flatnonzero(np.isin(self.spans[low:high], other.spans)) + low
+        marks = np.zeros(self.n + 1, np.int32)
+        marks[found] += 1
+        marks[found + SPAN] -= 1
+        covered = np.cumsum(marks[:-1]) > 0
+        return front + back + int(np.count_nonzero(covered[front : self.n - back]))
+
     def likeness(self, other: "Prefixes") -> float:
         longer = max(self.n, other.n)
         if not longer:
             return 1.0
         front = self.common_front(other)
-        return (front + self.common_back(other, min(self.n, other.n) - front)) / longer
+        back = self.common_back(other, min(self.n, other.n) - front)
+        if front + back == min(self.n, other.n):
+            return (front + back) / longer
+        return min(self.common(other, front, back), other.common(self, front, back)) / longer
 
 
 def _row(doc_id: int | None, text: str, own: Prefixes, after: str, following: Prefixes) -> tuple:
@@ -121,71 +171,50 @@ def _row(doc_id: int | None, text: str, own: Prefixes, after: str, following: Pr
     return doc_id, own.n, digest, str(own), str(changed), own.likeness(changed), own.likeness(following)
 
 
+NAMES = [c.split()[0] for c in EDGES.split(", ")]
+TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in EDGES.split(", ")]
+WIDTH = len(SCHEMA.split(", "))
+
+
+def _block(rows: list[tuple], width: int) -> pa.RecordBatch:
+    cells = zip(*rows) if rows else [[]] * width
+    return pa.record_batch([pa.array(x, t) for x, t in zip(cells, TYPES)], names=NAMES[:width])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by range, own rows before those that are there to be looked ahead at."""
+    """A row for each document but the range's last, whose text is given out like that of the first."""
+    here, empty = TaskContext.get().partitionId(), (None,) * (WIDTH - 1)
     held: tuple | None = None
-    out: list[tuple] = []
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    types = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in SCHEMA.split(", ")]
+    for batch in small(batches):
+        out: list[tuple] = []
+        for doc_id, text in zip(*(c.to_pylist() for c in columns(batch, "doc_id", "text"))):
+            own = Prefixes(codes(text))
+            out.append((*_row(*held, text, own), None, None, None) if held else (doc_id, *empty, here, True, text))
+            held = (doc_id, text, own)
+        yield _block(out, len(NAMES))
+    if held:
+        yield _block([(held[0], *empty, here, False, held[1])], len(NAMES))
 
-    def block() -> pa.RecordBatch:
-        made = pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(names), types)], names=names)
-        out.clear()
-        return made
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
-        for rid, ahead, doc_id, text in zip(*(c.to_pylist() for c in columns(batch, "rid", "ahead", "doc_id", "text"))):
-            own = None
-            if held and held[0] == rid:
-                own = Prefixes(codes(text))
-                out.append(_row(held[1], held[2], held[3], text, own))
-            held = None if ahead else (rid, doc_id, text, own or Prefixes(codes(text)))
-        yield block()
-
-
-def _ranges(bounds: np.ndarray):
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = columns(batch, "k")[0].to_numpy(zero_copy_only=False)
-            if len(keys):
-                keys = np.unique(keys)
-                rids, at = np.unique(np.searchsorted(bounds, keys, "right"), return_index=True)
-                yield pa.record_batch([pa.array(rids, pa.int64()), pa.array(keys[at])], names=["rid", "k"])
-
-    return least
-
-
-def _deal(bounds: np.ndarray, before: dict[int, int]):
-    """Adds the range of each row, and a second copy of a range's first row for the range ``before`` it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids, texts = columns(batch, "k", "doc_id", "text")
-            array = keys.to_numpy(zero_copy_only=False)
-            rids = np.searchsorted(bounds, array, "right")
-            yield pa.record_batch([pa.array(rids, pa.int64()), pa.array(np.zeros(len(rids), bool)), keys, ids, texts], names=["rid", "ahead", "k", "doc_id", "text"])
-            first = np.array([k in before for k in array.tolist()], bool)
-            if first.any():
-                mask = pa.array(first)
-                to = pa.array([before[k] for k in array[first].tolist()], pa.int64())
-                yield pa.record_batch([to, pa.array(np.ones(len(to), bool)), keys.filter(mask), ids.filter(mask), texts.filter(mask)], names=["rid", "ahead", "k", "doc_id", "text"])
-
-    return run
-
-
-def fingerprints(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+        rows = zip(*(c.to_pylist() for c in columns(batch, "doc_id", "text", "after")))
+        yield _block([_row(i, text, Prefixes(codes(text)), after, Prefixes(codes(after))) for i, text, after in rows], WIDTH)
+
+
+def fingerprints(docs: DataFrame, bytes_per_range: int = BYTES_PER_RANGE) -> DataFrame:
     """The columns of SCHEMA for every row of ``docs``."""
     spark = docs.sparkSession
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keys = keyed.select("k")
-    count = keys.count()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, min(MAX_RANGES, max(4 * parts, count // rows_per_range)))
-    shares = [i / n for i in range(1, n)]
-    bounds = keys.agg(F.percentile_approx("k", shares, max(10_000, 4 * n)).alias("q")).first()["q"] if shares else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
-    firsts = keys.mapInArrow(_ranges(bounds), "rid long, k long").groupBy("rid").agg(F.min("k").alias("k")).orderBy("rid").collect()  # a row for each range
-    before = {row["k"]: firsts[i - 1]["rid"] for i, row in enumerate(firsts)}
-    dealt = keyed.mapInArrow(_deal(bounds, before), "rid long, ahead boolean, k long, doc_id long, text string")
-    ordered = dealt.repartition(max(parts, n // 16), "rid").sortWithinPartitions("rid", "ahead", "k", "text")
-    return ordered.mapInArrow(_pairs, SCHEMA)
+    shelf = Shelf(spark, "prefixprint")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // bytes_per_range)
+    order = {"k": F.coalesce("doc_id", F.lit(-(2**63))), "head": F.substring("text", 1, HEAD), "h": F.xxhash64("text"), "place": F.monotonically_increasing_id()}
+    dealt = rows.withColumns(order).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    made = shelf.put(dealt.mapInArrow(_pairs, EDGES))
+    edges = made.filter(F.col("range").isNotNull()).select("doc_id", "range", "is_first", "text")
+    lasts, firsts = edges.filter(~F.col("is_first")).drop("is_first"), edges.filter("is_first").select(F.col("range").alias("follows"), F.col("text").alias("after"))
+    all_ranges = Window.orderBy("range")  # a number for each range is all that comes together
+    following = lasts.select("range").withColumn("follows", F.coalesce(F.lead("range").over(all_ranges), F.first("range").over(all_ranges)))
+    across = lasts.join(following, "range").join(firsts, "follows").select("doc_id", "text", "after").mapInArrow(_across, SCHEMA)
+    return made.filter(F.col("range").isNull()).select(*NAMES[:WIDTH]).unionByName(across)

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ import tiktoken
 from helpers import LONG, ODD, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from siftmill.llm import bpe, chunks, packing, prefixprint, rules
@@ -24,23 +26,32 @@ RANKS, JSON = (public_tokenizers.path(f"byte_bpe_50k.{e}") for e in ("tiktoken",
 # --- prefix fingerprints
 
 
-def plain_likeness(a, b):
+def plain_likeness(a, b, span=prefixprint.SPAN):
     m = min(len(a), len(b))
     front = next((i for i in range(m) if a[i] != b[i]), m)
     back = next((i for i in range(m - front) if a[-1 - i] != b[-1 - i]), m - front)
-    return (front + back) / max(len(a), len(b)) if a or b else 1.0
 
+    def common(x, y):
+        within = {*range(front), *range(len(x) - back, len(x))}
+        for i in range(len(x) - span + 1):
+            if x[i : i + span] in y:
+                within |= {*range(i, i + span)}
+        return len(within)
 
-@pytest.mark.parametrize("per_range", [1024, 2])
+    return min(common(a, b), common(b, a)) / max(len(a), len(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize("per_range", [1 << 25, 16])
 def test_fingerprints(spark, per_range):
-    rows = sorted(((k, t or "") for k, t in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
-    want = []
+    odd = [(k, t[:3000] if t else t) for k, t in ODD]  # the plain version is slow; the whole long text is in the next test
+    rows = sorted(((k, t or "") for k, t in odd), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    want, likeness = [], lru_cache(None)(plain_likeness)
     for i, (k, t) in enumerate(rows):
         after = rows[(i + 1) % len(rows)][1]
         cut = len(t) // 4
         edited = t[: len(t) - cut] + after[:cut]
-        want.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), plain_likeness(t, edited), plain_likeness(t, after)))
-    got = prefixprint.fingerprints(docs(spark, ODD), per_range).collect()
+        want.append((k, len(t), hashlib.sha256(edited.encode()).hexdigest(), likeness(t, edited), likeness(t, after)))
+    got = prefixprint.fingerprints(docs(spark, odd), per_range).collect()
     assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got), key=str) == sorted(want, key=str)
     by_size = defaultdict(set)
     for r in got:
@@ -52,6 +63,40 @@ def test_fingerprints_of_one_row_and_none(spark):
     only = prefixprint.fingerprints(docs(spark, [(1, "abcdefgh")])).first()
     assert only["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and only["near_next"] == 1.0
     assert prefixprint.fingerprints(docs(spark, [])).count() == 0
+    long = prefixprint.fingerprints(docs(spark, [(1, LONG), (2, LONG)])).collect()
+    assert [r["near_next"] for r in long] == [1.0, 1.0] and all(r["n_chars"] == len(LONG) for r in long)
+
+
+def test_many_rows_without_an_id_are_split(spark):
+    frame = docs(spark, [(None, f"text {i % 7} of many") for i in range(600)]).repartition(8)
+    got = prefixprint.fingerprints(frame, 400).collect()
+    assert len(got) == 600 and sum(r["near_next"] < 1 for r in got) == 7  # seven runs of equal texts
+    sizes = prefixprint.fingerprints(frame, 400).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) < 200
+
+
+def test_scattered_edits_cost_little():
+    rng = random.Random(4)
+    a = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    b = list(a)
+    for at in range(200, 4000, 400):
+        b[at] = "#"
+    own, other = (prefixprint.Prefixes(prefixprint.codes(x)) for x in (a, "".join(b)))
+    assert own.likeness(other) == 1 - 10 / 4000 == other.likeness(own)
+    far = prefixprint.Prefixes(prefixprint.codes("".join(rng.choice("abcdefgh ") for _ in range(4000))))
+    assert own.likeness(far) < 0.01
+    repeated = prefixprint.Prefixes(prefixprint.codes(a[:40] * 50))
+    assert own.likeness(repeated) < 0.02
+
+
+@given(st.text(alphabet="ab", max_size=90), st.text(alphabet="ab", max_size=90), st.integers(0, 90))
+@settings(max_examples=150, deadline=None)
+def test_likeness_of_edited_texts(a, b, at):
+    edited = a[:at] + b[: at // 9] + a[at + at // 11 :]
+    own = prefixprint.Prefixes(prefixprint.codes(a))
+    shared = next((i for i in range(min(len(a), len(edited))) if a[i] != edited[i]), min(len(a), len(edited)))
+    for changed in (prefixprint.Prefixes(prefixprint.codes(edited)), prefixprint.Prefixes(prefixprint.codes(edited), own, shared)):
+        assert own.likeness(changed) == plain_likeness(a, edited) == changed.likeness(own)
 
 
 @given(st.text(alphabet="ab", max_size=60), st.text(alphabet="ab", max_size=60))
