@@ -2,7 +2,8 @@
 
 A listed rule is a host and a path; it fits every URL of that host or a subdomain whose path starts
 with the rule's. The canonical key of a rule is host + path. A URL's candidate keys are the host
-suffixes with as many labels as some rule has, each with the path prefixes as long as some rule's.
+suffixes with as many labels as some rule has, each with the path prefixes as long as that rule's:
+the list's different shapes (labels, path length) stand in the plan as one array, however many rules.
 Candidates that the Bloom filter passes go to a hash join with the list, which removes the false
 positives; the longest key wins (then the longer host; of equal keys with both actions, allow).
 A URL that no rule fits gets the method's own verdict, ``default``.
@@ -11,12 +12,14 @@ The Bloom filter's size is bounded (see ``bloom``): beyond it more false positiv
 and the result is the same. Whether the list is broadcast is left to
 Spark's own size check. Column expressions only.
 
-Defined cases: a null URL or one without "://" has an empty host and path and fits no rule; repeated
-rows each keep their row; an empty table gives an empty result; further columns are ignored.
+Defined cases: a null URL or one without "://" has an empty host and path and fits no rule; a URL of any
+length is taken whole; repeated rows each keep their row; repeated rules are one; an empty list of rules
+leaves every URL to ``default``; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -40,8 +43,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def candidates(host: Column, path: Column, shapes: Sequence[tuple[int, int]]) -> Column:
     """The candidate keys of a URL for the (labels, path length) shapes that the list has."""
-    keys = [F.when(F.length(path) >= length, F.concat(F.substring_index(host, ".", -labels), F.substring(path, 1, length))) for labels, length in shapes]
-    return F.array_compact(F.array_distinct(F.array(*keys))) if keys else F.array().cast("array<string>")
+    listed = F.from_json(F.lit(json.dumps([{"labels": n, "path": m} for n, m in shapes])), "array<struct<labels int, path int>>")
+    labels = F.split(host, r"\.")
+    fitting = F.filter(listed, lambda s: (s["path"] <= F.length(path)) & (s["labels"] <= F.size(labels)))
+    keys = F.transform(fitting, lambda s: F.concat(F.array_join(F.slice(labels, F.size(labels) - s["labels"] + 1, s["labels"]), "."), F.substr(path, F.lit(1), s["path"])))
+    return F.array_distinct(keys)
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:

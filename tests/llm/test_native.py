@@ -57,6 +57,17 @@ def test_bloom_has_no_false_negatives(spark):
     assert other.filter(may(other["key"])).count() < 250
 
 
+def test_the_plan_does_not_grow_with_the_list(spark):
+    def size(n):
+        rules = spark.createDataFrame([(".".join(["a"] * (1 + i % 9)), "/" + "p" * (i // 9), "block") for i in range(n)], "host string, path string, action string")
+        made = urlfilter.judge(pages(spark), rules)
+        assert made.count() == pages(spark).count()
+        return len(made._jdf.queryExecution().analyzed().toString().split("substr"))
+
+    assert size(300) == size(3)
+    assert {r["verdict"] for r in urlfilter.judge(pages(spark), listed(spark).limit(0)).collect()} == {"allow"}
+
+
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "bot", "yes"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yes"), (3, 2, "user", "more"), (4, 5, "user", "hi"), (4, 6, "bot", "no"),
     (5, 0, "user", None), (5, 1, "bot", "x"), (6, 0, "user", ""), (7, 0, None, "alone"), (8, 0, "user", "hi"), (8, 1, "bot", "no"), (None, 0, "user", "lost"), (9, 1, "b", "t"), (9, 1, "a", "t"),
