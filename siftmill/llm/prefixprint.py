@@ -124,28 +124,47 @@ class Prefixes:
                 high = mid - 1
         return low
 
+    def _hashes(self, which: int, starts: np.ndarray) -> np.ndarray:
+        """The hashes of the spans of SPAN points at some starts by one modulus; equal spans have equal ones wherever they stand."""
+        a, p = self.arrays[which], MODULI[which]
+        between = a[starts + SPAN].astype(np.int64) - a[starts]
+        between += (between >> 63) & p
+        return (between.astype(np.uint64) * inverses(which, self.n)[starts] % np.uint64(p)).astype(np.uint32)
+
     @cached_property
     def spans(self) -> np.ndarray:
-        """The hashes of all spans of SPAN points by their start; equal spans have equal ones wherever they stand."""
+        """The hashes of all spans by the first modulus, by their start."""
         count = max(0, self.n - SPAN + 1)
         known = min(count, max(0, self.keep - SPAN + 1)) if self.shared is not None else 0
-        out = np.zeros(count, np.uint64)
+        out = np.empty(count, np.uint32)
         if known:
             out[:known] = self.shared.spans[:known]
-        for which, p in enumerate(MODULI):
-            a, inverse, p = self.arrays[which], inverses(which, count), np.uint64(p)
-            for at in range(known, count, BLOCK):
-                to = min(count, at + BLOCK)
-                between = (a[at + SPAN : to + SPAN].astype(np.uint64) + p - a[at:to]) % p
-                out[at:to] = out[at:to] << np.uint64(31) | between * inverse[at:to] % p
+        for at in range(known, count, BLOCK):
+            to = min(count, at + BLOCK)
+            out[at:to] = self._hashes(0, np.arange(at, to))
         return out
 
+    def _like(self, low: int, high: int, wanted: np.ndarray) -> np.ndarray:
+        """The starts from low to high of spans that may be wanted: all that are, and few others."""
+        bits = max(12, min(26, (16 * len(wanted)).bit_length()))
+        table, mask = np.zeros(1 << bits, bool), np.uint32((1 << bits) - 1)
+        table[wanted & mask] = True
+        return np.flatnonzero(table[self.spans[low:high] & mask]) + low
+
+    def _keys(self, starts: np.ndarray) -> np.ndarray:
+        return self.spans[starts].astype(np.uint64) << np.uint64(31) | self._hashes(1, starts)
+
     def common(self, other: "Prefixes", front: int, back: int) -> int:
         """How many points are in the extensions from both ends or in a span that the other text has."""
         low, high = max(0, front - SPAN + 1), min(self.n - back, len(self.spans))  # starts of spans that reach between the ends
         if high <= low or not len(other.spans):
             return front + back
-        found = np.flatnonzero(np.isin(self.spans[low:high], other.spans)) + low
+        found = self._like(low, high, other.spans)
+        if len(found):
+            theirs = other._like(0, len(other.spans), self.spans[found])
+            found = found[np.isin(self._keys(found), other._keys(theirs))]
+        if not len(found):
+            return front + back
         marks = np.zeros(self.n + 1, np.int32)
         marks[found] += 1
         marks[found + SPAN] -= 1
