@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftmill import fixed
 
@@ -55,27 +54,24 @@ def normalized_ratio(left: Column, right: Column) -> Column:
     return F.when(n <= 0, F.lit(0.0)).otherwise((left - right) / F.greatest(n, F.lit(1)))
 
 
-def erfc(x: Column) -> Column:
-    """The complementary error function, in batches of math.erfc."""
-    return _erfc(x)
+def _fraction(x: Column, over: tuple[float, ...], under: tuple[float, ...]) -> Column:
+    """A fraction of two polynomials, each from the highest power down."""
+    top, bottom = (functools.reduce(lambda sum_, c: sum_ * x + c, coefficients[1:], F.lit(coefficients[0])) for coefficients in (over, under))
+    return top / bottom
 
 
-@F.pandas_udf(T.DoubleType())
-def _erfc(x: pd.Series) -> pd.Series:
-    return x.map(math.erfc, na_action="ignore")
+def erfc(x: Column) -> Column:
+    """The complementary error function for x >= 0, in doubles: rational approximations in three ranges."""
 
+    def parts(z: Column) -> Column:
+        square = z * z
+        near = 1 - z * _fraction(square, *fixed.ERF_NEAR)
+        middle = F.exp(-square) * _fraction(z, *fixed.ERF_MIDDLE)
+        inverse = 1 / square
+        far = F.exp(-square) / z * (1 / math.sqrt(math.pi) - inverse * _fraction(inverse, *fixed.ERF_FAR))
+        return F.when(z <= 0.46875, near).when(z <= 4, middle).otherwise(far)
 
-def erfc_series(x: Column) -> Column:
-    """erfc without Python, for x >= 0, to about 1e-11: a Taylor series up to 3, a continued fraction beyond."""
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(80)),
-        F.struct(x.alias("term"), x.alias("sum")),
-        lambda a, k: F.struct((a["term"] * -x * x / k).alias("term"), (a["sum"] + a["term"] * -x * x / k / (2 * k + 1)).alias("sum")),
-        lambda a: 1 - 2 / math.sqrt(math.pi) * a["sum"],
-    )
-    fraction = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x, lambda a, k: x + k / 2.0 / a)
-    tail = F.exp(-x * x) / math.sqrt(math.pi) / fraction
-    return F.when(x < 3, series).otherwise(tail)
+    return F.get(F.transform(F.array(x), parts), F.lit(0))  # x is worked out once
 
 
 def p_of_t(abs_t: Column) -> Column:
@@ -105,7 +101,7 @@ def binomial_p(k: Column, n: Column) -> Column:
         lambda a: a["cdf"],
     )
     exact = F.when(2 * k == n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
-    normal = erfc_series(F.abs(2 * k - n) / F.sqrt(n.cast("double")) / math.sqrt(2))
+    normal = erfc(F.abs(2 * k - n) / F.sqrt(n.cast("double")) / math.sqrt(2))
     return F.when((n > 0) & (k >= 0) & (k <= n), F.when(n > fixed.EXACT_N, normal).otherwise(exact))
 
 

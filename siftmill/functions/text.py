@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +36,11 @@ def p_values(text: Column) -> Column:
     return F.filter(F.transform(found, lambda v: v.cast("double")), lambda v: v.between(0.0, 1.0))
 
 
+def p_sample(values: Column, most: int = 30) -> Column:
+    """The least p-values of an array, ascending."""
+    return F.slice(F.array_sort(values), 1, most)
+
+
 def reference_page(text: Column) -> Column:
     """Whether a page looks like a list of references."""
 
@@ -141,49 +146,50 @@ def anchor(page: Column, table_index: Column, coef: Column, paren: Column, t: Co
     """Where a test is found, as text: p.3 · Table#1 · coef=… · paren=… · |t|≈2.01 · p≈0.0444."""
     filled = lambda c: F.when(F.length(strip(F.coalesce(c, F.lit("")))) > 0, strip(c))
     known = lambda c: F.when(c.isNotNull() & ~F.isnan(c), c)
+    shown = _shown(F.abs(known(t)), known(p))
     bits = F.concat_ws(
         " · ",
         F.concat(F.lit("p."), page.cast("string")),
         F.concat(F.lit("Table#"), (table_index + 1).cast("string")),
         F.concat(F.lit("coef="), filled(coef)),
         F.concat(F.lit("paren="), filled(paren)),
-        F.concat(F.lit("|t|≈"), _fixed_point(F.abs(known(t)))),
-        F.concat(F.lit("p≈"), _three_digits(known(p))),
+        F.concat(F.lit("|t|≈"), shown["t"]),
+        F.concat(F.lit("p≈"), shown["p"]),
     )
     return F.when(F.length(bits) > 0, bits).otherwise(F.lit("(unavailable)"))
 
 
-@F.pandas_udf(T.StringType())
-def _fixed_point(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: f"{v:.2f}", na_action="ignore").astype(object)
+@F.pandas_udf(T.StructType([T.StructField("t", T.StringType()), T.StructField("p", T.StringType())]))
+def _shown(t: pd.Series, p: pd.Series) -> pd.DataFrame:
+    """Both numbers as text, half to even on their exact values as no JVM format has it; whole columns at a time."""
+
+    def column(x: pd.Series, form: str) -> pd.Series:
+        return pd.Series(np.char.mod(form, x.to_numpy(np.float64, na_value=np.nan)), dtype=object).where(x.notna().to_numpy(), None)
+
+    return pd.DataFrame({"t": column(t, "%.2f"), "p": column(p, "%.3g")})
 
 
-@F.pandas_udf(T.StringType())
-def _three_digits(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: f"{v:.3g}", na_action="ignore").astype(object)
+def _around(text: Column, pattern: Column, around: int, cut: int) -> Column:
+    """What stands around each hit of a pattern, each hit by itself, also where these parts overlap."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
 
+    def one(sofar: Column, piece: Column) -> Column:
+        at = sofar["at"] + F.length(piece["before"])
+        first = F.greatest(F.lit(0), at - around)
+        end = at + F.length(piece["hit"])
+        return F.struct(end.alias("at"), F.concat(sofar["out"], F.array(clean_snippet(F.substring(text, first + 1, end + around - first), cut))).alias("out"))
 
-def snippets(text: Column, patterns: tuple[str, ...], most: int = 6, around: int = 80, cut: int = 220) -> Column:
-    """Hits of the patterns with ``around`` characters on either side, pattern after pattern, each text once."""
-    compiled = [re.compile(re.sub(r"^\(\?i?m?U\)", "", p), re.I) for p in patterns]
+    pieces = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, h: F.struct(b.alias("before"), h.alias("hit")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(pieces, start, one, lambda done: done["out"])
 
-    def clean(s: str) -> str:
-        s = " ".join(s.split())
-        return s if len(s) <= cut else s[: cut - 1].rstrip() + "…"
 
-    def of(text: str | None) -> list[str]:
-        kept: dict[str, str] = {}
-        for pattern in compiled:
-            for m in pattern.finditer(text or ""):
-                snippet = clean(text[max(0, m.start() - around) : m.end() + around])
-                if snippet:
-                    kept.setdefault(snippet.lower(), snippet)
-                if len(kept) == most:
-                    return list(kept.values())
-        return list(kept.values())
+def snippets(text: Column, patterns: "Iterable[str] | Iterable[Column]", most: int = 6, around: int = 80, cut: int = 220) -> Column:
+    """Hits of the patterns with ``around`` characters on either side, pattern after pattern, each text once (whatever its case)."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(of)
+    def of(t: Column) -> Column:
+        every = F.concat(*(_around(t, F.lit(p) if isinstance(p, str) else p, around, cut) for p in patterns))
+        named = F.filter(every, lambda s: F.length(s) > 0)
+        return let(named, lambda all_: let(F.transform(all_, F.lower), lambda low: F.filter(all_, lambda s, k: F.array_position(low, F.lower(s)) == k + 1)))
 
-    return run(text)
+    return F.slice(let(F.coalesce(text, F.lit("")), of), 1, most)

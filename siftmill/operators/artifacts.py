@@ -24,15 +24,13 @@ def inventory(captions: DataFrame, cap: int | None = None) -> DataFrame:
 def mentions(items: DataFrame, pages: DataFrame, most: int = 8, of_page: int = 2) -> DataFrame:
     """paper_id, kind, id, page, snippet, rank: where a paper's pages name an artifact.
 
-    Pages meet the artifacts of their own paper by an equi-join; the pattern is tested after it.
+    Pages meet the artifacts of their own paper by an equi-join; the pattern is tested after it. Each
+    hit has its own surroundings, also where they overlap.
     """
     both = pages.select("paper_id", "page", "text").join(items.select("paper_id", "kind", "id"), "paper_id")
     name = F.concat(F.lit(r"(?iU)\b\Q"), F.col("id"), F.lit(r"\E\b"))
     found = both.filter(F.regexp_like(F.coalesce("text", F.lit("")), name))
-    # the two hits of a page, each with what stands around it
-    around = F.concat(F.lit(r"(?isU)(.{0,140}\b\Q"), F.col("id"), F.lit(r"\E\b.{0,140})"))
-    snips = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), around, F.lit(1)), lambda s: text.clean_snippet(s))), 1, of_page)
-    rows = found.select("paper_id", "kind", "id", "page", F.posexplode(snips).alias("k", "snippet"))
+    rows = found.select("paper_id", "kind", "id", "page", F.posexplode(text.snippets(F.col("text"), [name], of_page, 140)).alias("k", "snippet"))
     order = Window.partitionBy("paper_id", "kind", "id").orderBy("page", "k")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("k")
 

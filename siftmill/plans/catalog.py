@@ -1,7 +1,6 @@
 """Registered queries of the engine's own operators, each beside the SQL that must give the same rows.
 
-Every query runs over the whole of its input, but for str1, str3, str4, str6, lay2 and lay3 (jn10, jn11),
-whose SQL is of a part: those named ..._of_all run over the whole. Doubles are rounded on both sides.
+Every query runs over the whole of its input. Doubles are rounded on both sides.
 """
 
 from __future__ import annotations
@@ -52,6 +51,19 @@ def _hits(patterns: tuple[str, ...] | str) -> str:
     return "(" + " + ".join(_count(p) for p in ([patterns] if isinstance(patterns, str) else patterns)) + ")"
 
 
+def _snippets_sql(rows: str, keys: str, patterns: list[str], most: int, around: int, cut: int = 220) -> str:
+    """Oracle SQL of common table expressions, the last of which (snips: keys, k, snippet) has what stands around hits; ``rows`` has keys and text."""
+    each = " UNION ALL ".join(f"SELECT *, {i} AS nth, string_split_regex(text, {p}) AS between_, regexp_extract_all(text, {p}) AS found FROM {rows}" for i, p in enumerate(patterns))
+    size = lambda x: f"CAST(coalesce(list_sum(list_transform({x}, lambda v: length(v))), 0) AS BIGINT)"
+    return f"""split_ AS ({each}),
+hit_ AS (SELECT *, unnest(range(1, len(found) + 1)) AS h FROM split_),
+at_ AS (SELECT *, {size("between_[1:h]")} + {size("found[1:h - 1]")} AS start_ FROM hit_),
+raw_ AS (SELECT *, trim(regexp_replace(substr(text, greatest(start_ - {around}, 0) + 1, start_ + length(found[h]) + {around} - greatest(start_ - {around}, 0)), '\\s+', ' ', 'g')) AS c FROM at_),
+cut_ AS (SELECT *, CASE WHEN length(c) <= {cut} THEN c ELSE regexp_replace(c[1:{cut - 1}], '\\s+$', '') || '…' END AS snippet FROM raw_),
+once_ AS (SELECT {keys}, min(nth * 1000000 + h) AS place, arg_min(snippet, nth * 1000000 + h) AS snippet FROM cut_ WHERE snippet <> '' GROUP BY {keys}, lower(snippet)),
+snips AS (SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY place) - 1 AS INT) AS k, snippet FROM once_ QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY place) <= {most})"""
+
+
 # --- windows and calipers over reconstructed tests -------------------------------------------
 
 Z = fixed.Z_OF_P
@@ -203,39 +215,13 @@ pairs AS (SELECT paper_id, page, table_index, CAST(2 * pair AS INT) AS row_index
 KEPT = "made AS (SELECT *, coef / abs(paren) AS t, CASE WHEN kind = 2 THEN 'column_label_like' END AS r1, CASE WHEN kind = 3 THEN 'coef_looks_like_year' END AS r2, CASE WHEN abs(paren) > 50 THEN 'se_gt_50' END AS r3, CASE WHEN abs(coef / paren) > 80 THEN 'abs_t_gt_80(coef_over_se)' END AS r4 FROM pairs)"
 
 
-@query("str1_normal_cells", """SELECT paper_id, page, table_index, CAST(2 * pair AS INT) AS row_index,
-  CASE kind WHEN 0 THEN '0.' || lpad(CAST(c * 7 AS STRING), 2, '0') || repeat('*', 1 + c % 3) WHEN 1 THEN '0.' || lpad(CAST(c * 7 AS STRING), 2, '0') || ' (0.' || lpad(CAST(q AS STRING), 2, '0') || ')'
-  WHEN 2 THEN CAST(c AS STRING) || ') (' || CAST(c + 1 AS STRING) || ')' WHEN 3 THEN CAST(2000 + c AS STRING) WHEN 4 THEN '12 (3): 45' || CAST(c AS STRING) WHEN 5 THEN 'Controls ' || CAST(c AS STRING)
-  WHEN 6 THEN '-' || CAST(c AS STRING) || '.10' ELSE CAST(c AS STRING) || '234' END AS cell FROM grid""", "grid")
-def _(spark, d):
-    return fx.fixture(spark, d, "cells").filter("row_index % 2 = 0").select("paper_id", "page", "table_index", "row_index", tokens.normal_cell(F.col("cell_text")).alias("cell"))
-
-
-@query("str3_numeric_tokens", "SELECT paper_id, page, table_index, CAST(2 * pair AS INT) AS row_index, '0.' || lpad(CAST(c * 7 AS STRING), 2, '0') || repeat('*', 1 + c % 3) AS raw, round(c * 7 / 100.0, 6) AS value, CAST(1 + c % 3 AS INT) AS stars FROM grid WHERE kind = 0", "grid")
-def _(spark, d):
-    found = fx.fixture(spark, d, "cells").filter("row_index % 2 = 0 AND cell_text LIKE '%*'").select("paper_id", "page", "table_index", "row_index", F.inline(tokens.numeric_tokens(tokens.normal_cell(F.col("cell_text")))))
-    return found.select("paper_id", "page", "table_index", "row_index", "raw", _r("value").alias("value"), "stars")
-
-
-@query("str4_paren_tokens", "SELECT paper_id, page, table_index, CAST(2 * pair + 1 AS INT) AS row_index, round(CASE kind WHEN 6 THEN -q / 100.0 WHEN 7 THEN 45 + q ELSE q / 100.0 END, 6) AS paren FROM grid WHERE kind IN (0, 3, 6, 7)", "grid")
-def _(spark, d):
-    found = fx.fixture(spark, d, "cells").filter("row_index % 2 = 1").select("paper_id", "page", "table_index", "row_index", F.explode(tokens.paren_tokens(tokens.normal_cell(F.col("cell_text")))).alias("paren"))
-    return found.withColumn("paren", _r("paren"))
-
-
 @query("str5_first_coefficients", f"+{TRUE_PAIRS}\nSELECT paper_id, page, table_index, row_index, round(coef, 6) AS coef, CAST(stars AS INT) AS stars FROM pairs", "grid")
 def _(spark, d):
     made = fx.fixture(spark, d, "cells").withColumn("cell", tokens.normal_cell(F.col("cell_text"))).filter(tokens.usable(F.col("cell")))
     return made.select("paper_id", "page", "table_index", "row_index", tokens.first_coefficient(F.col("cell")).alias("c")).filter("c IS NOT NULL").select("paper_id", "page", "table_index", "row_index", _r("c.value").alias("coef"), F.col("c.stars").alias("stars"))
 
 
-@query("str6_first_paren", f"+{TRUE_PAIRS}\nSELECT paper_id, page, table_index, row_index, round(paren, 6) AS paren FROM pairs WHERE kind IN (1, 2)", "grid")
-def _(spark, d):
-    made = fx.fixture(spark, d, "cells").filter("row_index % 2 = 0").withColumn("cell", tokens.normal_cell(F.col("cell_text"))).filter(tokens.usable(F.col("cell")))
-    return made.select("paper_id", "page", "table_index", "row_index", _r(tokens.first_paren(F.col("cell"))).alias("paren")).filter("paren IS NOT NULL")
-
-
-# the same over all cells: the SQL adds what the other rows and kinds hold
+# what every cell holds, numbers or not
 ALL_CELLS = """every AS (SELECT paper_id, page, table_index, CAST(2 * pair AS INT) AS row_index,
   CASE kind WHEN 0 THEN '0.' || lpad(CAST(c * 7 AS STRING), 2, '0') || repeat('*', 1 + c % 3) WHEN 1 THEN '0.' || lpad(CAST(c * 7 AS STRING), 2, '0') || ' (0.' || lpad(CAST(q AS STRING), 2, '0') || ')'
   WHEN 2 THEN CAST(c AS STRING) || ') (' || CAST(c + 1 AS STRING) || ')' WHEN 3 THEN CAST(2000 + c AS STRING) WHEN 4 THEN '12 (3): 45' || CAST(c AS STRING) WHEN 5 THEN 'Controls ' || CAST(c AS STRING)
@@ -254,24 +240,24 @@ def _all_cells(spark: SparkSession, d: str) -> DataFrame:
     return fx.fixture(spark, d, "cells").select("paper_id", "page", "table_index", "row_index", tokens.normal_cell(F.col("cell_text")).alias("cell"))
 
 
-@query("str1_normal_cells_of_all", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, cell FROM every", "grid")
+@query("str1_normal_cells", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, cell FROM every", "grid")
 def _(spark, d):
     return _all_cells(spark, d)
 
 
-@query("str3_numeric_tokens_of_all", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, raw, round(CAST(rtrim(raw, '*') AS DOUBLE), 6) AS value, CAST(length(raw) - length(rtrim(raw, '*')) AS INT) AS stars FROM (SELECT *, unnest(raws) AS raw FROM every)", "grid")
+@query("str3_numeric_tokens", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, raw, round(CAST(rtrim(raw, '*') AS DOUBLE), 6) AS value, CAST(length(raw) - length(rtrim(raw, '*')) AS INT) AS stars FROM (SELECT *, unnest(raws) AS raw FROM every)", "grid")
 def _(spark, d):
     found = _all_cells(spark, d).select("paper_id", "page", "table_index", "row_index", F.inline(tokens.numeric_tokens(F.col("cell"))))
     return found.select("paper_id", "page", "table_index", "row_index", "raw", _r("value").alias("value"), "stars")
 
 
-@query("str4_paren_tokens_of_all", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, round(paren, 6) AS paren FROM every WHERE paren IS NOT NULL", "grid")
+@query("str4_paren_tokens", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, round(paren, 6) AS paren FROM every WHERE paren IS NOT NULL", "grid")
 def _(spark, d):
     found = _all_cells(spark, d).select("paper_id", "page", "table_index", "row_index", F.explode(tokens.paren_tokens(F.col("cell"))).alias("paren"))
     return found.withColumn("paren", _r("paren"))
 
 
-@query("str6_first_paren_of_all", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, round(paren, 6) AS paren FROM every WHERE usable AND paren IS NOT NULL", "grid")
+@query("str6_first_paren", f"+{ALL_CELLS}\nSELECT paper_id, page, table_index, row_index, round(paren, 6) AS paren FROM every WHERE usable AND paren IS NOT NULL", "grid")
 def _(spark, d):
     made = _all_cells(spark, d).filter(tokens.usable(F.col("cell")))
     return made.select("paper_id", "page", "table_index", "row_index", _r(tokens.first_paren(F.col("cell"))).alias("paren")).filter("paren IS NOT NULL")
@@ -355,13 +341,6 @@ def _(spark, d):
     return tests.paren_modes(tests.pairs(fx.cells(spark, d)), _papers(spark, d))
 
 
-@query("cmp5_paper_features")
-def _(spark, d):
-    papers, raw = _papers(spark, d), tests.pairs(fx.cells(spark, d))
-    modes = tests.paren_modes(raw, papers)
-    return tests.paper_features(papers, tests.reconstruct(raw, modes), modes).drop("p_values")
-
-
 @query("win6_first_tests", "SELECT paper_id, o, ln, pk, q, ep, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY o, ln, pk, sk, q, ep, sd) AS rank FROM stat_tests) WHERE rank <= 50", "stat_tests")
 def _(spark, d):
     return tests.first_of_each(fx.tests(spark, d, False), 50, list(fx.SEQ)).select("paper_id", "o", "ln", "pk", "q", "ep", "rank")
@@ -448,10 +427,33 @@ def _(spark, d):
     return made.select("paper_id", F.col("text_p_0_05.left").alias("p05_left"), F.col("text_p_0_05.right").alias("p05_right"), F.col("text_p_0_10.left").alias("p10_left"), F.col("text_p_0_10.right").alias("p10_right"))
 
 
+COUNTED = ("tests", "tables", "t_1_96_left", "t_1_96_right", "t_1_645_left", "t_1_645_right", "p_0_05_left", "p_0_05_right", "p_0_10_left", "p_0_10_right", "significant_0_05", "significant_0_10", "curve_low", "curve_high")
+TERMS = ("robust_terms", "specification_terms", "multiple_testing_terms", "table_mentions", "star_count")
+
+
+@query("cmp5_paper_features", f"""+{TRUE_PAIRS},{UPPER_MEDIAN},{TERMS_SQL},
+said AS (SELECT paper_id, CASE WHEN {T_SQL} > {SE_SQL} THEN 't' WHEN {SE_SQL} > {T_SQL} THEN 'se' END AS mode_text FROM page_texts GROUP BY 1),
+modes AS (SELECT s.paper_id, coalesce(mode_text, {MODE}, 'se') AS paren_mode, CASE WHEN mode_text IS NOT NULL THEN 'text' WHEN {MODE} IS NOT NULL THEN 'values' ELSE 'default' END AS paren_mode_source FROM said s LEFT JOIN mids m ON s.paper_id = m.paper_id),
+timed AS (SELECT p.*, paren_mode, CASE WHEN paren_mode = 't' THEN paren ELSE coef / abs(paren) END AS t FROM pairs p JOIN modes USING (paper_id)),
+judged AS (SELECT *, abs(t) AS abs_t, kind <> 2 AND kind <> 3 AND CASE WHEN paren_mode = 't' THEN abs(t) <= 30 ELSE abs(paren) <= 50 AND abs(t) <= 80 END AS ok FROM timed),
+raws AS (SELECT paper_id, count(*) AS pairs_raw, count(DISTINCT (page, table_index)) AS tables_raw FROM judged GROUP BY 1),
+oks AS (SELECT * FROM judged WHERE ok),{SIDES.replace("stat_tests", "oks")},{PER_PAPER},
+written AS (SELECT paper_id, count(*) AS p_values_found FROM ({{P_VALUES}}) WHERE p BETWEEN 0 AND 1 GROUP BY 1),
+filled AS (SELECT m.paper_id, paren_mode, paren_mode_source, coalesce(pairs_raw, 0) AS pairs_raw, coalesce(tables_raw, 0) AS tables_raw, {", ".join(f"coalesce({c}, 0) AS {c}" for c in COUNTED)}, {", ".join(TERMS)}, coalesce(p_values_found, 0) AS p_values_found
+  FROM modes m JOIN terms USING (paper_id) LEFT JOIN raws USING (paper_id) LEFT JOIN counts USING (paper_id) LEFT JOIN written USING (paper_id))
+SELECT *, round(CASE WHEN pairs_raw > 0 THEN tests / pairs_raw END, 9) AS keep_rate, CAST(round_even(greatest(0.0, least(100.0, {_score_sql()} + 12 * least(1.0, robust_terms / 10.0) + 10 * least(1.0, specification_terms / 8.0) + 8 * least(1.0, multiple_testing_terms / 4.0) - CASE WHEN multiple_testing_terms > 0 THEN 12 ELSE 0 END)), 0) AS INT) AS risk_score FROM filled""".replace("{P_VALUES}", P_VALUES), "grid", "page_texts")
+def _(spark, d):
+    papers, raw = _papers(spark, d), tests.pairs(fx.cells(spark, d))
+    modes = tests.paren_modes(raw, papers)
+    made = tests.paper_features(papers, tests.reconstruct(raw, modes), modes)
+    whole = ("pairs_raw", "tables_raw", *COUNTED, *TERMS, "p_values_found")
+    return made.select("paper_id", "paren_mode", "paren_mode_source", *(F.col(c).cast("long").alias(c) for c in whole), _r("keep_rate", 9).alias("keep_rate"), "risk_score")
+
+
 @query("top9_p_samples", f"SELECT paper_id, array_to_string(list_transform(list_sort(list(p))[1:30], lambda v: CAST(CAST(round(v * 1000) AS INT) AS STRING)), ' ') AS sample FROM ({P_VALUES}) GROUP BY 1", "page_texts")
 def _(spark, d):
     made = tests.text_features(_papers(spark, d)).filter("p_values_found > 0")
-    return made.select("paper_id", F.concat_ws(" ", F.transform(F.slice(F.array_sort("p_values"), 1, 30), lambda v: F.round(v * 1000).cast("int").cast("string"))).alias("sample"))
+    return made.select("paper_id", F.concat_ws(" ", F.transform(text.p_sample(F.col("p_values")), lambda v: F.round(v * 1000).cast("int").cast("string"))).alias("sample"))
 
 
 CAPTIONS = """
@@ -501,17 +503,15 @@ def _(spark, d):
     return _captions(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("jn15_mentions", f"+{CAPTIONS},{INVENTORY},\nhits AS (SELECT p.paper_id, i.kind, i.id, page FROM placed i JOIN page_texts p ON p.paper_id = i.paper_id AND regexp_matches(p.text, '(?i)\\b' || i.id || '\\b'))\nSELECT paper_id, kind, id, page FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, kind, id ORDER BY page) AS r FROM hits) WHERE r <= 8", "page_texts")
-def _(spark, d):
-    texts = fx.fixture(spark, d, "page_texts")
-    found = artifacts.mentions(artifacts.inventory(_captions(spark, d)), texts)
-    return found.select("paper_id", "kind", "id", "page")
+MENTIONED = f"""named_pages AS (SELECT p.paper_id, i.kind, i.id, p.page, p.text FROM placed i JOIN page_texts p ON p.paper_id = i.paper_id),
+{_snippets_sql("named_pages", "paper_id, kind, id, page", ["'(?i)\\b' || id || '\\b'"], 2, 140)},
+mentions AS (SELECT paper_id, kind, id, page, snippet, CAST(row_number() OVER (PARTITION BY paper_id, kind, id ORDER BY page, k) AS INT) AS rank FROM snips QUALIFY row_number() OVER (PARTITION BY paper_id, kind, id ORDER BY page, k) <= 8)"""
 
 
-@query("cmp10_enriched_artifacts")
+@query("jn15_mentions", f"+{CAPTIONS},{INVENTORY},\n{MENTIONED}\nSELECT * FROM mentions", "page_texts")
 def _(spark, d):
-    texts, caps = fx.fixture(spark, d, "page_texts"), _captions(spark, d)
-    return artifacts.enriched(artifacts.inventory(caps), texts, summary.table_metrics(fx.tests(spark, d), caps)).drop("page_text_excerpts")
+    texts = fx.fixture(spark, d, "page_texts")
+    return artifacts.mentions(artifacts.inventory(_captions(spark, d)), texts).select("paper_id", "kind", "id", "page", "snippet", "rank")
 
 
 @query("str12_excerpts", f"+{CAPTIONS},{INVENTORY},\nwanted AS (SELECT paper_id, kind, id, unnest(pages[1:4]) AS page FROM placed)\nSELECT w.paper_id, kind, id, w.page, CASE WHEN length(trim(text, ' ' || chr(10))) <= 40 THEN trim(text, ' ' || chr(10)) ELSE regexp_replace(trim(text, ' ' || chr(10))[1:39], '\\s+$', '') || '…' END AS excerpt FROM wanted w JOIN page_texts p ON p.paper_id = w.paper_id AND p.page = w.page", "page_texts")
@@ -544,7 +544,7 @@ def _(spark, d):
     return fx.fixture(spark, d, "page_texts").select("paper_id", "page", text.contains_form(F.col("text")).alias("form"))
 
 
-@query("str8_snippets")
+@query("str8_snippets", f"""+{_snippets_sql("page_texts", "paper_id, page", [f"'{_re2(p)}'" for p in (fixed.ROBUST, fixed.TABLE)], 6, 80)}\nSELECT * FROM snips""", "page_texts")
 def _(spark, d):
     return fx.fixture(spark, d, "page_texts").select("paper_id", "page", F.posexplode(text.snippets(F.col("text"), (fixed.ROBUST, fixed.TABLE))).alias("k", "snippet"))
 
@@ -643,6 +643,23 @@ QUERIES["agg11_table_ratios"], ORACLES["agg11_table_ratios"] = QUERIES["agg10_ta
 QUERIES["cmp8_table_summary"], ORACLES["cmp8_table_summary"] = QUERIES["agg10_table_metrics"], ORACLES["agg10_table_metrics"]
 
 
+# the composite that users read, with its nested columns as text
+@query("cmp10_enriched_artifacts", f"""+{TABLED},{INVENTORY},
+{MENTIONED},
+said AS (SELECT paper_id, kind, id, count(*) AS n_mentions, string_agg(page || ': ' || snippet, ' / ' ORDER BY rank) AS mentions FROM mentions GROUP BY ALL),
+shown AS (SELECT w.paper_id, kind, id, count(*) AS n_excerpts, string_agg(w.page || ': ' || trim(text, ' ' || chr(10)), ' / ' ORDER BY w.page) AS excerpts FROM (SELECT paper_id, kind, id, unnest(pages[1:4]) AS page FROM placed) w JOIN page_texts p ON p.paper_id = w.paper_id AND p.page = w.page GROUP BY ALL),
+m AS (SELECT paper_id, 'table' AS kind, table_id AS id, count(*) AS n_tests, count(*) FILTER (WHERE abs_t >= 1.76 AND abs_t <= 1.96) AS t_196_left, count(*) FILTER (WHERE p > 0.05 AND p <= 0.055) AS p_005_right FROM tabled GROUP BY ALL)
+SELECT i.paper_id, i.kind, i.id, i.place, i.caption, n_mentions, mentions, n_excerpts, excerpts, n_tests, t_196_left, p_005_right FROM placed i
+LEFT JOIN said s ON s.paper_id = i.paper_id AND s.kind = i.kind AND s.id = i.id LEFT JOIN shown e ON e.paper_id = i.paper_id AND e.kind = i.kind AND e.id = i.id LEFT JOIN m ON m.paper_id = i.paper_id AND m.kind = i.kind AND m.id = i.id""", "stat_tests", "page_texts")
+def _(spark, d):
+    texts, caps = fx.fixture(spark, d, "page_texts"), _captions(spark, d)
+    made = artifacts.enriched(artifacts.inventory(caps), texts, summary.table_metrics(fx.tests(spark, d), caps))
+    pages_shown = F.array_sort(F.map_keys("page_text_excerpts"))
+    excerpts = F.array_join(F.transform(pages_shown, lambda p: F.concat(p.cast("string"), F.lit(": "), F.element_at("page_text_excerpts", p))), " / ")
+    mentions = F.array_join(F.transform("mentions", lambda m: F.concat(m["page"].cast("string"), F.lit(": "), m["snippet"])), " / ")
+    return made.select("paper_id", "kind", "id", "place", "caption", F.when(F.col("mentions").isNotNull(), F.size("mentions")).cast("long").alias("n_mentions"), mentions.alias("mentions"), F.size(pages_shown).cast("long").alias("n_excerpts"), excerpts.alias("excerpts"), "table_metrics.n_tests", "table_metrics.t_196_left", "table_metrics.p_005_right")
+
+
 @query("win3_flagged_by_table", f"+{TABLED}\nSELECT paper_id, table_id, o, ln, pk, q, ep, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, table_id ORDER BY abs(abs_t - 1.96), {ORDERED}) AS rank FROM tabled WHERE abs_t >= 1.76 AND abs_t <= 2.16) WHERE rank <= 25", "stat_tests", "page_texts")
 def _(spark, d):
     return summary.table_flagged(fx.tests(spark, d, False).withColumn("p_approx_2s", F.lit(None).cast("double")), _captions(spark, d), "t").select("paper_id", "table_id", "o", "ln", "pk", "q", "ep", "rank")
@@ -807,11 +824,11 @@ def _(spark, d):
     return made.select("paper_id", "page", "block_no", "line_in_block", F.row_number().over(Window.partitionBy("paper_id", "page").orderBy("line_no")).alias("place"))
 
 
-FLAGGED = "flagged AS (SELECT l_suppkey AS paper_id, CAST(1 + (l_orderkey % 12) AS INT) AS page, l_orderkey * 100000 + l_linenumber * 10000 + l_partkey AS cell_id, min(CAST(l_linenumber * 12 AS DOUBLE)) AS y0 FROM lineitem WHERE l_linenumber >= 4 GROUP BY ALL)"
+FLAGGED = "flagged AS (SELECT l_suppkey AS paper_id, CAST(1 + (l_orderkey % 12) AS INT) AS page, l_orderkey * 100000 + l_linenumber * 10000 + l_partkey AS cell_id, min(CAST(l_linenumber * 12 AS DOUBLE)) AS y0 FROM lineitem GROUP BY ALL)"
 
 
-def _flagged(spark: SparkSession, d: str, least_line: int = 4) -> DataFrame:
-    made = table(spark, d, "lineitem").filter(F.col("l_linenumber") >= least_line).groupBy(F.col("l_suppkey").alias("paper_id"), (1 + F.col("l_orderkey") % 12).cast("int").alias("page"), (F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("cell_id")).agg(F.min((F.col("l_linenumber") * 12).cast("double")).alias("y0"))
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    made = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("paper_id"), (1 + F.col("l_orderkey") % 12).cast("int").alias("page"), (F.col("l_orderkey") * 100000 + F.col("l_linenumber") * 10000 + F.col("l_partkey")).alias("cell_id")).agg(F.min((F.col("l_linenumber") * 12).cast("double")).alias("y0"))
     return made.select("paper_id", "page", "cell_id", F.array(F.lit(0.0), F.lit(0.0), F.lit(600.0), F.lit(200.0)).alias("table_bbox"), F.array(F.lit(535.0), F.col("y0"), F.lit(560.0), F.col("y0") + 10).alias("cell_bbox"))
 
 
@@ -838,22 +855,6 @@ def _(spark, d):
 QUERIES["jn11_column_labels"], ORACLES["jn11_column_labels"] = QUERIES["lay3_column_labels"], ORACLES["lay3_column_labels"]
 
 
-# the same for the flagged cells of all lines: the SQL but for its filter
-for _name in ("lay2_row_labels", "lay3_column_labels"):
-    ORACLES[_name + "_of_all"] = ORACLES[_name].replace(" WHERE l_linenumber >= 4", "")
-
-
-@query("lay2_row_labels_of_all")
-def _(spark, d):
-    return layout.row_labels(_flagged(spark, d, 1), layout.lines(fx.fixture(spark, d, "words")))
-
-
-@query("lay3_column_labels_of_all")
-def _(spark, d):
-    cells = _flagged(spark, d, 1).withColumn("cell_bbox", F.array(F.lit(300.0), F.col("cell_bbox")[1], F.lit(560.0), F.col("cell_bbox")[3]))
-    return layout.column_labels(cells, layout.lines(fx.fixture(spark, d, "words")))
-
-
 @query("agg12_table_tops", f"+{TRUE_PAIRS}\nSELECT paper_id, page, table_index, CAST(min(row_index) * 12 AS DOUBLE) AS top FROM pairs GROUP BY ALL", "grid")
 def _(spark, d):
     return summary.table_tops(tests.pairs(fx.cells(spark, d)))
@@ -920,26 +921,53 @@ def _(spark, d):
     return report.page_titles(texts, _captions(spark, d), report.page_evidence(texts))
 
 
-@query("off2_reports")
+@query("off2_reports", f"""+{SIDES},{PER_PAPER},
+exact AS (SELECT paper_id, count(*) FILTER (WHERE abs(abs_t - 1.96) <= 0.20 AND abs(abs_t - 2.0) < 1e-9) AS exact_2 FROM stat_tests GROUP BY 1),
+scored AS (SELECT c.*, exact_2, CAST(round_even(greatest(0.0, least(100.0, {_score_sql()})), 0) AS INT) AS score, count_p, count_t FROM counts c JOIN exact USING (paper_id)
+  JOIN (SELECT paper_id, least(60, count(*) FILTER (WHERE s05 <> 0)) AS count_p, least(25, count(*) FILTER (WHERE abs(abs_t - 1.96) <= 0.20)) AS count_t FROM sided GROUP BY 1) USING (paper_id))
+SELECT paper_id, 'Paper ' || paper_id AS title, score, CASE WHEN score >= 70 THEN 'High' WHEN score >= 40 THEN 'Moderate' ELSE 'Low' END AS level,
+  concat_ws(' ', CASE WHEN p_0_05_left + p_0_05_right > 0 THEN p_0_05_left || '/' || p_0_05_right END, CASE WHEN t_1_96_left + t_1_96_right > 0 THEN t_1_96_left || '/' || t_1_96_right END) AS counts,
+  CAST(CASE WHEN p_0_05_left + p_0_05_right > 0 THEN count_p ELSE 0 END + CASE WHEN t_1_96_left + t_1_96_right > 0 THEN count_t ELSE 0 END AS BIGINT) AS entries,
+  CASE WHEN t_1_96_left + t_1_96_right > 0 AND exact_2 > 0 THEN CAST(exact_2 AS STRING) ELSE '' END AS exactly_2 FROM scored""", "stat_tests")
 def _(spark, d):
     t, caps, texts = fx.tests(spark, d), _captions(spark, d), fx.fixture(spark, d, "page_texts")
     t = t.withColumn("coef_raw", F.col("coef").cast("int").cast("string")).withColumn("se_cell_text_snippet", F.concat(F.lit("("), F.format_number("paren", 2), F.lit(")")))
     papers = tests.risk_score(tests.test_features(t)).select("paper_id", F.concat(F.lit("Paper "), F.col("paper_id").cast("string")).alias("title"), "risk_score")
     p_ex, t_ex = summary.examples(t, "p"), summary.examples(t, "t")
     titles = report.page_titles(texts, caps, report.page_evidence(texts))
-    return report.report(papers, summary.paper_summary(t), summary.near_by_title(p_ex, caps, "p"), summary.near_by_title(t_ex, caps, "t"), p_ex, t_ex, summary.page_counts(t), titles)
+    made = report.report(papers, summary.paper_summary(t), summary.near_by_title(p_ex, caps, "p"), summary.near_by_title(t_ex, caps, "t"), p_ex, t_ex, summary.page_counts(t), titles)
+    r = F.col("report")  # what the text says, read back from it
+    counts = F.transform(F.regexp_extract_all(r, F.lit(r"- Counts: left=(\d+, right=\d+)"), F.lit(1)), lambda x: F.replace(x, F.lit(", right="), F.lit("/")))
+    entries = F.regexp_count(r, F.lit(r"(?m)^\| \d+ \| .* \| `.*` \| `.*` \| "))
+    return made.select("paper_id", F.regexp_extract(r, r"^# Screening report: (.*)\n", 1).alias("title"), F.regexp_extract(r, r"Risk score: (\d+)/100", 1).cast("int").alias("score"), F.regexp_extract(r, r"Risk level: (\w+)", 1).alias("level"), F.array_join(counts, " ").alias("counts"), entries.cast("long").alias("entries"), F.regexp_extract(r, r"abs t is exactly 2 in (\d+) of", 1).alias("exactly_2"))
+
 
+REFS = ("Smith (2001) Title", "jones (2002)")
 
-@query("jn17_reports_with_references", """SELECT s_suppkey AS paper_id, CASE WHEN s_suppkey % 2 = 0 THEN 'Report.  Smith (2001)' || chr(10) || 'Title, and Jones (2002).' ELSE 'Report. Jones (2002).' || chr(10) || chr(10) || '## References (APA, with DOI) — Method Sources (Auto-appended)' || chr(10) || chr(10) || '- Smith (2001) Title' || chr(10) || '- jones (2002)' || chr(10) END AS report FROM supplier""", "stat_tests")
+
+@query("jn17_reports_with_references", """+r AS (SELECT p_partkey AS paper_id, 'Report on ' || p_name || '.' || CASE p_partkey % 4 WHEN 0 THEN '  SMITH  (2001)' || chr(10) || 'title' WHEN 1 THEN ' Smith (2001) Titles' ELSE ' Smith 2001' END
+  || CASE WHEN p_size % 3 = 0 THEN ', Jones' || chr(9) || '(2002)  ' ELSE ' ' || p_brand || chr(10) END AS body FROM part),
+f AS (SELECT *, lower(trim(regexp_replace(body, '\\s+', ' ', 'g'))) AS form FROM r)
+SELECT paper_id, CASE WHEN contains(form, 'smith (2001) title') AND contains(form, 'jones (2002)') THEN body
+  ELSE regexp_replace(body, '\\s+$', '') || chr(10) || chr(10) || '## Sources of the methods' || chr(10) || chr(10) || '- Smith (2001) Title' || chr(10) || '- jones (2002)' || chr(10) END AS report FROM f""", "stat_tests")
 def _(spark, d):
-    body = F.when(F.col("s_suppkey") % 2 == 0, "Report.  Smith (2001)\nTitle, and Jones (2002).").otherwise("Report. Jones (2002).\n")
-    return report.with_references(table(spark, d, "supplier").select(F.col("s_suppkey").alias("paper_id"), body.alias("report")), ["Smith (2001) Title", "jones (2002)"])
+    kind = F.col("p_partkey") % 4
+    first = F.when(kind == 0, "  SMITH  (2001)\ntitle").when(kind == 1, " Smith (2001) Titles").otherwise(" Smith 2001")
+    second = F.when(F.col("p_size") % 3 == 0, F.lit(", Jones\t(2002)  ")).otherwise(F.concat(F.lit(" "), F.col("p_brand"), F.lit("\n")))
+    body = F.concat(F.lit("Report on "), F.col("p_name"), F.lit("."), first, second)
+    return report.with_references(table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), body.alias("report")), list(REFS))
 
 
-@query("src9_reference_lists", """SELECT s_suppkey AS doc_id, unnest([1, 2]) AS pos, unnest(['Smith ' || s_suppkey || ' goes on', 'Jones']) AS ref FROM supplier""", "stat_tests")
+# a note for each customer: bullets of their orders, some on two lines, some twice, between other sections
+@query("src9_reference_lists", """+lines_ AS (SELECT o_custkey AS doc_id, o_orderkey AS n, 'Author ' || o_orderkey % 7 || ' (' || (1990 + o_orderkey % 5) || ')' || CASE WHEN o_orderkey % 3 = 0 THEN ' and so on' ELSE '' END AS ref FROM orders),
+once AS (SELECT doc_id, ref, min(n) AS n FROM lines_ GROUP BY ALL) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INT) AS pos, ref FROM once""", "stat_tests")
 def _(spark, d):
-    body = F.concat(F.lit("# Notes\n- no\n\n## References (APA, with DOI)\n\n- Smith "), F.col("s_suppkey").cast("string"), F.lit("\n  goes   on\n- Jones\n-  Jones\n- Smith "), F.col("s_suppkey").cast("string"), F.lit(" goes on\n## Next\n- no"))
-    return report.references(table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), body.alias("text"))).select("doc_id", "pos", "ref")
+    key = F.col("o_orderkey")
+    line = F.concat(F.when(key % 2 == 0, "- ").otherwise("  -  "), F.lit("Author "), (key % 7).cast("string"), F.lit("  ("), (1990 + key % 5).cast("string"), F.lit(")"), F.when(key % 3 == 0, "\n   and so  on").otherwise(" "), F.when(key % 4 == 0, "\n").otherwise(""))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("n"), line.alias("line")))), lambda x: x["line"]), "\n")
+    notes = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(listed.alias("body"))
+    text_ = F.concat(F.lit("# Notes\n- no\n## Other\n- no\n\n## References (APA, with DOI)\n\n"), F.col("body"), F.lit("\n## Next\n- no\n"))
+    return report.references(notes.select("doc_id", text_.alias("text"))).select("doc_id", "pos", "ref")
 
 
 @query("win5_first_seen", "SELECT o_custkey, o_orderpriority, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY first) AS INT) AS pos FROM (SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first FROM orders GROUP BY ALL)", "stat_tests")
@@ -947,15 +975,34 @@ def _(spark, d):
     return corpus.first_seen(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
-@query("set4_ordered_merge", "SELECT s_suppkey, list_distinct_ordered AS merged FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN ['a', 'b', CAST(s_suppkey AS STRING)] ELSE ['a', 'b'] END AS list_distinct_ordered FROM supplier)", "stat_tests")
+# names of a customer's orders in order, with blanks and spaces, merged with the segment's
+@query("set4_ordered_merge", """+p AS (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) AS a, list(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END ORDER BY o_orderkey DESC) AS b FROM orders GROUP BY 1),
+u AS (SELECT o_custkey, list_concat(a, b) AS both_ FROM p),
+e AS (SELECT o_custkey, unnest(both_) AS v, unnest(range(len(both_))) AS k FROM u), f AS (SELECT o_custkey, v, min(k) AS k FROM e WHERE v <> '' GROUP BY ALL)
+SELECT o_custkey, string_agg(v, '|' ORDER BY k) AS merged FROM f GROUP BY 1""", "stat_tests")
 def _(spark, d):
-    left = F.array(F.lit("a"), F.lit("b"))
-    right = F.array(F.lit(" b "), F.lit(""), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey").cast("string")).otherwise("a"))
-    return table(spark, d, "supplier").select("s_suppkey", corpus.merge_unique(left, right).alias("merged"))
+    key, by = F.col("o_orderkey"), lambda x: F.transform(x, lambda e: e["v"])
+    left = by(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.concat(F.lit(" "), F.col("o_orderpriority")).alias("v")))))
+    right = by(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.when(key % 3 == 0, F.lit("  ")).otherwise(F.concat(F.col("o_orderstatus"), F.lit(" "))).alias("v"))), False))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(left.alias("a"), right.alias("b")).select("o_custkey", F.array_join(corpus.merge_unique(F.col("a"), F.col("b")), "|").alias("merged"))
 
 
-@query("meta1_paper_meta", "SELECT s_suppkey AS paper_id, s_name AS title, 2000 + s_nationkey AS year, 'Journal ' || s_nationkey AS venue, 'https://doi.org/10.1000/x' || s_suppkey AS doi_or_url FROM supplier", "stat_tests")
+# titles, years and DOIs in several places, or nowhere
+@query("meta1_paper_meta", """+s AS (SELECT p_partkey AS paper_id, CASE WHEN p_size % 5 = 0 THEN '  ' ELSE p_name || ' ' END AS title, CASE WHEN p_size % 2 = 0 THEN '' ELSE ' ' || p_brand END AS author,
+  CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type || '. ' END || CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(1890 + p_partkey % 250 AS STRING) || '. ' END AS said, p_partkey % 4 AS kind, '10.1000/x' || p_partkey AS doi FROM part)
+SELECT paper_id, CASE WHEN trim(title) <> '' THEN trim(title) ELSE CAST(paper_id AS STRING) END AS title, trim(author) AS authors,
+  CAST(nullif(regexp_extract(said, '((?:19|20)[0-9]{2})', 1), '') AS INT) AS year,
+  nullif(trim(split_part(said || CASE kind WHEN 0 THEN 'doi: ' || doi WHEN 1 THEN 'see ' || doi ELSE '' END, '.', 1)), '') AS venue,
+  CASE WHEN kind < 3 THEN 'https://doi.org/' || doi END AS doi_or_url FROM s""", "stat_tests")
 def _(spark, d):
-    s = table(spark, d, "supplier")
-    subject = F.concat(F.lit("Journal "), F.col("s_nationkey").cast("string"), F.lit(". "), (2000 + F.col("s_nationkey")).cast("string"), F.lit(". doi: 10.1000/x"), F.col("s_suppkey").cast("string"))
-    return report.paper_meta(s.select(F.col("s_suppkey").alias("paper_id"), F.col("s_name").alias("title"), F.lit("").alias("author"), subject.alias("subject"), F.lit("").alias("first_page"))).select("paper_id", "title", "year", "venue", "doi_or_url")
+    kind, doi, size = F.col("p_partkey") % 4, F.concat(F.lit("10.1000/x"), F.col("p_partkey").cast("string")), F.col("p_size")
+    said = F.concat(F.when(size % 7 == 0, "").otherwise(F.concat(F.col("p_type"), F.lit(". "))), F.when(size % 3 == 0, "").otherwise(F.concat((1890 + F.col("p_partkey") % 250).cast("string"), F.lit(". "))))
+    subject = F.concat(said, F.when(kind == 0, F.concat(F.lit("doi: "), doi)).when(kind == 1, F.concat(F.lit("see "), doi)).otherwise(""))
+    first_page = F.when(kind == 2, F.concat(F.lit("A title\nDOI "), doi, F.lit("\ntext"))).otherwise("no number here")
+    papers = table(spark, d, "part").select(F.col("p_partkey").alias("paper_id"), F.when(size % 5 == 0, "  ").otherwise(F.concat("p_name", F.lit(" "))).alias("title"), F.when(size % 2 == 0, "").otherwise(F.concat(F.lit(" "), "p_brand")).alias("author"), subject.alias("subject"), first_page.alias("first_page"))
+    return report.paper_meta(papers).select("paper_id", "title", F.array_join("authors", "; ").alias("authors"), "year", "venue", "doi_or_url")
+
+
+# names under which the queries over whole inputs were registered before
+for _name in ("str1_normal_cells", "str3_numeric_tokens", "str4_paren_tokens", "str6_first_paren", "lay2_row_labels", "lay3_column_labels"):
+    QUERIES[_name + "_of_all"], ORACLES[_name + "_of_all"] = QUERIES[_name], ORACLES[_name]

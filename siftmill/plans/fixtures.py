@@ -38,6 +38,7 @@ SELECT paper_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY o_orderk
   || CASE WHEN k % 4 = 1 THEN 'The p-value = 0.0' || CAST(90 + k % 9 AS STRING) || ' is robust; robustness to each specification is shown.' || chr(10) ELSE '' END
   || CASE WHEN k % 7 = 2 THEN 'Bonferroni and FDR corrections for multiple testing, after a search.' || chr(10) ELSE '' END
   || CASE WHEN k % 5 = 0 THEN 'Standard errors are in parentheses. Observations 1234; Appendix.' || chr(10) ELSE '' END
+  || CASE WHEN k % 10 = 1 THEN 'As Table ' || CAST(1 + k % 4 AS STRING) || ' shows, and table ' || CAST(1 + k % 4 AS STRING) || ' again, the effect of figure A' || CAST(k % 3 AS STRING) || ' is small.' || chr(10) ELSE '' END
   || CASE WHEN k % 11 = 3 THEN 'The t-statistics are reported in parentheses (t-stat).' || chr(10) ELSE '' END
   || CASE WHEN k % 6 = 3 THEN 'Author (1999) and other (2004), doi 10.1000/x www.example.org.' || chr(10) ELSE '' END AS text
 FROM (SELECT o_orderkey, o_custkey % 40 AS paper_id, o_orderkey % 60 AS k FROM {orders}) t
