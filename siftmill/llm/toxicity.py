@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Inputs: a word is the sum of a learnt vector of its hash bucket and the mean of learnt vectors of its
-character runs' buckets (3 and 5 bytes), after lower-casing and stripping marks at its ends. The texts are cut
+Inputs: a word is the sum of a learnt vector of its hash bucket and of learnt vectors of its
+character runs' buckets (3, 4 and 6 bytes; over the root of their number), after lower-casing and
+stripping marks at its ends. In training half of the words (``FORGOTTEN``) show their characters only. The texts are cut
 into windows of ``WINDOW`` words that overlap by half. Two gated recurrent units read a window in
 either direction; attention over the words pools their states; a logistic unit gives the window's
 probability. A document's score is the greatest of its windows'.
@@ -12,7 +13,8 @@ so that a toxic document teaches by its toxic passage only, and a clean one by i
 
 Scoring reads whole texts. A worker remembers the input projections of at most ``MEMORY`` words.
 
-Defined cases: a null or word-less text scores as one empty window; without labels of both classes
+Defined cases: a null or word-less text scores as one empty window; a text of any length is scored in
+all its windows; without labels of both classes
 all scores are the share of toxic labels (0 if there are none); repeated rows each keep their row;
 an empty table gives an empty result; further columns are ignored.
 """
@@ -30,11 +32,13 @@ from siftmill.llm.labelled import SCORE, held_out, sample, with_scores
 WINDOW, STEP = 32, 16
 BUCKETS = 1 << 14
 GRAM_BUCKETS = 1 << 15
-GRAMS = (3, 5)
+GRAMS = (3, 4, 6)
 WIDTH = 12
 HIDDEN = 8
 ATTENTION = 8
 PER_CLASS = 2500
+#: The share of words in a training step of which only the characters are seen, so that those learn what words seldom show.
+FORGOTTEN = 0.5
 CUTOFF = 0.3
 MEMORY = 200_000
 BLOCK = 2048
@@ -45,10 +49,10 @@ EDGES = b" \t\n\v\f\r.,;:!?\"'()[]{}<>|#*$%&@~_-+=/\\`^"
 
 
 class Inputs:
-    """Buckets of a list of different words and of their runs of 3 and of 5 bytes, with marks at a word's ends."""
+    """Buckets of a list of different words and of their runs of GRAMS bytes, with marks at a word's ends."""
 
     def __init__(self, words: list[bytes]):
-        bare = [b"^" + w.lower().strip(EDGES) + b"$" for w in words]
+        bare = [b"^" + (w.lower() if w.isascii() else w.decode("utf-8", "replace").lower().encode()).strip(EDGES) + b"$" for w in words]
         self.word = np.fromiter(map(crc32, bare), np.int64, len(bare)) % BUCKETS
         sizes = np.fromiter(map(len, bare), np.int64, len(bare))
         pad = max(GRAMS) - 1
@@ -78,13 +82,15 @@ class Inputs:
         out.gram = self.gram[np.arange(len(shift)) + shift]
         return out
 
-    def vectors(self, p: dict[str, np.ndarray]) -> np.ndarray:
+    def vectors(self, p: dict[str, np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+        """A vector for each word. known: whether a word may be known as a whole, else by its characters only."""
         out = np.empty((len(self.word), WIDTH), np.float32)
         for at in range(0, len(out), VECTOR_BLOCK):
             to = min(len(out), at + VECTOR_BLOCK)
             first, last = self.starts[at], self.starts[to - 1] + self.counts[to - 1]
             sums = np.add.reduceat(p["grams"][self.gram[first:last]], self.starts[at:to] - first, axis=0)
-            out[at:to] = p["words"][self.word[at:to]] + sums / self.counts[at:to, None]
+            whole = p["words"][self.word[at:to]]
+            out[at:to] = (whole if known is None else whole * known[at:to, None]) + sums / np.sqrt(self.counts[at:to, None])
         return out
 
 
@@ -269,7 +275,8 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
             types, rows = np.unique(rows, return_inverse=True)
             rows = rows.reshape(mask.shape)
             sub = corpus.inputs.part(types)
-            x = sub.vectors(p)
+            known = rng.random(len(types)) >= FORGOTTEN
+            x = sub.vectors(p, known)
             kept: list = []
             logit, made = forward(project(x, p), rows, mask, p, kept)
             docs = [d for d, _ in part]
@@ -279,7 +286,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
             g["bx"] = dproj.sum(axis=1, keepdims=True)
             dx = (dproj @ p["wx"].transpose(0, 2, 1)).sum(axis=0)
             steps += 1
-            sparse = {"words": (sub.word, dx), "grams": (sub.gram, np.repeat(dx / sub.counts[:, None], sub.counts, axis=0))}
+            sparse = {"words": (sub.word, dx * known[:, None]), "grams": (sub.gram, np.repeat(dx / np.sqrt(sub.counts)[:, None], sub.counts, axis=0))}
             for name in p:
                 if name in sparse:
                     where, values = sparse[name]
