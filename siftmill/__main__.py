@@ -1,55 +1,124 @@
-"""python -m siftmill extract|report: the engine on extracted tables in Parquet."""
+"""python -m siftmill extract|report|expert: the engine on extracted tables in Parquet."""
 
 from __future__ import annotations
 
 import argparse
+import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill import session
-from siftmill.operators import corpus
-from siftmill.plans import screen
-from siftmill.sources import readers, writers
+from siftmill import fixed, session
+from siftmill.functions import text
+from siftmill.operators import corpus, report, summary
+from siftmill.plans import expert, screen
+from siftmill.sources import readers, responder, writers
 
 
-def main(argv: list[str] | None = None) -> None:
+def options() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="siftmill", description=__doc__)
-    p.add_argument("what", choices=("extract", "report"))
+    p.add_argument("what", choices=("extract", "report", "expert"))
     p.add_argument("--pages", required=True, help="folder of page texts")
     p.add_argument("--cells", help="folder of table cells (extract)")
-    p.add_argument("--tests", help="folder of tests (report)")
-    p.add_argument("--features", help="CSV folder of features, for titles and scores (report)")
-    p.add_argument("--references", help="Markdown note with a list of APA references (report)")
+    p.add_argument("--papers", help="folder of papers with paper_id and sha256 (extract); without it the page texts are hashed")
+    p.add_argument("--tests", help="folder of tests (report, expert)")
+    p.add_argument("--features", help="CSV folder of features, for titles and scores (report, expert)")
+    p.add_argument("--references", help="Markdown note with a list of APA references (report, expert)")
     p.add_argument("--ids", help="file of paper ids, one a line")
+    p.add_argument("--only-regex", help="only papers whose id has a match of this pattern")
+    p.add_argument("--limit", type=int, help="at most so many papers, by id")
     p.add_argument("--max-pages", type=int, default=screen.TRIAGE_PAGES)
     p.add_argument("--max-pdf-pages", type=int)
+    p.add_argument("--cache", help="folder of results of former runs (extract); default: OUT/cache")
+    p.add_argument("--force", action="store_true", help="work everything out again")
+    p.add_argument("--export", action="store_true", help="also tests as JSON lines and reports as Markdown, a folder for each paper")
+    p.add_argument("--endpoint", help="chat endpoint of a model (expert); without it no model is asked")
+    p.add_argument("--model", default="", help="the model's name at the endpoint (expert)")
+    p.add_argument("--key-file", help="file with the endpoint's key (expert)")
     p.add_argument("--out", required=True)
-    a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("siftmill").getOrCreate()
-    session.ship(spark)
+    return p
+
+
+def chosen_pages(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     pages = readers.pages(spark, a.pages)
     if a.ids:
         pages = corpus.in_list(pages, readers.id_list(spark, a.ids))
-    if a.what == "extract":
-        done = screen.extract(pages, readers.cells(spark, a.cells), None, a.max_pages, a.max_pdf_pages)
-        writers.tests_json(done.tests, f"{a.out}/tests")
-        writers.features_csv([done.features], f"{a.out}/features")
-        writers.meta_json(done.meta, f"{a.out}/meta")
-        return
-    found = readers.tests(spark, a.tests) if not a.tests.endswith(".parquet") else spark.read.parquet(a.tests)
+    if a.only_regex or a.limit is not None:
+        kept = corpus.chosen(pages.select("paper_id").distinct(), "paper_id", a.only_regex, a.limit)
+        pages = pages.join(kept.select("paper_id"), "paper_id", "left_semi")
+    return pages
+
+
+def extract(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Papers that the cache lacks are worked out and added to it; what the run asks for then comes from the cache."""
+    pages, cells, cache = chosen_pages(spark, a), readers.cells(spark, a.cells), a.cache or f"{a.out}/cache"
+    hold = writers.holder(f"{a.out}/work")
+    own = spark.read.parquet(a.papers).select("paper_id", "sha256") if a.papers else corpus.content_hash(pages)
+    key = text.cache_key(F.lit(a.max_pages), F.lit(a.max_pdf_pages).cast("int"))
+    papers = hold(pages.select("paper_id").distinct().join(own, "paper_id", "left").withColumn("cache_key", key), "papers")
+    names = ("features", "tests", "meta")
+    todo = papers
+    if writers.has_cache(spark, f"{cache}/features") and not a.force:
+        todo = hold(writers.not_cached(papers, writers.read_cache(spark, f"{cache}/features")), "todo")
+    some = todo.select("paper_id")
+    done = screen.extract(pages.join(some, "paper_id", "left_semi"), cells.join(some, "paper_id", "left_semi"), todo.select("paper_id", "sha256"), a.max_pages, a.max_pdf_pages, hold)
+    run = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="microseconds")
+    for name, frame in zip(names, (done.features, done.tests, done.meta)):
+        keys = writers.keyed(todo).select(*writers.CACHE_KEY)
+        bare = frame.drop("cache_key", "extractor_version", "sha256")
+        writers.cache(bare.join(keys, "paper_id").withColumn("run", F.lit(run)), f"{cache}/{name}")
+    out = {}
+    wanted = writers.keyed(papers).select(*writers.CACHE_KEY)
+    latest = writers.read_cache(spark, f"{cache}/features").groupBy(*writers.CACHE_KEY).agg(F.max("run").alias("run"))
+    wanted = hold(wanted.join(latest, list(writers.CACHE_KEY)), "wanted")
+    for name in names:
+        cached = writers.read_cache(spark, f"{cache}/{name}")
+        out[name] = cached.join(wanted, [*writers.CACHE_KEY, "run"], "left_semi").drop("run", "sha12")
+    writers.by_paper(out["tests"], f"{a.out}/tests.parquet")
+    writers.features_csv([out["features"]], f"{a.out}/features")
+    writers.meta_json(out["meta"], f"{a.out}/meta")
+    if a.export:
+        writers.tests_json(out["tests"], f"{a.out}/tests")
+    return {"papers": papers.count(), "worked_out": todo.count(), "tests": spark.read.parquet(f"{a.out}/tests.parquet").count()}
+
+
+def reported(spark: SparkSession, a: argparse.Namespace) -> dict:
+    pages, hold = chosen_pages(spark, a), writers.holder(f"{a.out}/work")
+    found = spark.read.parquet(a.tests) if a.tests.rstrip("/").endswith(".parquet") else readers.tests(spark, a.tests)
+    found = found.join(pages.select("paper_id").distinct(), "paper_id", "left_semi")
     titles = found.select("paper_id").distinct().withColumn("title", F.col("paper_id"))
     if a.features:
         rows = readers.features(spark, a.features).select("paper_id", F.col("risk_score").cast("double").alias("risk_score"), "line").withColumn("sha256", F.lit(None).cast("string"))
         titles = titles.join(corpus.match_rows(titles.select("paper_id", F.lit("").alias("sha256")), rows).select("paper_id", "risk_score"), "paper_id", "left")
     else:
         titles = titles.withColumn("risk_score", F.lit(None).cast("double"))
-    refs = []
-    if a.references:
-        from siftmill.operators import report
+    refs = [r["ref"] for r in report.references(readers.notes(spark, a.references)).orderBy("pos").collect()] if a.references else []
+    ordered = found.withColumn("seq", F.struct(*screen.TEST_ORDER))
+    if a.what == "expert":
+        key = readers.notes(spark, a.key_file).first()["text"].strip() if a.key_file else ""
+        who = responder.Endpoint(a.endpoint, a.model, key) if a.endpoint else responder.Offline()
+        done = expert.run(pages, found, titles, who, hold, refs)
+        for name in ("inventory", "chunks", "digests", "audits"):
+            writers.objects(getattr(done, name), f"{a.out}/expert/{name}")
+        writers.objects(done.metrics, f"{a.out}/diagnostic_metrics")
+        made = done.reports
+    else:
+        made = screen.reports(pages, found, titles, refs)
+    writers.by_paper(made, f"{a.out}/reports.parquet")
+    writers.objects(titles.join(summary.paper_summary(ordered), "paper_id", "left"), f"{a.out}/diagnostic")
+    if a.export:
+        writers.reports(made.select("paper_id", "report"), f"{a.out}/reports")
+    return {"reports": spark.read.parquet(f"{a.out}/reports.parquet").count()}
+
 
-        refs = [r["ref"] for r in report.references(readers.notes(spark, a.references)).orderBy("pos").collect()]
-    writers.reports(screen.reports(pages, found, titles, refs), f"{a.out}/reports")
+def main(argv: list[str] | None = None) -> None:
+    a = options().parse_args(argv)
+    spark = SparkSession.builder.appName("siftmill").getOrCreate()
+    session.ship(spark)
+    began = datetime.datetime.now(datetime.timezone.utc)
+    made = extract(spark, a) if a.what == "extract" else reported(spark, a)
+    asked = {k: v for k, v in vars(a).items() if k != "key_file"}
+    writers.run_record(spark, f"{a.out}/run_{a.what}", version=fixed.VERSION, began=began, ended=datetime.datetime.now(datetime.timezone.utc), asked=asked, made=made)
 
 
 if __name__ == "__main__":

@@ -35,6 +35,12 @@ def match_rows(papers: DataFrame, rows: DataFrame) -> DataFrame:
     return first.select("paper_id", "row.*")
 
 
+def content_hash(pages: DataFrame) -> DataFrame:
+    """paper_id, sha256 of a paper's page texts, for papers whose file is not at hand."""
+    each = pages.groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("page", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")))).alias("hs"))
+    return each.select("paper_id", F.sha2(F.array_join(F.transform("hs", lambda x: F.concat(x["page"].cast("string"), F.lit(":"), x["h"])), " "), 256).alias("sha256"))
+
+
 def first_seen(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """group, value, pos: each value of a group once, in the order in which it first came."""
     firsts = rows.groupBy(group, value).agg(F.min(order).alias("first"))

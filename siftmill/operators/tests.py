@@ -114,6 +114,21 @@ def reason_counts(reconstructed: DataFrame) -> DataFrame:
     return reconstructed.select("paper_id", F.explode("reasons").alias("reason")).groupBy("paper_id", "reason").agg(F.count("*").alias("n"))
 
 
+def dropped_examples(reconstructed: DataFrame, most: int = 20) -> DataFrame:
+    """paper_id, dropped_examples: the first pairs of a paper that are no tests, in order of place, with their reasons."""
+    shown = ("page", "table_index", "coef", "paren", "cell_text_snippet", "se_cell_text_snippet", "reasons")
+    rows = first_of_each(reconstructed.filter(F.size("reasons") > 0), most, list(PAIR_KEY[1:]))
+    listed = F.sort_array(F.collect_list(F.struct("rank", *shown)))
+    return rows.groupBy("paper_id").agg(F.transform(listed, lambda x: x.dropFields("rank")).alias("dropped_examples"))
+
+
+def tables_of(reconstructed: DataFrame) -> DataFrame:
+    """paper_id, tables_raw, tables_kept: (page, table_index) of the tables with pairs, and of those with tests."""
+    each = reconstructed.groupBy("paper_id", "page", "table_index").agg(F.count_if(F.size("reasons") == 0).alias("kept"))
+    place = F.array(F.col("page").cast("int"), F.col("table_index").cast("int"))
+    return each.groupBy("paper_id").agg(F.sort_array(F.collect_list(place)).alias("tables_raw_list"), F.sort_array(F.collect_list(F.when(F.col("kept") > 0, place))).alias("tables_kept_list"))
+
+
 def window_aggregates(abs_t: Column, p: Column | None = None) -> list[Column]:
     """Aggregates of tests: counts on either side of each window, significant tests, halves of the p-curve.
 

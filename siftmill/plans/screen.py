@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -26,11 +27,12 @@ class Extraction:
     meta: DataFrame
 
 
-def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None, max_pages: int = TRIAGE_PAGES, max_pdf_pages: int | None = None) -> Extraction:
+def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None, max_pages: int = TRIAGE_PAGES, max_pdf_pages: int | None = None, hold: Callable[[DataFrame, str], DataFrame] = lambda frame, name: frame) -> Extraction:
     """Pages and cells of a corpus to tests, features and scores.
 
     Only cells of the ``max_pages`` best pages of each paper are read. papers: further columns of
-    each paper (sha256, path, …). Papers with more than ``max_pdf_pages`` pages get a stub row.
+    each paper (sha256, path, …). Papers with more than ``max_pdf_pages`` pages get a stub row. hold:
+    writes a table under a name and rereads it; the pairs are used by several results.
     """
     counts = pages.groupBy("paper_id").agg(F.max("page").alias("pages"))
     skipped = None
@@ -40,10 +42,10 @@ def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None,
         pages, cells = pages.join(small, "paper_id", "left_semi"), cells.join(small, "paper_id", "left_semi")
     scored = page_ops.triage_scores(pages)
     chosen = page_ops.triage_pages(scored, max(1, max_pages))
-    raw = tests.pairs(cells.join(chosen.select("paper_id", "page"), ["paper_id", "page"], "left_semi"))
+    raw = hold(tests.pairs(cells.join(chosen.select("paper_id", "page"), ["paper_id", "page"], "left_semi")), "pairs")
     full = page_ops.full_text(pages)
     modes = tests.paren_modes(raw, full)
-    made = tests.reconstruct(raw, modes)
+    made = hold(tests.reconstruct(raw, modes), "reconstructed")
     key = text.cache_key(F.lit(max_pages), F.lit(max_pdf_pages).cast("int"))
     base = full.join(counts, "paper_id").withColumn("extractor_version", F.lit(fixed.VERSION)).withColumn("cache_key", key)
     base = base.join(scored.groupBy("paper_id").agg(F.count_if("is_reference").alias("reference_pages")), "paper_id")
@@ -52,6 +54,8 @@ def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None,
         base = base.join(papers, "paper_id", "left")
     features = tests.paper_features(base, made, modes).withColumn("generated_at", text.now())
     meta = features.select("paper_id", "extractor_version", "cache_key", "candidate_pages", "paren_mode", "paren_mode_source", "pairs_raw", F.col("tests").alias("pairs_kept"), "filter_counts", "generated_at")
+    meta = meta.withColumn("max_pages_per_paper", F.lit(max_pages)).withColumn("max_pdf_pages", F.lit(max_pdf_pages).cast("int"))
+    meta = meta.join(tests.tables_of(made), "paper_id", "left").join(tests.dropped_examples(made), "paper_id", "left")
     if skipped is not None:
         features = features.unionByName(skipped, allowMissingColumns=True)
     return Extraction(features, tests.kept(made), made.filter(F.size("reasons") > 0), meta)

@@ -6,8 +6,13 @@ text, and metrics from audits that exist. A responder is called on the executors
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from typing import Protocol
 
 import pandas as pd
@@ -35,6 +40,28 @@ class Offline:
         raise RuntimeError("no model: the engine is offline")
 
 
+class Endpoint:
+    """A responder over HTTP, for servers that take {model, messages} and answer {choices: [{message: {content}}]}."""
+
+    def __init__(self, url: str, model: str, key: str = "", timeout: float = 180.0, most_tokens: int = 3500):
+        self.url, self.model, self.key, self.timeout, self.most_tokens = url, model, key, timeout, most_tokens
+
+    def answer(self, system: str, prompt: str) -> str:
+        messages = [{"role": "system", "content": system}] if system else []
+        body = {"model": self.model, "messages": [*messages, {"role": "user", "content": prompt}], "temperature": 0, "max_tokens": self.most_tokens}
+        headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.key}"} if self.key else {})}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                said = json.load(reply)
+        except urllib.error.HTTPError as e:
+            raise RuntimeError(f"Error code: {e.code} - {e.read(2000).decode('utf-8', 'replace')}") from None
+        content = said["choices"][0]["message"].get("content")
+        if not content:
+            raise RuntimeError("empty response content")
+        return content
+
+
 class Joined:
     """A responder for endpoints that take no system message: it becomes the beginning of the prompt."""
 
@@ -64,35 +91,54 @@ def persistent(responder: Responder, system: str, prompt: str, attempts: int = A
     raise AssertionError
 
 
+Hold = Callable[[DataFrame, str], DataFrame]
+
+
+def as_it_is(frame: DataFrame, name: str) -> DataFrame:
+    """Holds nothing: right where a frame is read once, or its answers are sure to be the same."""
+    return frame
+
+
+#: What is known of each call; with the packets' own columns it is the log.
+CALL = "answer string, error string, attempts int, started string, seconds double, model string, system_chars int, prompt_chars int, answer_chars int, prompt_sha256 string"
+
+
 def ask(packets: DataFrame, responder: Responder, system: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """packets (key columns, prompt) with answer, error and seconds of each call: also the log of the calls."""
+    """packets (key columns, prompt) with the columns of CALL: also the log of the calls. No key is ever in it."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            answers, errors, seconds = [], [], []
+            rows = []
             for prompt in part["prompt"]:
-                began = time.monotonic()
+                waits: list[float] = []
+
+                def wait(seconds: float, waits: list[float] = waits) -> None:
+                    waits.append(seconds)
+                    time.sleep(seconds)
+
+                began, started = time.monotonic(), datetime.now(timezone.utc).isoformat(timespec="seconds")
                 try:
-                    answers.append(persistent(responder, system, prompt, attempts))
-                    errors.append(None)
+                    answer, error = persistent(responder, system, prompt, attempts, wait), None
                 except Exception as e:
-                    answers.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
-                seconds.append(time.monotonic() - began)
-            yield part.assign(answer=answers, error=errors, seconds=seconds)
+                    answer, error = None, f"{type(e).__name__}: {e}"[:500]
+                rows.append((answer, error, len(waits) + 1, started, time.monotonic() - began, getattr(responder, "model", type(responder).__name__), len(system), len(prompt), len(answer or ""), hashlib.sha256(prompt.encode()).hexdigest()))
+            yield part.reset_index(drop=True).join(pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")]))
 
     fields = ", ".join(f"`{c}` {kind}" for c, kind in packets.dtypes)
-    return packets.mapInPandas(run, f"{fields}, answer string, error string, seconds double")
+    return packets.mapInPandas(run, f"{fields}, {CALL}")
+
 
+def objects(packets: DataFrame, responder: Responder, system: str, repairs: int = REPAIRS, hold: Hold = as_it_is) -> DataFrame:
+    """packets with ``object``: the JSON object answered. An answer without one is asked to be repaired, up to so many times.
 
-def objects(packets: DataFrame, responder: Responder, system: str, repairs: int = REPAIRS) -> DataFrame:
-    """packets with ``object``: the JSON object answered. An answer without one is asked to be repaired, up to so many times."""
-    done = ask(packets, responder, system).withColumn("object", jsons.json_object(F.col("answer")))
-    for _ in range(repairs - 1):
+    Answers are held after each round, so that none is asked for again by a later step.
+    """
+    done = hold(ask(packets, responder, system).withColumn("object", jsons.json_object(F.col("answer"))), "0")
+    for k in range(repairs - 1):
         todo = done.filter(F.col("object").isNull() & F.col("answer").isNotNull())
         again = todo.select(*packets.columns, F.col("answer").alias("bad")).withColumn("asked", F.col("prompt")).withColumn("prompt", F.concat(F.lit("Give this again as one valid JSON object:\n"), F.col("bad"))).drop("bad")
         mended = ask(again, responder, system).withColumn("object", jsons.json_object(F.col("answer"))).withColumn("prompt", F.col("asked")).drop("asked")
-        done = done.filter(F.col("object").isNotNull() | F.col("answer").isNull()).unionByName(mended)
+        done = hold(done.filter(F.col("object").isNotNull() | F.col("answer").isNull()).unionByName(mended), str(k + 1))
     return done
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +13,24 @@ from siftmill import fixed
 CACHE_KEY = ("paper_id", "sha12", "cache_key", "extractor_version")
 
 
+def holder(folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes a table under a name in ``folder`` and rereads it, so that what follows does not work it out again."""
+
+    def hold(frame: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}"
+        frame.write.mode("overwrite").parquet(path)
+        return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+    return hold
+
+
+def by_paper(frame: DataFrame, path: str) -> None:
+    """A table as Parquet whose files are of even size and sorted by paper, so that one paper's rows are found by the files' statistics."""
+    frame.hint("rebalance", F.col("paper_id")).sortWithinPartitions("paper_id").write.mode("overwrite").parquet(path)
+
+
 def tests_json(tests: DataFrame, path: str) -> None:
-    """Tests as JSON lines, a folder for each paper."""
+    """Tests as JSON lines, a folder for each paper: an export for few papers."""
     tests.repartition("paper_id").write.mode("overwrite").partitionBy("paper_id").json(path)
 
 
@@ -39,25 +58,40 @@ def objects(frame: DataFrame, path: str) -> None:
 
 
 def reports(frame: DataFrame, path: str) -> None:
-    """Markdown reports (paper_id, report), a folder for each paper."""
+    """Markdown reports (paper_id, report), a folder for each paper: an export for few papers."""
     frame.select("paper_id", F.col("report").alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy("paper_id").text(path)
 
 
+def run_record(spark: SparkSession, path: str, **facts: object) -> None:
+    """What a run was asked to do and what it made, as one JSON object."""
+    spark.createDataFrame([(json.dumps(facts, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def call_log(calls: DataFrame, path: str) -> None:
     """Appends calls of a responder."""
     calls.write.mode("append").json(path)
 
 
+def keyed(papers: DataFrame) -> DataFrame:
+    """papers (paper_id, sha256, cache_key) with the columns of CACHE_KEY."""
+    return papers.withColumn("sha12", F.substring("sha256", 1, 12)).withColumn("extractor_version", F.lit(fixed.VERSION))
+
+
 def cache(features: DataFrame, path: str) -> None:
-    """Appends feature rows (with CACHE_KEY columns) to the cache."""
+    """Appends rows (with CACHE_KEY columns) to the cache."""
     features.write.mode("append").parquet(path)
 
 
 def not_cached(papers: DataFrame, cached: DataFrame) -> DataFrame:
     """Papers (paper_id, sha256, cache_key) that the cache has no row of, for the same file, settings and version."""
-    keyed = papers.withColumn("sha12", F.substring("sha256", 1, 12)).withColumn("extractor_version", F.lit(fixed.VERSION))
-    return keyed.join(cached.select(*CACHE_KEY).distinct(), list(CACHE_KEY), "left_anti").drop("sha12", "extractor_version")
+    return keyed(papers).join(cached.select(*CACHE_KEY).distinct(), list(CACHE_KEY), "left_anti").drop("sha12", "extractor_version")
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All rows of the cache, whichever columns the runs had that wrote them."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def has_cache(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmill.operators import tests
-from siftmill.plans import fixtures
+from siftmill.plans import expert, fixtures
 from siftmill.sources import pdf, readers, responder, writers
 from siftmill.streaming import ingest
 
@@ -125,11 +125,44 @@ def test_extract_and_report(spark, tmp_path):
     words = spark.createDataFrame([("a", 1, 0, 0, 0, "Income", 10.0, 0.0, 60.0, 10.0), ("a", 1, 0, 1, 0, "(1)", 105.0, 3.0, 130.0, 8.0)], "paper_id string, page int, block_no int, line_in_block int, word_no int, text string, x0 double, y0 double, x1 double, y1 double")
     named = screen.labelled_examples(done.tests, words, done.tests)
     assert {r["row_label"] for r in named.collect() if r["row_index"] == 0} == {"Income"}
-    __main__.main(["extract", "--pages", str(tmp_path / "pages"), "--cells", str(tmp_path / "cells"), "--out", str(tmp_path / "out")])
+    __main__.main(["extract", "--pages", str(tmp_path / "pages"), "--cells", str(tmp_path / "cells"), "--out", str(tmp_path / "out"), "--export"])
+    assert spark.read.json(str(tmp_path / "out/tests")).count() == spark.read.parquet(str(tmp_path / "out/tests.parquet")).count() == 3
+    meta = {r["paper_id"]: r for r in spark.read.json(str(tmp_path / "out/meta")).collect()}["a"]
+    assert meta["dropped_examples"][0]["reasons"] == ["column_label_like"] and meta["tables_raw_list"] == meta["tables_kept_list"] == [[1, 0]]
     (tmp_path / "note.md").write_text("## References (APA)\n- Smith (2001)\n")
-    __main__.main(["report", "--pages", str(tmp_path / "pages"), "--tests", str(tmp_path / "out/tests"), "--features", str(tmp_path / "out/features"), "--references", str(tmp_path / "note.md"), "--out", str(tmp_path / "out")])
+    __main__.main(["report", "--pages", str(tmp_path / "pages"), "--tests", str(tmp_path / "out/tests.parquet"), "--features", str(tmp_path / "out/features"), "--references", str(tmp_path / "note.md"), "--out", str(tmp_path / "out"), "--export"])
     shown = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out/reports"), wholetext=True).collect())
     assert "Risk score" in shown and "- Smith (2001)" in shown and "Table 1. Effects" in shown
+    assert json.loads(spark.read.text(str(tmp_path / "out/diagnostic")).first()["value"])["tests"] == 3
+    record = json.loads(spark.read.text(str(tmp_path / "out/run_report")).first()["value"])
+    assert record["made"] == {"reports": 1} and record["version"] == tests.fixed.VERSION
+
+
+def test_a_second_run_reads_the_cache(spark, tmp_path):
+    """Only papers whose pages or settings changed are worked out again."""
+    from siftmill import __main__
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(str(tmp_path / name))
+
+    grid = [("0.20**", "(0.10)"), ("1.95", "(1.0)")]
+    cells = [(paper, 1, 0, 2 * r + k, 0, cell, [0.0, 0.0, 9.0, 9.0], [1.0, 2.0, 3.0, 4.0]) for paper in "abc" for r, row in enumerate(grid) for k, cell in enumerate(row)]
+    write("cells", cells, readers.CELLS)
+    write("pages", [(p, 1, f"Table 1. Effects in {p}") for p in "abc"], readers.PAGES)
+    run = ["extract", "--pages", str(tmp_path / "pages"), "--cells", str(tmp_path / "cells"), "--out", str(tmp_path / "out")]
+
+    def made(*more):
+        __main__.main([*run, *more])
+        return json.loads(spark.read.text(str(tmp_path / "out/run_extract")).first()["value"])["made"]
+
+    assert made("--only-regex", "^[ab]$") == {"papers": 2, "worked_out": 2, "tests": 4}
+    assert made() == {"papers": 3, "worked_out": 1, "tests": 6}
+    assert made() == {"papers": 3, "worked_out": 0, "tests": 6}
+    write("pages", [("a", 1, "Table 1. Something else")] + [(p, 1, f"Table 1. Effects in {p}") for p in "bc"], readers.PAGES)
+    assert made() == {"papers": 3, "worked_out": 1, "tests": 6}
+    assert made("--force") == {"papers": 3, "worked_out": 3, "tests": 6}
+    assert made("--limit", "1") == {"papers": 1, "worked_out": 0, "tests": 2}
+    assert made("--max-pages", "3") == {"papers": 3, "worked_out": 3, "tests": 6}
 
 
 def test_sidecars_and_logs(spark, tmp_path):
@@ -151,3 +184,100 @@ def test_packets(spark):
     assert len(chunks) == 2 and json.loads(chunks[0]["prompt"])[0] == {"page": 1, "text": "text 1"}
     shown = spark.createDataFrame([("## Bottom line\n\ntext",)], "report string").select(responder.has_headings(F.col("report"), ["Bottom line"]).alias("a"), responder.has_headings(F.col("report"), ["Other"]).alias("b")).first()
     assert shown["a"] and not shown["b"]
+
+
+def reviewer():
+    class Reviewer:
+        """Answers each task; gets the metrics of paper a wrong twice, those of b always, and leaves out a section of a."""
+
+        model = "made-up"
+
+        def __init__(self):
+            self.asked = {}
+
+        def answer(self, system, prompt):
+            import json as j
+            import re
+
+            task = re.search(r"TASK (\w+ \w+)", prompt).group(1)
+            given = j.loads(prompt[prompt.rindex("\n") + 1 :]) if prompt.rstrip().endswith("}") else {}
+            if task == "summarise pages":
+                return '{"key_points": ["x"]}'
+            if task == "digest the":
+                return 'Here it is: {"summary": "s"}'
+            if task == "audit one":
+                return j.dumps({"risk_score": 80 if given["id"] == "Table 1" else 10, "concerns": ["c " + given["id"]]})
+            if task == "metrics of":
+                entries = [{"kind": i["kind"], "id": i["id"], "pages": i["pages"]} for i in given["inventory"]]
+                good = given["title"] == "a" and "Give the whole object again" in prompt
+                return j.dumps({"paper": {k: 1 for k in ("title", "overall_risk_score_0_100", "overall_risk_level", "top_concerns", "key_artifacts")}, "artifacts": entries if good else entries[1:], "generated_at": "now"})
+            if task == "write the":
+                if "head of" in prompt:
+                    return "# Review: " + given["title"] + "\n\n## Summary\n\ns\n\n## The paper\n\np\n\n## What was checked\n\nw\n\n## Tables and figures"
+                return "## Assessment\n\na\n\n## Limits\n\nl"
+            listed = given["artifacts"]
+            return "\n\n".join(f"### {i['id']}: {i['caption']}\n\ntext" for i in (listed if len(listed) == 1 else listed[:-1]))
+
+    return Reviewer()
+
+
+def papers_of_an_expert(spark):
+    pages = [(p, k, f"Table {k}. Effects in {p}\nSee table {k}.") for p in "ab" for k in range(1, 4)] + [("b", 4, "Figure 1. Trends")]
+    rows = [(p, k, 0, r, 0, 1.9 + r / 100, 1.0, 1.9 + r / 100, 0.05, 1.9 + r / 100, "1.9", "(1.0)", 1) for p in "ab" for k in (1, 2) for r in range(12)]
+    found = spark.createDataFrame(rows, "paper_id string, page int, table_index int, row_index int, col_index int, coef double, paren double, t double, p_approx_2s double, abs_t double, coef_raw string, se_cell_text_snippet string, stars int")
+    return spark.createDataFrame(pages, "paper_id string, page int, text string"), found, spark.createDataFrame([("a", "a", 30.0), ("b", "b", None)], "paper_id string, title string, risk_score double")
+
+
+def test_expert_workflow(spark, tmp_path):
+    pages, found, papers = papers_of_an_expert(spark)
+    done = expert.run(pages, found, papers, reviewer(), writers.holder(str(tmp_path / "held")), ["Smith (2001)"])
+    audits = {(r["paper_id"], r["id"]): r for r in done.audits.collect()}
+    assert len(audits) == 7 and audits["a", "Table 1"]["level"] == "High" and audits["b", "Figure 1"]["concerns"] == ["c Figure 1"]
+    metrics = {r["paper_id"]: (r["source"], json.loads(r["object"])) for r in done.metrics.collect()}
+    assert metrics["a"][0] == "model" and metrics["b"][0] == "audits"  # a was repaired, b never fitted
+    assert [x["id"] for x in metrics["b"][1]["artifacts"]] == ["Table 1", "Table 2", "Table 3", "Figure 1"] and metrics["b"][1]["paper"]["key_artifacts"][0] == "Table 1"
+    assert metrics["b"][1]["artifacts"][0]["has_numeric_evidence"] and not metrics["b"][1]["artifacts"][3]["has_numeric_evidence"]
+    reports = {r["paper_id"]: r["report"] for r in done.reports.collect()}
+    for paper, ids in (("a", ["Table 1", "Table 2", "Table 3"]), ("b", ["Table 1", "Table 2", "Table 3", "Figure 1"])):
+        assert reports[paper].startswith(f"# Review: {paper}") and all(f"### {i}:" in reports[paper] for i in ids)  # also the one left out at first
+        assert "## Limits" in reports[paper] and "- Smith (2001)" in reports[paper]
+    log = spark.read.parquet(str(tmp_path / "held/heads"))
+    assert {"started", "attempts", "prompt_sha256", "model", "system_chars"} <= set(log.columns) and log.first()["model"] == "made-up"
+
+
+def test_expert_workflow_without_a_model(spark, tmp_path):
+    pages, found, papers = papers_of_an_expert(spark)
+    done = expert.run(pages, found, papers, responder.Offline(), writers.holder(str(tmp_path / "held")))
+    assert done.audits.count() == 0 and {r["source"] for r in done.metrics.collect()} == {"audits"}
+    assert all(r["report"].startswith("# Screening report") for r in done.reports.collect())
+
+
+def test_endpoint():
+    import http.server
+    import threading
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((body, self.headers.get("Authorization")))
+            said = body["messages"][-1]["content"]
+            self.send_response(403 if said == "blocked" else 200)
+            self.end_headers()
+            self.wfile.write(b"permission_denied" if said == "blocked" else json.dumps({"choices": [{"message": {"content": "" if said == "empty" else "fine"}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        who = responder.Endpoint(f"http://127.0.0.1:{server.server_port}/chat", "m", "k", 5)
+        assert who.answer("sys", "hello") == "fine" and asked[0][1] == "Bearer k" and asked[0][0]["messages"][0] == {"role": "system", "content": "sys"}
+        for prompt in ("blocked", "empty"):
+            with pytest.raises(RuntimeError) as e:
+                who.answer("", prompt)
+            assert responder.passing(e.value)
+    finally:
+        server.shutdown()
