@@ -281,6 +281,32 @@ def test_scores_do_not_depend_on_batches():
     assert scorer.attention(texts[0]).sum() == pytest.approx(1)
 
 
+def test_quality_scores_equal_a_plain_forward_pass():
+    """Every passage of every word by loops: features, encoder, gated attention, weighted mean, logistic unit."""
+    p = {k: v.astype(np.float64) for k, v in quality.start().items()}
+    texts = [t for _, t, _, _ in corpus(6)] + ["", "One", "a b " * 300, "### $$$ 12 Ünï"]
+
+    def plain(text):
+        words = text.encode().split()
+        spans = [words[i : i + quality.PASSAGE] for i in range(0, len(words), quality.PASSAGE)] or [[]]
+        hs, es = [], []
+        for span in spans:
+            n = max(1, len(span))
+            means = sum((np.array(quality.features_of(w), np.float32).astype(np.float64) for w in span), np.zeros(quality.FEATURES)) / n
+            twice = sum(a == b for a, b in zip(span, span[1:]))
+            near = sum(a == b for a, b in zip(span, span[2:]))
+            extra = [len(span) / quality.PASSAGE, len(span) < 20, len(set(span)) / n, twice / n, near / n, not span]
+            shapes = sum((p["shapes"][quality.shape_of(w)] for w in span), np.zeros(quality.EMBED)) / n
+            h = np.tanh(np.concatenate([means, extra, shapes]) @ p["enc"] + p["eb"])
+            hs.append(h)
+            es.append((np.tanh(h @ p["V"]) / (1 + np.exp(-h @ p["U"]))) @ p["w"])
+        a = np.exp(es) / np.sum(np.exp(es))
+        return 1 / (1 + np.exp(-(a @ np.array(hs) @ p["o"] + p["b"][0])))
+
+    got = quality.Scorer(quality.start()).scores([t.encode() for t in texts])
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-4)
+
+
 def test_every_host_of_three_pages_has_a_template(spark):
     pages = spark.createDataFrame([(f"h{i // 3}.org", f"<p>host {i // 3} page {i}</p>") for i in range(120)], "host string, html string").repartition(4)
     made = wrapper.templates(pages.withColumn("h", F.xxhash64(F.lit(0), "html")), Shelf(spark, "test")).collect()
