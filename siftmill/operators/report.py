@@ -152,6 +152,12 @@ def _listed(frame: DataFrame, line: Column, name: str) -> DataFrame:
     return frame.groupBy("paper_id").agg(rows.alias(name))
 
 
+def page_order(counts: DataFrame) -> DataFrame:
+    """counts (paper_id, page, p_count, t_count) of pages that have any, with their rank in the paper: most first."""
+    most_first = Window.partitionBy("paper_id").orderBy(F.desc(F.col("p_count") + F.col("t_count")), "page")
+    return counts.filter("p_count + t_count > 0").withColumn("rank", F.row_number().over(most_first))
+
+
 def report(papers: DataFrame, summary: DataFrame, p_titles: DataFrame, t_titles: DataFrame, p_examples: DataFrame, t_examples: DataFrame, counts: DataFrame, titles: DataFrame) -> DataFrame:
     """paper_id, report (Markdown): bottom line, both windows with their nearest entries, where they lie, and caveats.
 
@@ -166,7 +172,7 @@ def report(papers: DataFrame, summary: DataFrame, p_titles: DataFrame, t_titles:
         bits = [cell("page"), F.coalesce(F.nullif("title", F.lit("")), F.lit("(unknown)")), F.concat(F.lit("`"), cell("coef_raw"), F.lit("`")), F.concat(F.lit("`"), cell("se_cell_text_snippet"), F.lit("`")), F.format_number("at", 3), F.format_number("p_approx_2s", 4), cell("stars")]
         return _listed(titled, F.concat(F.lit("| "), F.concat_ws(" | ", *bits), F.lit(" |")), name)
 
-    where = counts.filter("p_count + t_count > 0").join(titles, ["paper_id", "page"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc(F.col("p_count") + F.col("t_count")), "page")))
+    where = page_order(counts).join(titles, ["paper_id", "page"], "left")
     where = where.withColumn("has_p", F.max("p_count").over(Window.partitionBy("paper_id")) > 0).filter("has_p")
     spots = _listed(where, F.concat(F.lit("| "), F.concat_ws(" | ", cell("page"), cell("title"), cell("p_count"), cell("t_count")), F.lit(" |")), "spots")
     joined = papers.join(fallback_score(summary), "paper_id")

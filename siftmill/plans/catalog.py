@@ -15,6 +15,7 @@ from siftmill.functions import jsons, stats, text, tokens
 from siftmill.operators import artifacts, corpus, layout, pages, report, summary, tests
 from siftmill.plans import fixtures as fx
 from siftmill.session import table
+from siftmill.sources import writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -592,6 +593,18 @@ def _(spark, d):
 QUERIES["agg13_page_counts"], ORACLES["agg13_page_counts"] = QUERIES["jn14_page_counts"], ORACLES["jn14_page_counts"]
 
 
+@query("top10_page_order", PAGE_COUNTS.replace("\nSELECT coalesce(p.paper_id", ",\nboth_ AS (SELECT coalesce(p.paper_id", 1) + ")\nSELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY p_count + t_count DESC, page) AS INT) AS rank FROM both_ WHERE p_count + t_count > 0", "stat_tests")
+def _(spark, d):
+    return report.page_order(summary.page_counts(fx.tests(spark, d)))
+
+
+@query("set5_one_header", "SELECT paper_id, count(*) AS tests, NULL AS pages, NULL AS skipped_reason FROM stat_tests GROUP BY 1 UNION ALL SELECT paper_id, NULL, max(page), 'pages>370' FROM page_texts GROUP BY 1 HAVING max(page) > 370", "stat_tests", "page_texts")
+def _(spark, d):
+    counted = fx.tests(spark, d, False).groupBy("paper_id").agg(F.count("*").alias("tests"))
+    skipped = tests.skipped(fx.fixture(spark, d, "page_texts").groupBy("paper_id").agg(F.max("page").alias("pages")), 370)
+    return writers.under_one_header([counted, skipped])
+
+
 @query("set2_page_keys", f"+{SIDES}\nSELECT paper_id, page FROM sided WHERE s05 <> 0 UNION SELECT paper_id, page FROM stat_tests WHERE abs(abs_t - 1.96) <= 0.20", "stat_tests")
 def _(spark, d):
     t = fx.tests(spark, d, False)

@@ -1,7 +1,8 @@
 """Optional PDF adapter: page texts, word boxes, table cells and metadata of PDFs.
 
 It needs PyMuPDF (``fitz``) and pdfplumber on the executors; without them a query raises ImportError
-with their names. It has not been run: neither library is part of the environment this was built in.
+with their names. Neither library is part of the environment this was built in: tests run the adapter on
+modules that stand in for them, with the few calls that it makes.
 """
 
 from __future__ import annotations
@@ -102,7 +103,8 @@ def renders(pdfs: DataFrame, zoom: float = 2.0, quality: int = 75) -> DataFrame:
 
     def rows(fitz, content, regions):
         with fitz.open(stream=content, filetype="pdf") as doc:
-            for number, *edges in regions:
+            for region in regions:
+                number, *edges = region.values() if isinstance(region, dict) else region
                 clip = fitz.Rect(*edges) if edges[0] is not None else None
                 shown = doc.load_page(number - 1).get_pixmap(matrix=fitz.Matrix(zoom, zoom), alpha=False, clip=clip)
                 yield {"page": number, "image": shown.tobytes("jpeg", jpg_quality=quality)}

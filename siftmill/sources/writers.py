@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 
@@ -44,12 +45,14 @@ def flat(features: DataFrame) -> DataFrame:
     return features.select(*(F.to_json(c).alias(c) if kind.startswith(nested) else F.col(c) for c, kind in features.dtypes))
 
 
+def under_one_header(parts: list[DataFrame]) -> DataFrame:
+    """Tables one after another, with every column of any of them."""
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(flat, parts))
+
+
 def features_csv(parts: list[DataFrame], path: str) -> None:
     """Feature tables under one header that has every column of any of them."""
-    out = flat(parts[0])
-    for part in parts[1:]:
-        out = out.unionByName(flat(part), allowMissingColumns=True)
-    out.write.mode("overwrite").csv(path, header=True, escape='"')
+    under_one_header(parts).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def objects(frame: DataFrame, path: str) -> None:

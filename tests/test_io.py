@@ -281,3 +281,110 @@ def test_endpoint():
             assert responder.passing(e.value)
     finally:
         server.shutdown()
+
+
+FITZ = """
+class Rect(tuple):
+    def __new__(cls, *edges):
+        return tuple.__new__(cls, edges)
+
+
+Matrix = Rect
+
+
+class Pixmap:
+    def __init__(self, clip):
+        self.clip = clip
+
+    def tobytes(self, kind, jpg_quality):
+        return f"{kind} {jpg_quality} {self.clip}".encode()
+
+
+class Page:
+    def __init__(self, text):
+        self.text = text
+
+    def get_text(self, kind):
+        return self.text if kind == "text" else [(1.0, 2.0, 3.0, 4.0, w, 0, 0, k) for k, w in enumerate(self.text.split())]
+
+    def get_pixmap(self, matrix, alpha, clip):
+        return Pixmap(clip)
+
+
+class Document(list):
+    metadata = {"title": "T", "author": None, "subject": "S"}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        return False
+
+    page_count = property(len)
+
+    def load_page(self, k):
+        return self[k]
+
+
+def open(stream, filetype):
+    assert filetype == "pdf"
+    return Document(map(Page, stream.decode().split("|")))
+"""
+PDFPLUMBER = """
+class Table:
+    bbox = (0, 0, 10, 10)
+
+    def __init__(self, text):
+        self.grid = [line.split(",") for line in text.split(";")]
+        self.rows = [type("Row", (), {"cells": [(c, r, c + 1, r + 1) for c in range(len(line) - (r == 1))]})() for r, line in enumerate(self.grid)]
+
+    def extract(self):
+        return self.grid
+
+
+class Page:
+    def __init__(self, text):
+        self.text = text
+
+    def find_tables(self, table_settings):
+        if self.text == "broken":
+            raise ValueError("no tables here")
+        return [Table(self.text)]
+
+
+class Document:
+    def __init__(self, pages):
+        self.pages = pages
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        return False
+
+
+def open(stream):
+    return Document([Page(t) for t in stream.read().decode().split("|")])
+"""
+
+
+def test_pdf_adapter_with_libraries_that_stand_in(spark, tmp_path, monkeypatch):
+    """The adapter's own code, on modules with the few calls that it makes; a "PDF" is its pages' texts with bars between."""
+    import sys
+
+    monkeypatch.setattr(sys, "path", list(sys.path))
+    for name, code in (("fitz", FITZ), ("pdfplumber", PDFPLUMBER)):
+        (tmp_path / f"{name}.py").write_text(code)
+        spark.sparkContext.addPyFile(str(tmp_path / f"{name}.py"))
+    files = spark.createDataFrame([("a", bytearray(b"one two|three")), ("b", bytearray(b"x,1;y|broken"))], "paper_id string, content binary")
+    assert sorted(tuple(r) for r in pdf.pages(files).select("paper_id", "page", "text").collect()) == [("a", 1, "one two"), ("a", 2, "three"), ("b", 1, "x,1;y"), ("b", 2, "broken")]
+    assert [(r["text"], r["word_no"], r["x1"]) for r in pdf.words(files).filter("paper_id = 'a'").orderBy("page", "word_no").collect()] == [("one", 0, 3.0), ("two", 1, 3.0), ("three", 0, 3.0)]
+    assert pdf.metadata(files).filter("paper_id = 'a'").first().asDict() == {"title": "T", "author": None, "subject": "S", "pages": 2, "paper_id": "a"}
+    wanted = files.withColumn("wanted", F.array(F.lit(1), F.lit(2), F.lit(9)))
+    got = {(r["row_index"], r["col_index"]): (r["cell_text"], r["cell_bbox"]) for r in pdf.cells(wanted.filter("paper_id = 'b'")).collect()}
+    assert got == {(0, 0): ("x", [0, 0, 1, 1]), (0, 1): ("1", [1, 0, 2, 1]), (1, 0): ("y", None)}  # a page that cannot be read has no table
+    regions = files.withColumn("regions", F.expr("from_json('[{\"page\": 1, \"x0\": 0, \"y0\": 1, \"x1\": 2, \"y1\": 3}, {\"page\": 2}]', 'array<struct<page int, x0 double, y0 double, x1 double, y1 double>>')"))
+    shown = [(r["page"], bytes(r["image"]).decode()) for r in pdf.renders(regions.filter("paper_id = 'a'")).orderBy("page").collect()]
+    assert shown == [(1, "jpeg 75 (0.0, 1.0, 2.0, 3.0)"), (2, "jpeg 75 None")]
+    for name in ("fitz", "pdfplumber"):
+        sys.modules.pop(name, None)
