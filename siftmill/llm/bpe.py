@@ -8,7 +8,8 @@ hold are skipped when they come up. The work is n log n in the bytes of a pre-to
 
 Text is cut by the vocabulary's pattern; equal chunks of text are encoded once (see ``chunks``).
 
-Defined cases: a null text is empty and has no ids; special tokens' strings are ordinary text;
+Defined cases: a null text is empty and has no ids; special tokens' strings are ordinary text; texts and
+pre-tokens of any length are encoded whole; of pairs of one rank the leftmost is merged first;
 repeated rows each keep their row; an empty table gives an empty result; further columns are ignored.
 """
 

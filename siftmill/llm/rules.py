@@ -9,7 +9,8 @@ reaches the driver or is broadcast.
 Measures count words ``[^\\x20\\x09-\\x0D]+`` of the whole text; a repeated word stands in an 8-word
 window that the text holds twice or more. Windows are found by hash and confirmed word by word.
 
-Defined cases: a null or empty text has no words and fails the base rule; repeated rows and ids each
+Defined cases: a null or empty text has no words and fails the base rule; the words of a text of any
+length all count; texts that tie in their votes tie in the verdict; repeated rows and ids each
 keep their row; an empty table gives an empty result; further columns are ignored.
 """
 
