@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -36,10 +38,11 @@ class Shelf:
     """
 
     opened: list["Shelf"] = []
+    _serials = itertools.count()
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.serial, self.thread = 0, next(Shelf._serials), threading.get_ident()
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()  # outlive a session that is stopped
         Shelf.opened.append(self)
 
@@ -64,10 +67,15 @@ class Shelf:
             Shelf.opened.remove(self)
             self._remove(self.base)
 
+    @staticmethod
+    def mark() -> int:
+        """A point in time for ``since``."""
+        return next(Shelf._serials)
+
     @staticmethod
     def since(mark: int) -> list["Shelf"]:
-        """The shelves opened after ``mark``, a former length of ``Shelf.opened``."""
-        return Shelf.opened[mark:]
+        """The shelves that this thread has opened after ``mark`` and that are still there."""
+        return [s for s in Shelf.opened if s.serial > mark and s.thread == threading.get_ident()]
 
 
 @atexit.register

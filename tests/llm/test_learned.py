@@ -365,7 +365,7 @@ def test_every_stage_stands_odd_rows(spark, tmp_path):
 def test_shelves_are_removed(spark, tmp_path):
     docs(spark, [(i, t) for i, t, _, _ in corpus(40)]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, q, t) for i, _, t, q in corpus(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    mark = len(Shelf.opened)
+    mark = Shelf.mark()
     corpus_pipeline.run(spark, str(tmp_path)).collect()
     left = Shelf.since(mark)
     assert [Path(s.base).name.split("-")[0] for s in left] == ["pipeline", "packing"]  # what the result still reads
