@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import bpe, chat, packing, prefixprint, quality, rules, simhash, toxicity, urlfilter, wrapper
+from siftmill.llm import bpe, chat, decontaminate, packing, prefixprint, quality, rules, simhash, toxicity, urlfilter, wrapper
 from siftmill.llm.shared import table
 
 
@@ -52,6 +52,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest", "longest_at")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -63,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
 }
-ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL}
+ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL, "op12_benchmark_decontamination": decontaminate.SQL}
