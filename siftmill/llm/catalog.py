@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import bpe, chat, decontaminate, packing, prefixprint, quality, rules, simhash, toxicity, urlfilter, wrapper
+from siftmill.llm import bpe, chat, decontaminate, packing, prefixprint, quality, rules, simhash, toxicity, urlfilter, whitening, wrapper
 from siftmill.llm.shared import table
 
 
@@ -56,6 +56,10 @@ def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest", "longest_at")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("exact")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -68,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
     "op12_benchmark_decontamination": op12_benchmark_decontamination,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL, "op12_benchmark_decontamination": decontaminate.SQL}
