@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import bpe, chat, decontaminate, packing, prefixprint, quality, rules, simhash, toxicity, urlfilter, whitening, wrapper
+from siftmill.llm import bpe, chat, decontaminate, packing, prefixprint, quality, ranked, rules, simhash, toxicity, urlfilter, whitening, wrapper
 from siftmill.llm.shared import table
 
 
@@ -52,6 +52,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest", "longest_at")
 
@@ -71,7 +75,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
     "op12_benchmark_decontamination": op12_benchmark_decontamination,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
-ORACLES: dict[str, str] = {"op3_url_filters": urlfilter.SQL, "op9_chat_formatting": chat.SQL, "op12_benchmark_decontamination": decontaminate.SQL}
+ORACLES: dict[str, str] = {
+    "op3_url_filters": urlfilter.SQL,
+    "op9_chat_formatting": chat.SQL,
+    "op11_ranked_lexical_search": ranked.SQL,
+    "op12_benchmark_decontamination": decontaminate.SQL,
+}
