@@ -76,7 +76,7 @@ def agreement(text: np.ndarray, at: np.ndarray, query: np.ndarray, start: np.nda
         k = agree[live, None] + np.arange(STEP)
         a = text[np.minimum(at[live, None] + k, len(text) - 1)]
         b = query[np.minimum(start[live, None] + k, len(query) - 1)]
-        differ = (a != b) & (k < length[live, None])
+        differ = ((a != b) | (b < 0)) & (k < length[live, None])  # the ends of two stretches are not alike
         some, first = differ.any(axis=1), differ.argmax(axis=1)
         agree[live] = np.minimum(agree[live] + np.where(some, first, STEP), length[live])
         less[live[some]] = a[some, first[some]] < b[some, first[some]]
@@ -217,7 +217,9 @@ class Shard:
         stretch = np.searchsorted(begins, places, "right") - 1
         rows, firsts = (np.array(x, np.int64)[stretch] for x in list(zip(*held))[:2])
         one, back = np.unique(places, return_inverse=True)
-        return rows, firsts + places - begins[stretch], window, in_blocks(lambda p: self._longest(text, p), one)[back]
+        longest = in_blocks(lambda p: self._longest(text, p), one)[back]
+        longest = np.where(longest >= WINDOW, longest, tests.length[window])  # what is shorter than a window is a match if it is a whole item
+        return rows, firsts + places - begins[stretch], window, longest
 
     def _longest(self, text: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The length of the longest match with any benchmark suffix from each place: with one of the two that it stands between."""
