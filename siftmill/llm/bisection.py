@@ -80,7 +80,7 @@ def fit(docs: Sequence[Sequence[bytes]], depth: int, seed: int = 7) -> Tree:
     terms = {t: k for k, t in enumerate(chosen)}
     depth = max(0, min(depth, DEPTH, (len(docs) // 4).bit_length() - 1)) if terms else 0
     tree = Tree(depth, terms, np.zeros((1 << depth, len(terms)), np.float32), np.zeros(1 << depth))
-    known = [np.array([terms[t] for t in own if t in terms], np.int64) for own in docs]
+    known = [np.array([terms[t] for t in own if t in terms], np.int32) for own in docs]
     rng, members = np.random.default_rng(seed), {1: np.arange(len(docs))}
     for node in range(1, 1 << depth):
         own = members.pop(node)

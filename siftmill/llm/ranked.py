@@ -67,7 +67,8 @@ def _sampled(depth: int):
     """The tree, in one row, from the sample's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs = [list(_counts(t)) for batch in small(batches) for t in utf8_list(columns(batch, "text")[0])]
+        one: dict[bytes, bytes] = {}  # each term is held once
+        docs = [[one.setdefault(w, w) for w in _counts(t)] for batch in small(batches) for t in utf8_list(columns(batch, "text")[0])]
         tree = bisection.fit(sorted(filter(None, docs)), depth)
         terms = sorted(tree.terms, key=tree.terms.get)
         yield pa.record_batch(
