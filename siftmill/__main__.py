@@ -12,7 +12,7 @@ from siftmill import fixed, session
 from siftmill.functions import text
 from siftmill.operators import corpus, report, summary
 from siftmill.plans import expert, screen
-from siftmill.sources import readers, responder, writers
+from siftmill.sources import ledger, readers, responder, writers
 
 
 def options() -> argparse.ArgumentParser:
@@ -30,11 +30,14 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("--max-pages", type=int, default=screen.TRIAGE_PAGES)
     p.add_argument("--max-pdf-pages", type=int)
     p.add_argument("--cache", help="folder of results of former runs (extract); default: OUT/cache")
-    p.add_argument("--force", action="store_true", help="work everything out again")
+    p.add_argument("--force", action="store_true", help="work everything out, and ask everything, again")
     p.add_argument("--export", action="store_true", help="also tests as JSON lines and reports as Markdown, a folder for each paper")
     p.add_argument("--endpoint", help="chat endpoint of a model (expert); without it no model is asked")
     p.add_argument("--model", default="", help="the model's name at the endpoint (expert)")
     p.add_argument("--key-file", help="file with the endpoint's key (expert)")
+    p.add_argument("--ledger", help="folder of all answers of former runs (expert); default: OUT/ledger")
+    p.add_argument("--calls", type=int, default=ledger.SLOTS, help="most calls at once (expert)")
+    p.add_argument("--pause", type=float, default=ledger.PAUSE, help="seconds between the calls of one of them (expert)")
     p.add_argument("--out", required=True)
     return p
 
@@ -96,11 +99,16 @@ def reported(spark: SparkSession, a: argparse.Namespace) -> dict:
     ordered = found.withColumn("seq", F.struct(*screen.TEST_ORDER))
     if a.what == "expert":
         key = readers.notes(spark, a.key_file).first()["text"].strip() if a.key_file else ""
-        who = responder.Endpoint(a.endpoint, a.model, key) if a.endpoint else responder.Offline()
+        if a.endpoint:
+            who = ledger.Ledger(spark, a.ledger or f"{a.out}/ledger", responder.Adaptive(responder.Endpoint(a.endpoint, a.model, key)), a.calls, pause=a.pause, again=a.force)
+        else:
+            who = responder.Offline()
         done = expert.run(pages, found, titles, who, hold, refs)
+        if a.endpoint:
+            writers.objects(ledger.log(who.calls()), f"{a.out}/expert/calls")
         for name in ("inventory", "chunks", "digests", "audits"):
             writers.objects(getattr(done, name), f"{a.out}/expert/{name}")
-        writers.objects(done.metrics, f"{a.out}/diagnostic_metrics")
+        writers.objects(done.metrics.drop("facts"), f"{a.out}/diagnostic_metrics")
         made = done.reports
     else:
         made = screen.reports(pages, found, titles, refs)

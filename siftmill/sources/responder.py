@@ -16,7 +16,7 @@ from datetime import datetime, timezone
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.functions import jsons
@@ -43,12 +43,14 @@ class Offline:
 class Endpoint:
     """A responder over HTTP, for servers that take {model, messages} and answer {choices: [{message: {content}}]}."""
 
+    temperature = 0.0
+
     def __init__(self, url: str, model: str, key: str = "", timeout: float = 180.0, most_tokens: int = 3500):
         self.url, self.model, self.key, self.timeout, self.most_tokens = url, model, key, timeout, most_tokens
 
     def answer(self, system: str, prompt: str) -> str:
         messages = [{"role": "system", "content": system}] if system else []
-        body = {"model": self.model, "messages": [*messages, {"role": "user", "content": prompt}], "temperature": 0, "max_tokens": self.most_tokens}
+        body = {"model": self.model, "messages": [*messages, {"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.most_tokens}
         headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.key}"} if self.key else {})}
         request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
         try:
@@ -69,7 +71,32 @@ class Joined:
         self.inner = inner
 
     def answer(self, system: str, prompt: str) -> str:
-        return self.inner.answer("", f"{system}\n\n{prompt}")
+        return self.inner.answer("", f"{system}\n\n{prompt}" if system else prompt)
+
+
+class Adaptive:
+    """Asks with a system message until an answer is refused for it, and from then on in this worker without one."""
+
+    def __init__(self, inner: Responder):
+        self.inner, self.joined = inner, Joined(inner)
+        self.url, self.model, self.most_tokens, self.temperature = (getattr(inner, n, None) for n in ("url", "model", "most_tokens", "temperature"))
+        self.model = self.model or type(inner).__name__
+        self.only_prompts = False
+
+    def answer(self, system: str, prompt: str) -> str:
+        if self.only_prompts or not system:
+            return self.joined.answer(system, prompt)
+        try:
+            return self.inner.answer(system, prompt)
+        except Exception as e:
+            if not passing(e):
+                raise
+            self.only_prompts = True
+            return self.joined.answer(system, prompt)
+
+
+def name_of(responder: Responder) -> str:
+    return getattr(responder, "model", None) or type(responder).__name__
 
 
 def passing(error: BaseException) -> bool:
@@ -103,10 +130,24 @@ def as_it_is(frame: DataFrame, name: str) -> DataFrame:
 CALL = "answer string, error string, attempts int, started string, seconds double, model string, system_chars int, prompt_chars int, answer_chars int, prompt_sha256 string"
 
 
-def ask(packets: DataFrame, responder: Responder, system: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """packets (key columns, prompt) with the columns of CALL: also the log of the calls. No key is ever in it."""
+def paced(pause: float, clock: Callable[[], float] = time.monotonic, wait: Callable[[float], None] = time.sleep) -> Callable[[], None]:
+    """To be called before each call: waits until ``pause`` seconds are over since the last one began."""
+    free = [float("-inf")]
+
+    def turn() -> None:
+        now = clock()
+        if now < free[0]:
+            wait(free[0] - now)
+        free[0] = max(now, free[0]) + pause
+
+    return turn
+
+
+def ask(packets: DataFrame, responder: Responder, system: str, attempts: int = ATTEMPTS, pause: float = 0.0) -> DataFrame:
+    """packets (key columns, prompt) with the columns of CALL: also the log of the calls. No key is ever in it. ``pause``: seconds between calls of a task."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = paced(pause)
         for part in parts:
             rows = []
             for prompt in part["prompt"]:
@@ -116,18 +157,32 @@ def ask(packets: DataFrame, responder: Responder, system: str, attempts: int = A
                     waits.append(seconds)
                     time.sleep(seconds)
 
-                began, started = time.monotonic(), datetime.now(timezone.utc).isoformat(timespec="seconds")
+                turn()
+                began, started = time.monotonic(), datetime.now(timezone.utc).isoformat(timespec="microseconds")
                 try:
                     answer, error = persistent(responder, system, prompt, attempts, wait), None
                 except Exception as e:
                     answer, error = None, f"{type(e).__name__}: {e}"[:500]
-                rows.append((answer, error, len(waits) + 1, started, time.monotonic() - began, getattr(responder, "model", type(responder).__name__), len(system), len(prompt), len(answer or ""), hashlib.sha256(prompt.encode()).hexdigest()))
-            yield part.reset_index(drop=True).join(pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")]))
+                rows.append((answer, error, len(waits) + 1, started, time.monotonic() - began, name_of(responder), len(system), len(prompt), len(answer or ""), hashlib.sha256(prompt.encode()).hexdigest()))
+            yield part.drop(columns=["prompt_sha256"], errors="ignore").reset_index(drop=True).join(pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")]))
 
-    fields = ", ".join(f"`{c}` {kind}" for c, kind in packets.dtypes)
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in packets.dtypes if c != "prompt_sha256")
     return packets.mapInPandas(run, f"{fields}, {CALL}")
 
 
+class Direct:
+    """Asks a responder for every packet, and holds the answers; ``Ledger`` keeps them from one run to the next."""
+
+    def __init__(self, who: Responder, hold: "Hold"):
+        self.who, self.hold = who, hold
+
+    def ask(self, packets: DataFrame, system: str, kind: str) -> DataFrame:
+        return self.hold(ask(packets, self.who, system), kind)
+
+    def objects(self, packets: DataFrame, system: str, kind: str, repairs: int = REPAIRS) -> DataFrame:
+        return objects(packets, self.who, system, repairs, lambda df, name: self.hold(df, f"{kind}_{name}"))
+
+
 def objects(packets: DataFrame, responder: Responder, system: str, repairs: int = REPAIRS, hold: Hold = as_it_is) -> DataFrame:
     """packets with ``object``: the JSON object answered. An answer without one is asked to be repaired, up to so many times.
 
@@ -142,26 +197,7 @@ def objects(packets: DataFrame, responder: Responder, system: str, repairs: int
     return done
 
 
-def packet(*columns: str) -> Column:
-    """The prompt of a row: its columns as one JSON object."""
-    return F.to_json(F.struct(*columns))
-
-
 def page_chunks(pages: DataFrame, size: int = 8, most_chars: int = 3200) -> DataFrame:
     """paper_id, chunk, prompt: consecutive pages of a paper, ``size`` at a time, each with its beginning."""
     cut = pages.select("paper_id", ((F.col("page") - 1) / size).cast("int").alias("chunk"), "page", F.substring("text", 1, most_chars).alias("text"))
     return cut.groupBy("paper_id", "chunk").agg(F.to_json(F.sort_array(F.collect_list(F.struct("page", "text")))).alias("prompt"))
-
-
-def artifact_batches(items: DataFrame, size: int = 4) -> DataFrame:
-    """paper_id, batch, prompt: artifacts of the inventory in their order, ``size`` at a time."""
-    placed = items.withColumn("batch", ((F.col("place") - 1) / size).cast("int"))
-    return placed.groupBy("paper_id", "batch").agg(F.to_json(F.sort_array(F.collect_list(F.struct("place", "kind", "id", "caption", "pages")))).alias("prompt"))
-
-
-def has_headings(report: Column, headings: list[str]) -> Column:
-    """Whether a report has every heading."""
-    out = F.lit(True)
-    for h in headings:
-        out = out & F.coalesce(report, F.lit("")).rlike(r"(?m)^#{1,6}\s*\Q" + h + r"\E\s*$")
-    return out

@@ -70,11 +70,6 @@ def run_record(spark: SparkSession, path: str, **facts: object) -> None:
     spark.createDataFrame([(json.dumps(facts, default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def call_log(calls: DataFrame, path: str) -> None:
-    """Appends calls of a responder."""
-    calls.write.mode("append").json(path)
-
-
 def keyed(papers: DataFrame) -> DataFrame:
     """papers (paper_id, sha256, cache_key) with the columns of CACHE_KEY."""
     return papers.withColumn("sha12", F.substring("sha256", 1, 12)).withColumn("extractor_version", F.lit(fixed.VERSION))

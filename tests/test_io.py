@@ -167,10 +167,6 @@ def test_sidecars_and_logs(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     got = readers.sidecars(spark, str(tmp_path / "*.json"), "extractor_version string")
     assert sorted(str(r["extractor_version"]) for r in got.collect()) == ["None", "v"]
-    calls = spark.createDataFrame([("a", "p", "x")], "paper_id string, prompt string, answer string")
-    for _ in range(2):
-        writers.call_log(calls, str(tmp_path / "log"))
-    assert spark.read.json(str(tmp_path / "log")).count() == 2
     writers.reports(spark.createDataFrame([("a", "# R\ntext")], "paper_id string, report string"), str(tmp_path / "reports"))
     assert spark.read.text(str(tmp_path / "reports"), wholetext=True).first()["value"].startswith("# R\ntext")
 
@@ -179,8 +175,6 @@ def test_packets(spark):
     pages = spark.createDataFrame([("a", i, f"text {i}") for i in range(1, 12)], "paper_id string, page int, text string")
     chunks = responder.page_chunks(pages).orderBy("chunk").collect()
     assert len(chunks) == 2 and json.loads(chunks[0]["prompt"])[0] == {"page": 1, "text": "text 1"}
-    shown = spark.createDataFrame([("## Bottom line\n\ntext",)], "report string").select(responder.has_headings(F.col("report"), ["Bottom line"]).alias("a"), responder.has_headings(F.col("report"), ["Other"]).alias("b")).first()
-    assert shown["a"] and not shown["b"]
 
 
 def reviewer():
@@ -238,7 +232,7 @@ def test_expert_workflow(spark, tmp_path):
     for paper, ids in (("a", ["Table 1", "Table 2", "Table 3"]), ("b", ["Table 1", "Table 2", "Table 3", "Figure 1"])):
         assert reports[paper].startswith(f"# Review: {paper}") and all(f"### {i}:" in reports[paper] for i in ids)  # also the one left out at first
         assert "## Limits" in reports[paper] and "- Smith (2001)" in reports[paper]
-    log = spark.read.parquet(str(tmp_path / "held/heads"))
+    log = spark.read.parquet(str(tmp_path / "held/heads_0"))
     assert {"started", "attempts", "prompt_sha256", "model", "system_chars"} <= set(log.columns) and log.first()["model"] == "made-up"
 
 
