@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftmill import fixed
 from siftmill.functions import jsons, stats, text, tokens
-from siftmill.operators import artifacts, corpus, layout, pages, report, summary, tests
+from siftmill.operators import artifacts, corpus, grid, layout, pages, report, summary, tests
 from siftmill.plans import fixtures as fx
 from siftmill.session import table
 from siftmill.sources import writers
@@ -803,9 +803,13 @@ def _(spark, d):
     return fx.tests(spark, d, False).groupBy("q", stats.small_int_like(F.col("q")).alias("small")).agg(F.count("*").alias("n"))
 
 
-@query("flt9_valid_p", f"SELECT count(*) AS n, count(*) FILTER (WHERE {P_SQL} - 1e-6 BETWEEN -1 AND 1) AS valid FROM stat_tests", "stat_tests")
+# p-values as they are (the oracle's approximation held to its range), missing, no numbers, negative and over 1; the ends belong to the range
+@query("flt9_valid_p", f"""+p AS (SELECT pk % 7 AS kind, CASE pk % 7 WHEN 0 THEN NULL WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN -0.25 WHEN 3 THEN 1.5 WHEN 4 THEN 0.0 WHEN 5 THEN 1.0 ELSE greatest(0.0, least(1.0, {P_SQL})) END AS p FROM stat_tests)
+SELECT kind, count(*) AS n, count(*) FILTER (WHERE p IS NOT NULL AND NOT isnan(p) AND p >= 0 AND p <= 1) AS valid FROM p GROUP BY kind""", "stat_tests")
 def _(spark, d):
-    return fx.tests(spark, d).agg(F.count("*").alias("n"), F.count_if(stats.valid_p(F.col("p_approx_2s"))).alias("valid"))
+    kind = F.col("pk") % 7
+    p = F.when(kind == 1, F.lit(float("nan"))).when(kind == 2, F.lit(-0.25)).when(kind == 3, F.lit(1.5)).when(kind == 4, F.lit(0.0)).when(kind == 5, F.lit(1.0)).when(kind == 6, F.col("p_approx_2s"))
+    return fx.tests(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_if(stats.valid_p(p)).alias("valid"))
 
 
 @query("mth3_cap01", "SELECT o, ln, pk, q, ep, round(greatest(0.0, least(1.0, coef / 3)), 9) AS capped FROM stat_tests", "stat_tests")
@@ -820,6 +824,29 @@ def _(spark, d):
 
 # --- layout -------------------------------------------------------------------------------------------
 
+@query("src3_table_cells", """+said AS (SELECT *, sum(fresh) OVER (PARTITION BY paper_id, page ORDER BY y0) AS line FROM (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY paper_id, page ORDER BY y0) > 3 THEN 1 ELSE 0 END AS fresh FROM table_words WHERE trim(text) <> '')),
+line AS (SELECT *, row_number() OVER (PARTITION BY paper_id, page, table_index ORDER BY line) - 1 AS row_index FROM (SELECT *, sum(fresh) OVER (PARTITION BY paper_id, page ORDER BY line) AS table_index FROM (
+  SELECT *, CASE WHEN top - max(bottom) OVER (PARTITION BY paper_id, page ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 24 THEN 1 ELSE 0 END AS fresh FROM (
+    SELECT paper_id, page, line, min(y0) AS top, max(y1) AS bottom FROM said GROUP BY ALL)))),
+placed AS (SELECT s.*, l.table_index, l.row_index FROM said s JOIN line l ON s.paper_id = l.paper_id AND s.page = l.page AND s.line = l.line),
+side AS (SELECT paper_id, page, table_index, x0, x1, 0 AS kind, x0 AS pos FROM placed UNION ALL SELECT paper_id, page, table_index, x0, x1, 1, x1 FROM placed UNION ALL SELECT paper_id, page, table_index, x0, x1, 2, (x0 + x1) / 2 FROM placed),
+grouped AS (SELECT paper_id, page, table_index, kind, g, count(*) AS n, min(x0) AS lo, max(x1) AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY paper_id, page, table_index, kind ORDER BY pos) AS g FROM (
+  SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY paper_id, page, table_index, kind ORDER BY pos) > 1 THEN 1 ELSE 0 END AS fresh FROM side)) GROUP BY ALL HAVING count(*) >= 2),
+taken AS (SELECT paper_id, page, table_index, list_reduce(list([{'lo': lo, 'hi': hi}] ORDER BY n DESC, lo, hi, kind), lambda a, b: CASE WHEN len(list_filter(a, lambda t: t.lo < b[1].hi AND t.hi > b[1].lo)) > 0 THEN a ELSE list_concat(a, b) END) AS t FROM grouped GROUP BY ALL),
+cut AS (SELECT paper_id, page, table_index, unnest(list_append(list_transform(t, lambda x: x.lo), list_max(list_transform(t, lambda x: x.hi)))) AS c FROM taken),
+edge AS (SELECT paper_id, page, table_index, avg(c) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY paper_id, page, table_index ORDER BY c) AS g FROM (SELECT *, CASE WHEN c - lag(c) OVER (PARTITION BY paper_id, page, table_index ORDER BY c) > 3 THEN 1 ELSE 0 END AS fresh FROM cut)) GROUP BY paper_id, page, table_index, g),
+col AS (SELECT * FROM (SELECT paper_id, page, table_index, row_number() OVER w - 1 AS col_index, e AS lo, lead(e) OVER w AS hi FROM edge WINDOW w AS (PARTITION BY paper_id, page, table_index ORDER BY e)) WHERE hi IS NOT NULL),
+held AS (SELECT p.paper_id, p.page, p.table_index, p.row_index, c.col_index, string_agg(trim(p.text), ' ' ORDER BY p.x0, p.word_no, p.text) AS cell_text FROM placed p JOIN col c ON p.paper_id = c.paper_id AND p.page = c.page AND p.table_index = c.table_index AND (p.x0 + p.x1) / 2 >= c.lo AND (p.x0 + p.x1) / 2 < c.hi GROUP BY ALL)
+SELECT l.paper_id, l.page, CAST(l.table_index AS INT) AS table_index, CAST(l.row_index AS INT) AS row_index, CAST(c.col_index AS INT) AS col_index, coalesce(h.cell_text, '') AS cell_text, c.lo AS x0, l.top AS y0, c.hi AS x1, l.bottom AS y1,
+  min(c.lo) OVER (PARTITION BY l.paper_id, l.page, l.table_index) AS table_x0, max(l.bottom) OVER (PARTITION BY l.paper_id, l.page, l.table_index) AS table_y1
+FROM line l JOIN col c ON l.paper_id = c.paper_id AND l.page = c.page AND l.table_index = c.table_index
+LEFT JOIN held h ON h.paper_id = l.paper_id AND h.page = l.page AND h.table_index = l.table_index AND h.row_index = l.row_index AND h.col_index = c.col_index""", "table_words")
+def _(spark, d):
+    box, whole = F.col("cell_bbox"), F.col("table_bbox")
+    return grid.cells(fx.fixture(spark, d, "table_words")).select("paper_id", "page", "table_index", "row_index", "col_index", "cell_text", *(box[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))), whole[0].alias("table_x0"), whole[3].alias("table_y1"))
+
+
+
 LINES = "lines AS (SELECT paper_id, page, block_no, line_in_block, string_agg(text, ' ' ORDER BY word_no, text) AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM words GROUP BY ALL)"
 
 
@@ -892,11 +919,18 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", layout.model_number(label).alias("number"))
 
 
-@query("snk8_numeric_regions", """+blocks AS (SELECT paper_id, page, block_no, line_in_block, text, x0, y0, x1, y1 FROM lines), dense AS (SELECT * FROM blocks WHERE len(regexp_extract_all(text, '[0-9]')) >= 30 AND (len(regexp_extract_all(text, '[0-9]')) / greatest(1, length(text)) >= 0.08)),
-r AS (SELECT paper_id, page, greatest(0.0, min(x0) - 12) AS x0, greatest(0.0, min(y0) - 12) AS y0, least(600.0, max(x1) + 12) AS x1, least(800.0, max(y1) + 12) AS y1 FROM dense GROUP BY ALL) SELECT * FROM r WHERE (x1 - x0) * (y1 - y0) / 480000.0 < 0.75""".replace("+blocks", f"+{LINES}, blocks"), "words")
+# lines with thirty digits, with few among many letters, with stars, with a word that names a row, and with too few
+@query("snk8_numeric_regions", f"""+{LINES},
+blocks AS (SELECT paper_id, page, x0, y0, x1, y1, CASE block_no WHEN 0 THEN repeat('0123456789', 3) WHEN 1 THEN repeat('0123456789', 3) || repeat('x', 400) WHEN 2 THEN repeat('0123456789', 3) || repeat('x', 400) || '***' WHEN 3 THEN 'Observations' || repeat('12345', 6) || repeat('x', 400) ELSE '0123456789' END AS text FROM lines WHERE paper_id % 4 > 0 OR block_no > 2),
+dense AS (SELECT *, len(regexp_extract_all(text, '[0-9]')) AS n FROM blocks),
+r AS (SELECT paper_id, page, greatest(0.0, min(x0) - 12) AS x0, greatest(0.0, min(y0) - 12) AS y0, least(600.0, max(x1) + 12) AS x1, least(90.0, max(y1) + 12) AS y1 FROM dense WHERE n >= 30 AND (n / length(text) >= 0.08 OR contains(text, '***') OR contains(text, 'Observations')) GROUP BY ALL)
+SELECT * FROM r WHERE (x1 - x0) * (y1 - y0) / 54000.0 < 0.75""", "words")
 def _(spark, d):
-    blocks = layout.lines(fx.fixture(spark, d, "words")).withColumn("page_width", F.lit(600.0)).withColumn("page_height", F.lit(800.0))
-    return layout.numeric_region(blocks)
+    tens = F.lit("0123456789" * 3)
+    filled = F.concat(tens, F.lit("x" * 400))
+    said = F.when(F.col("block_no") == 0, tens).when(F.col("block_no") == 1, filled).when(F.col("block_no") == 2, F.concat(filled, F.lit("***"))).when(F.col("block_no") == 3, F.lit("Observations" + "12345" * 6 + "x" * 400)).otherwise("0123456789")
+    blocks = layout.lines(fx.fixture(spark, d, "words")).filter("paper_id % 4 > 0 OR block_no > 2").withColumn("text", said)
+    return layout.numeric_region(blocks.withColumn("page_width", F.lit(600.0)).withColumn("page_height", F.lit(90.0)))
 
 
 # --- evidence and reports -------------------------------------------------------------------------------
@@ -1004,7 +1038,7 @@ def _(spark, d):
 @query("meta1_paper_meta", """+s AS (SELECT p_partkey AS paper_id, CASE WHEN p_size % 5 = 0 THEN '  ' ELSE p_name || ' ' END AS title, CASE WHEN p_size % 2 = 0 THEN '' ELSE ' ' || p_brand END AS author,
   CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type || '. ' END || CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(1890 + p_partkey % 250 AS STRING) || '. ' END AS said, p_partkey % 4 AS kind, '10.1000/x' || p_partkey AS doi FROM part)
 SELECT paper_id, CASE WHEN trim(title) <> '' THEN trim(title) ELSE CAST(paper_id AS STRING) END AS title, trim(author) AS authors,
-  CAST(nullif(regexp_extract(said, '((?:19|20)[0-9]{2})', 1), '') AS INT) AS year,
+  CAST(nullif(regexp_extract(said || CASE WHEN kind < 2 THEN doi ELSE '' END, '((?:19|20)[0-9]{2})', 1), '') AS INT) AS year,
   nullif(trim(split_part(said || CASE kind WHEN 0 THEN 'doi: ' || doi WHEN 1 THEN 'see ' || doi ELSE '' END, '.', 1)), '') AS venue,
   CASE WHEN kind < 3 THEN 'https://doi.org/' || doi END AS doi_or_url FROM s""", "stat_tests")
 def _(spark, d):

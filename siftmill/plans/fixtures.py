@@ -69,6 +69,17 @@ SELECT paper_id, page, table_index, CAST(2 * pair + 1 AS INT) AS row_index, CAST
                  WHEN 7 THEN '(' || CAST(45 + q AS STRING) || ')'
                  ELSE '' END AS cell_text
 FROM grid
+""",
+    # words of tables: a column for each line number, a line for each order, five lines a table; with gaps, jitter and cells of two words
+    "table_words": """
+SELECT paper_id, page, word_no, text, x0, y0, x0 + w AS x1, y0 + 9.0 AS y1 FROM (
+  SELECT paper_id, page, word_no, text, CAST(40 + 70 * col + shift AS DOUBLE) + 0.5 * (pk % 3) AS x0, CAST(w AS DOUBLE) AS w,
+         CAST(60 + 12 * line + 40 * CAST(floor(line / 5) AS INT) + pk % 3 AS DOUBLE) AS y0 FROM (
+    SELECT l_suppkey AS paper_id, CAST(1 + (l_orderkey % 12) AS INT) AS page, l_orderkey * 10 + l_linenumber AS word_no, l_partkey AS pk, l_linenumber - 1 AS col,
+           CASE WHEN l_partkey % 6 = 0 THEN 10 WHEN l_partkey % 11 = 0 THEN -25 ELSE 0 END AS shift, CASE WHEN l_partkey % 6 = 0 THEN 20 ELSE 30 END AS w,
+           CASE WHEN l_partkey % 5 = 0 THEN '(0.' || lpad(CAST(CAST(l_quantity AS INT) AS STRING), 2, '0') || ')' WHEN l_partkey % 13 = 0 THEN ' ' ELSE '0.' || CAST(l_partkey % 90 + 10 AS STRING) || repeat('*', CAST(l_partkey % 4 AS INT)) END AS text,
+           dense_rank() OVER (PARTITION BY l_suppkey, l_orderkey % 12 ORDER BY l_orderkey) - 1 AS line
+    FROM {lineitem}) a) b
 """,
     # a word box for each row of lineitem
     "words": """
