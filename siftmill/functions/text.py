@@ -36,6 +36,23 @@ def p_values(text: Column) -> Column:
     return F.filter(F.transform(found, lambda v: v.cast("double")), lambda v: v.between(0.0, 1.0))
 
 
+def p_values_across(before: Column, after: Column) -> Column:
+    """The p-values that begin in one text and end in the next: found in both together, but in neither of them."""
+
+    def of(pattern: str) -> Column:
+        found = lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+        in_first = F.size(found(before))
+        return F.slice(found(F.concat(before, after)), in_first + 1, F.greatest(F.lit(0), F.size(found(F.concat(before, after))) - in_first - F.size(found(after))))
+
+    values = F.transform(F.flatten(F.array(*map(of, fixed.P_VALUE_PATTERNS))), lambda v: v.cast("double"))
+    return F.filter(values, lambda v: v.between(0.0, 1.0))
+
+
+def hits_across(before: Column, after: Column, patterns: Iterable[str] | str) -> Column:
+    """How many more hits two texts have together than each by itself."""
+    return hits(F.concat(before, after), patterns) - hits(before, patterns) - hits(after, patterns)
+
+
 def p_sample(values: Column, most: int = 30) -> Column:
     """The least p-values of an array, ascending."""
     return F.slice(F.array_sort(values), 1, most)
@@ -52,9 +69,8 @@ def reference_page(text: Column) -> Column:
     return let(strip(F.coalesce(text, F.lit(""))), looks)
 
 
-def paren_mode_from_text(text: Column) -> Column:
+def paren_mode_of(t: Column, se: Column) -> Column:
     """t or se, whichever is said more often to be in parentheses; null if neither."""
-    t, se = hits(text, fixed.PAREN_T_PATTERNS), hits(text, fixed.PAREN_SE_PATTERNS)
     return F.when(t > se, "t").when(se > t, "se")
 
 

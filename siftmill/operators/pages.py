@@ -65,7 +65,24 @@ def captions(pages: DataFrame, kind: str) -> DataFrame:
     return own.withColumn("caption", F.coalesce("own", carried)).filter("caption IS NOT NULL").select("paper_id", "page", F.lit(kind).alias("kind"), "caption")
 
 
-def full_text(pages: DataFrame) -> DataFrame:
-    """paper_id, full_text: the pages' texts in order, with a blank line between them. One paper is one value."""
-    ordered = F.sort_array(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))))
-    return pages.groupBy("paper_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("full_text"))
+#: How many characters on either side of a page's end are looked at together.
+BORDER = 400
+#: What stands between two pages of a paper.
+BETWEEN = "\n\n"
+
+
+def borders(pages: DataFrame, width: int = BORDER) -> DataFrame:
+    """paper_id, before, after: the end of each page but a paper's last, and what follows it, with BETWEEN before each page.
+
+    Only these ends are moved, no whole text. A page that is shorter than ``width`` is followed by the
+    next, up to three of them, so that what runs over a short page is seen.
+    """
+    t = F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("paper_id").orderBy("page", "head")
+    cut = pages.select("paper_id", "page", F.substring(t, 1, width).alias("head"), F.substring(t, -width, width).alias("before"))
+    after = F.lit("")
+    for k in (3, 2, 1):
+        head = F.col(f"_head{k}")
+        after = F.when(head.isNull(), F.lit("")).otherwise(F.concat(F.lit(BETWEEN), head, F.when(F.length(head) < width, after).otherwise(F.lit(""))))
+    led = cut.select("paper_id", "before", *(F.lead("head", k).over(order).alias(f"_head{k}") for k in (1, 2, 3)))
+    return led.select("paper_id", "before", F.substring(after, 1, width).alias("after")).filter("after <> ''")

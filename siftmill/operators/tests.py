@@ -7,11 +7,14 @@ values.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill import fixed
 from siftmill.functions import stats, text, tokens
+from siftmill.operators import pages as page_ops
 
 PAIR_KEY = ("paper_id", "page", "table_index", "row_index", "col_index")
 
@@ -65,9 +68,18 @@ def mode_by_values(values: DataFrame) -> DataFrame:
     return middle.select("paper_id", "median", "n", mode.alias("mode_values"))
 
 
-def paren_modes(raw: DataFrame, papers: DataFrame) -> DataFrame:
-    """paper_id, paren_mode, paren_mode_source. papers: paper_id, full_text."""
-    said = papers.select("paper_id", text.paren_mode_from_text(F.col("full_text")).alias("mode_text"))
+def text_modes(pages: DataFrame) -> DataFrame:
+    """paper_id, mode_text: what a paper's pages say that parentheses hold. pages: paper_id, page, text."""
+    patterns = {"t": fixed.PAREN_T_PATTERNS, "se": fixed.PAREN_SE_PATTERNS}
+    own = pages.select("paper_id", *(text.hits(F.col("text"), p).alias(n) for n, p in patterns.items()))
+    across = page_ops.borders(pages).select("paper_id", *(text.hits_across(F.col("before"), F.col("after"), p).alias(n) for n, p in patterns.items()))
+    sums = own.unionByName(across).groupBy("paper_id").agg(F.sum("t").alias("t"), F.sum("se").alias("se"))
+    return sums.select("paper_id", text.paren_mode_of(F.col("t"), F.col("se")).alias("mode_text"))
+
+
+def paren_modes(raw: DataFrame, pages: DataFrame) -> DataFrame:
+    """paper_id, paren_mode, paren_mode_source. pages: paper_id, page, text."""
+    said = text_modes(pages)
     sized = mode_by_values(raw.filter(~is_label_pair()).select("paper_id", "paren"))
     both = said.join(sized, "paper_id", "left")
     source = F.when(F.col("mode_text").isNotNull(), "text").when(F.col("mode_values").isNotNull(), "values").otherwise("default")
@@ -158,25 +170,35 @@ def with_calipers(counts: DataFrame) -> DataFrame:
     return out.withColumn("curve_z", stats.caliper_z(low, high)).withColumn("curve_p", stats.binomial_p(low, low + high))
 
 
-def text_features(papers: DataFrame) -> DataFrame:
-    """Counts over each paper's full text. papers: paper_id, full_text."""
-    full = F.col("full_text")
-    values = text.p_values(full)
-    out = papers.select(
-        "paper_id",
-        F.length(full).cast("long").alias("text_chars"),
-        values.alias("p_values"),
-        text.stars(full).alias("star_count"),
-        text.hits(full, fixed.TABLE).alias("table_mentions"),
-        text.hits(full, fixed.ROBUST).alias("robust_terms"),
-        text.hits(full, fixed.MULTIPLE_TESTING).alias("multiple_testing_terms"),
-        text.hits(full, fixed.SPECIFICATION).alias("specification_terms"),
-    )
+TERMS = {"star_count": r"\*", "table_mentions": fixed.TABLE, "robust_terms": fixed.ROBUST, "multiple_testing_terms": fixed.MULTIPLE_TESTING, "specification_terms": fixed.SPECIFICATION}
+SAMPLE = 30
+
+
+def text_features(pages: DataFrame) -> DataFrame:
+    """Counts over the texts of each paper, as if its pages were one. pages: paper_id, page, text.
+
+    Every page is counted by itself, and what runs over the end of a page by the ends of both; the
+    counts are added before the shuffle, so no paper's text is ever one value. ``p_values`` are the
+    SAMPLE least.
+    """
+
+    def counted(values: Column, chars: Column, of: Callable[[str | tuple[str, ...]], Column]) -> list[Column]:
+        bins = {name: stats.array_side_counts(values, *fixed.BINS[name]) for name in ("p_0_05", "p_0_10")}
+        sides = [bins[name][side].alias(f"{name}_{side}") for name in bins for side in ("left", "right")]
+        return [chars.cast("long").alias("text_chars"), F.size(values).alias("p_values_found"), text.p_sample(values, SAMPLE).alias("p_values"), *sides, *(of(p).alias(n) for n, p in TERMS.items())]
+
+    t = F.col("text")
+    own = pages.select("paper_id", *counted(text.p_values(t), F.length(F.coalesce(t, F.lit(""))), lambda p: text.hits(t, p)))
+    before, after = F.col("before"), F.col("after")
+    across = page_ops.borders(pages).select("paper_id", *counted(text.p_values_across(before, after), F.lit(len(page_ops.BETWEEN)), lambda p: text.hits_across(before, after, p)))
+    sums = [F.sum(c).alias(c) for c in own.columns if c not in ("paper_id", "p_values")]
+    out = own.unionByName(across).groupBy("paper_id").agg(*sums, text.p_sample(F.flatten(F.collect_list("p_values")), SAMPLE).alias("p_values"))
     for name in ("p_0_05", "p_0_10"):
-        counts = stats.array_side_counts(F.col("p_values"), *fixed.BINS[name])
-        out = out.withColumn(f"text_{name}", counts).withColumn(f"text_{name}_z", stats.caliper_z(F.col(f"text_{name}.left"), F.col(f"text_{name}.right")))
+        left, right = F.col(f"{name}_left"), F.col(f"{name}_right")
+        out = out.withColumn(f"text_{name}", F.struct(left.alias("left"), right.alias("right"), (left + right).alias("total"))).drop(f"{name}_left", f"{name}_right")
+        out = out.withColumn(f"text_{name}_z", stats.caliper_z(F.col(f"text_{name}.left"), F.col(f"text_{name}.right")))
         out = out.withColumn(f"text_{name}_p", stats.binomial_p(F.col(f"text_{name}.left"), F.col(f"text_{name}.total")))
-    return out.withColumn("p_values_found", F.size("p_values")).withColumn("has_correction", F.col("multiple_testing_terms") > 0)
+    return out.withColumn("has_correction", F.col("multiple_testing_terms") > 0)
 
 
 def risk_score(features: DataFrame) -> DataFrame:
@@ -223,8 +245,8 @@ def test_features(tests: DataFrame) -> DataFrame:
 REASONS = ("column_label_like", "citation_like_text", "paren_looks_like_year", "coef_looks_like_year", "abs_t_gt_30(paren_t)", "missing_se", "se_gt_50", "abs_t_gt_80(coef_over_se)", "invalid_p")
 
 
-def paper_features(papers: DataFrame, reconstructed: DataFrame, modes: DataFrame) -> DataFrame:
-    """The feature row of every paper, with its score. papers: paper_id, full_text (pages, sha256, … stay).
+def paper_features(papers: DataFrame, pages: DataFrame, reconstructed: DataFrame, modes: DataFrame) -> DataFrame:
+    """The feature row of every paper, with its score. papers: paper_id (sha256, … stay); pages: paper_id, page, text.
 
     One pass over the reconstructed pairs gives all counts.
     """
@@ -234,7 +256,7 @@ def paper_features(papers: DataFrame, reconstructed: DataFrame, modes: DataFrame
     counted = with_calipers(_by_paper(reconstructed.withColumn("ok", ok), [*counts, *dropped]))
     every = F.map_from_arrays(F.array(*map(F.lit, REASONS)), F.array(*(f"reason_{k}" for k in range(len(REASONS)))))
     counted = counted.withColumn("filter_counts", F.map_filter(every, lambda _, n: n > 0)).drop(*(f"reason_{k}" for k in range(len(REASONS))))
-    out = papers.drop("full_text").join(text_features(papers), "paper_id").join(modes, "paper_id", "left").join(counted, "paper_id", "left")
+    out = papers.join(text_features(pages), "paper_id").join(modes, "paper_id", "left").join(counted, "paper_id", "left")
     numbers = [c for c in counted.columns if c.endswith(("_left", "_right", "_z")) or c in ("tests", "tables", "pairs_raw", "tables_raw", "curve_low", "curve_high", "significant_0_05", "significant_0_10")]
     out = out.fillna(0, subset=numbers).withColumn("keep_rate", F.try_divide("tests", "pairs_raw"))
     return risk_score(out)

@@ -187,10 +187,6 @@ terms AS (SELECT paper_id, {", ".join(f"CAST(sum({_hits(p)}) AS BIGINT) AS {n}"
   CAST(sum(length(text) - length(replace(text, '*', ''))) AS BIGINT) AS star_count FROM page_texts GROUP BY 1)"""
 
 
-def _papers(spark: SparkSession, d: str) -> DataFrame:
-    return pages.full_text(fx.fixture(spark, d, "page_texts"))
-
-
 @query("cmp6_risk_score", f"+{SIDES},{PER_PAPER},{TERMS_SQL}\nSELECT c.paper_id, tests, CAST(round_even(greatest(0.0, least(100.0, {_score_sql()} + 12 * least(1.0, coalesce(robust_terms, 0) / 10.0) + 10 * least(1.0, coalesce(specification_terms, 0) / 8.0) + 8 * least(1.0, coalesce(multiple_testing_terms, 0) / 4.0) - CASE WHEN coalesce(multiple_testing_terms, 0) > 0 THEN 12 ELSE 0 END)), 0) AS INT) AS risk_score FROM counts c LEFT JOIN terms t ON c.paper_id = t.paper_id", "stat_tests", "page_texts")
 def _(spark, d):
     terms = fx.fixture(spark, d, "page_texts").groupBy("paper_id").agg(*(F.sum(text.hits(F.col("text"), p)).alias(n) for n, p in (("robust_terms", fixed.ROBUST), ("specification_terms", fixed.SPECIFICATION), ("multiple_testing_terms", fixed.MULTIPLE_TESTING))))
@@ -334,12 +330,12 @@ T_SQL, SE_SQL = (f"CAST(sum({_hits(p)}) AS BIGINT)" for p in (fixed.PAREN_T_PATT
 
 @query("agg16_mode_by_text", f"SELECT paper_id, CASE WHEN {T_SQL} > {SE_SQL} THEN 't' WHEN {SE_SQL} > {T_SQL} THEN 'se' END AS mode_text FROM page_texts GROUP BY 1", "page_texts")
 def _(spark, d):
-    return _papers(spark, d).select("paper_id", text.paren_mode_from_text(F.col("full_text")).alias("mode_text"))
+    return tests.text_modes(fx.fixture(spark, d, "page_texts"))
 
 
 @query("agg18_paren_modes", f"+{TRUE_PAIRS},{UPPER_MEDIAN},\nsaid AS (SELECT paper_id, CASE WHEN {T_SQL} > {SE_SQL} THEN 't' WHEN {SE_SQL} > {T_SQL} THEN 'se' END AS mode_text FROM page_texts GROUP BY 1)\nSELECT s.paper_id, coalesce(mode_text, {MODE}, 'se') AS paren_mode, CASE WHEN mode_text IS NOT NULL THEN 'text' WHEN {MODE} IS NOT NULL THEN 'values' ELSE 'default' END AS paren_mode_source FROM said s LEFT JOIN mids m ON s.paper_id = m.paper_id", "grid", "page_texts")
 def _(spark, d):
-    return tests.paren_modes(tests.pairs(fx.cells(spark, d)), _papers(spark, d))
+    return tests.paren_modes(tests.pairs(fx.cells(spark, d)), fx.fixture(spark, d, "page_texts"))
 
 
 @query("win6_first_tests", "SELECT paper_id, o, ln, pk, q, ep, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY o, ln, pk, sk, q, ep, sd) AS rank FROM stat_tests) WHERE rank <= 50", "stat_tests")
@@ -410,7 +406,7 @@ QUERIES["win4_page_ranks"], ORACLES["win4_page_ranks"] = QUERIES["top1_triage_pa
 
 @query("agg8_term_counts", f"+{TERMS_SQL}\nSELECT * FROM terms", "page_texts")
 def _(spark, d):
-    made = tests.text_features(_papers(spark, d))
+    made = tests.text_features(fx.fixture(spark, d, "page_texts"))
     return made.select("paper_id", *(F.col(c).cast("long").alias(c) for c in ("robust_terms", "specification_terms", "multiple_testing_terms", "table_mentions", "star_count")))
 
 
@@ -424,7 +420,7 @@ def _(spark, d):
 
 @query("agg2_bin_counts", f"SELECT paper_id, CAST(count(*) FILTER (WHERE p >= 0.045 AND p <= 0.05) AS BIGINT) AS p05_left, CAST(count(*) FILTER (WHERE p > 0.05 AND p <= 0.055) AS BIGINT) AS p05_right, CAST(count(*) FILTER (WHERE p >= 0.095 AND p <= 0.10) AS BIGINT) AS p10_left, CAST(count(*) FILTER (WHERE p > 0.10 AND p <= 0.105) AS BIGINT) AS p10_right FROM ({P_VALUES}) GROUP BY 1", "page_texts")
 def _(spark, d):
-    made = tests.text_features(_papers(spark, d)).filter("p_values_found > 0")
+    made = tests.text_features(fx.fixture(spark, d, "page_texts")).filter("p_values_found > 0")
     return made.select("paper_id", F.col("text_p_0_05.left").alias("p05_left"), F.col("text_p_0_05.right").alias("p05_right"), F.col("text_p_0_10.left").alias("p10_left"), F.col("text_p_0_10.right").alias("p10_right"))
 
 
@@ -444,16 +440,16 @@ filled AS (SELECT m.paper_id, paren_mode, paren_mode_source, coalesce(pairs_raw,
   FROM modes m JOIN terms USING (paper_id) LEFT JOIN raws USING (paper_id) LEFT JOIN counts USING (paper_id) LEFT JOIN written USING (paper_id))
 SELECT *, round(CASE WHEN pairs_raw > 0 THEN tests / pairs_raw END, 9) AS keep_rate, CAST(round_even(greatest(0.0, least(100.0, {_score_sql()} + 12 * least(1.0, robust_terms / 10.0) + 10 * least(1.0, specification_terms / 8.0) + 8 * least(1.0, multiple_testing_terms / 4.0) - CASE WHEN multiple_testing_terms > 0 THEN 12 ELSE 0 END)), 0) AS INT) AS risk_score FROM filled""".replace("{P_VALUES}", P_VALUES), "grid", "page_texts")
 def _(spark, d):
-    papers, raw = _papers(spark, d), tests.pairs(fx.cells(spark, d))
-    modes = tests.paren_modes(raw, papers)
-    made = tests.paper_features(papers, tests.reconstruct(raw, modes), modes)
+    texts, raw = fx.fixture(spark, d, "page_texts"), tests.pairs(fx.cells(spark, d))
+    modes = tests.paren_modes(raw, texts)
+    made = tests.paper_features(texts.select("paper_id").distinct(), texts, tests.reconstruct(raw, modes), modes)
     whole = ("pairs_raw", "tables_raw", *COUNTED, *TERMS, "p_values_found")
     return made.select("paper_id", "paren_mode", "paren_mode_source", *(F.col(c).cast("long").alias(c) for c in whole), _r("keep_rate", 9).alias("keep_rate"), "risk_score")
 
 
 @query("top9_p_samples", f"SELECT paper_id, array_to_string(list_transform(list_sort(list(p))[1:30], lambda v: CAST(CAST(round(v * 1000) AS INT) AS STRING)), ' ') AS sample FROM ({P_VALUES}) GROUP BY 1", "page_texts")
 def _(spark, d):
-    made = tests.text_features(_papers(spark, d)).filter("p_values_found > 0")
+    made = tests.text_features(fx.fixture(spark, d, "page_texts")).filter("p_values_found > 0")
     return made.select("paper_id", F.concat_ws(" ", F.transform(text.p_sample(F.col("p_values")), lambda v: F.round(v * 1000).cast("int").cast("string"))).alias("sample"))
 
 

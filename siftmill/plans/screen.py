@@ -43,16 +43,15 @@ def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None,
     scored = page_ops.triage_scores(pages)
     chosen = page_ops.triage_pages(scored, max(1, max_pages))
     raw = hold(tests.pairs(cells.join(chosen.select("paper_id", "page"), ["paper_id", "page"], "left_semi")), "pairs")
-    full = page_ops.full_text(pages)
-    modes = tests.paren_modes(raw, full)
+    modes = tests.paren_modes(raw, pages)
     made = hold(tests.reconstruct(raw, modes), "reconstructed")
     key = text.cache_key(F.lit(max_pages), F.lit(max_pdf_pages).cast("int"))
-    base = full.join(counts, "paper_id").withColumn("extractor_version", F.lit(fixed.VERSION)).withColumn("cache_key", key)
+    base = (counts if skipped is None else counts.join(small, "paper_id", "left_semi")).withColumn("extractor_version", F.lit(fixed.VERSION)).withColumn("cache_key", key)
     base = base.join(scored.groupBy("paper_id").agg(F.count_if("is_reference").alias("reference_pages")), "paper_id")
     base = base.join(chosen.groupBy("paper_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "page"))), lambda x: x["page"]).alias("candidate_pages")), "paper_id")
     if papers is not None:
         base = base.join(papers, "paper_id", "left")
-    features = tests.paper_features(base, made, modes).withColumn("generated_at", text.now())
+    features = tests.paper_features(base, pages, made, modes).withColumn("generated_at", text.now())
     meta = features.select("paper_id", "extractor_version", "cache_key", "candidate_pages", "paren_mode", "paren_mode_source", "pairs_raw", F.col("tests").alias("pairs_kept"), "filter_counts", "generated_at")
     meta = meta.withColumn("max_pages_per_paper", F.lit(max_pages)).withColumn("max_pdf_pages", F.lit(max_pdf_pages).cast("int"))
     meta = meta.join(tests.tables_of(made), "paper_id", "left").join(tests.dropped_examples(made), "paper_id", "left")
