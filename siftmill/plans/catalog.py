@@ -209,7 +209,9 @@ pairs AS (SELECT paper_id, page, table_index, CAST(2 * pair AS INT) AS row_index
   CASE kind WHEN 0 THEN q / 100.0 WHEN 1 THEN q / 100.0 WHEN 2 THEN c + 1 WHEN 3 THEN q / 100.0 WHEN 6 THEN -q / 100.0 ELSE 45 + q END AS paren,
   CASE WHEN kind = 0 THEN 1 + c % 3 ELSE 0 END AS stars, CASE WHEN kind IN (1, 2) THEN 'same_cell' ELSE 'next_row_same_col' END AS paren_source
   FROM grid WHERE kind NOT IN (4, 5))"""
-KEPT = "made AS (SELECT *, coef / abs(paren) AS t, CASE WHEN kind = 2 THEN 'column_label_like' END AS r1, CASE WHEN kind = 3 THEN 'coef_looks_like_year' END AS r2, CASE WHEN abs(paren) > 50 THEN 'se_gt_50' END AS r3, CASE WHEN abs(coef / paren) > 80 THEN 'abs_t_gt_80(coef_over_se)' END AS r4 FROM pairs)"
+KEPT = """made AS (SELECT *, CASE WHEN by_t THEN paren ELSE coef / abs(paren) END AS t, CASE WHEN kind = 2 THEN 'column_label_like' END AS r1, CASE WHEN kind = 3 THEN 'coef_looks_like_year' END AS r2,
+  CASE WHEN NOT by_t AND abs(paren) > 50 THEN 'se_gt_50' END AS r3, CASE WHEN NOT by_t AND abs(coef / paren) > 80 THEN 'abs_t_gt_80(coef_over_se)' END AS r4, CASE WHEN by_t AND abs(paren) > 30 THEN 'abs_t_gt_30(paren_t)' END AS r5
+  FROM (SELECT p.*, coalesce(mode_text, mode_values, 'se') = 't' AS by_t FROM pairs p LEFT JOIN said USING (paper_id) LEFT JOIN sized USING (paper_id)))"""
 
 
 @query("str5_first_coefficients", f"+{TRUE_PAIRS}\nSELECT paper_id, page, table_index, row_index, round(coef, 6) AS coef, CAST(stars AS INT) AS stars FROM pairs", "grid")
@@ -292,27 +294,6 @@ def _(spark, d):
     return tests.pairs(fx.cells(spark, d)).select("paper_id", "page", "table_index", "row_index", _r("coef").alias("coef"), _r("paren").alias("paren"), "stars", "paren_source")
 
 
-def _reconstructed(spark: SparkSession, d: str) -> DataFrame:
-    raw = tests.pairs(fx.cells(spark, d))
-    modes = raw.select("paper_id").distinct().withColumn("paren_mode", F.lit("se"))
-    return tests.reconstruct(raw, modes)
-
-
-@query("cmp4_tests", f"+{TRUE_PAIRS},{KEPT}\nSELECT paper_id, page, table_index, row_index, round(t, 6) AS t, round(abs(paren), 6) AS se, 'coef_over_se' AS t_mode FROM made WHERE r1 IS NULL AND r2 IS NULL AND r3 IS NULL AND r4 IS NULL", "grid")
-def _(spark, d):
-    return tests.kept(_reconstructed(spark, d)).select("paper_id", "page", "table_index", "row_index", _r("t").alias("t"), _r("se").alias("se"), "t_mode")
-
-
-@query("agg15_drop_reasons", f"+{TRUE_PAIRS},{KEPT}\nSELECT paper_id, reason, count(*) AS n FROM (SELECT paper_id, unnest([r1, r2, r3, r4]) AS reason FROM made) WHERE reason IS NOT NULL GROUP BY ALL", "grid")
-def _(spark, d):
-    return tests.reason_counts(_reconstructed(spark, d))
-
-
-@query("agg19_keep_rate", f"+{TRUE_PAIRS},{KEPT}\nSELECT paper_id, round(count(*) FILTER (WHERE r1 IS NULL AND r2 IS NULL AND r3 IS NULL AND r4 IS NULL) / count(*), 9) AS keep_rate FROM made GROUP BY 1", "grid")
-def _(spark, d):
-    return _reconstructed(spark, d).groupBy("paper_id").agg(_r(F.try_divide(F.count_if(F.size("reasons") == 0), F.count("*")), 9).alias("keep_rate"))
-
-
 UPPER_MEDIAN = """
 sizes AS (SELECT paper_id, abs(paren) AS v FROM pairs WHERE kind <> 2 AND paren <> 0 AND abs(paren) <= 50 AND NOT (round_even(abs(paren), 0) BETWEEN 1800 AND 2100)),
 mids AS (SELECT paper_id, count(*) AS n, list_sort(list(v))[CAST(count(*) // 2 + 1 AS BIGINT)] AS median FROM sizes GROUP BY 1)"""
@@ -333,6 +314,33 @@ def _(spark, d):
     return tests.text_modes(fx.fixture(spark, d, "page_texts"))
 
 
+SAID = f"said AS (SELECT paper_id, CASE WHEN {T_SQL} > {SE_SQL} THEN 't' WHEN {SE_SQL} > {T_SQL} THEN 'se' END AS mode_text FROM page_texts GROUP BY 1)"
+JUDGED = f"{TRUE_PAIRS},{UPPER_MEDIAN},\n{SAID},\nsized AS (SELECT paper_id, {MODE} AS mode_values FROM mids),\n{KEPT}"
+IS_TEST = " AND ".join(f"r{k} IS NULL" for k in range(1, 6))
+
+
+def _reconstructed(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of all papers with cells, read as their own pages and numbers say; papers without pages have none to say it."""
+    raw = tests.pairs(fx.cells(spark, d))
+    silent = fx.fixture(spark, d, "grid").select("paper_id").distinct().select("paper_id", F.lit(0).alias("page"), F.lit(None).cast("string").alias("text"))
+    return tests.reconstruct(raw, tests.paren_modes(raw, fx.fixture(spark, d, "page_texts").select("paper_id", "page", "text").unionByName(silent)))
+
+
+@query("cmp4_tests", f"+{JUDGED}\nSELECT paper_id, page, table_index, row_index, round(t, 6) AS t, CASE WHEN NOT by_t THEN round(abs(paren), 6) END AS se, CASE WHEN by_t THEN 'paren_t' ELSE 'coef_over_se' END AS t_mode FROM made WHERE {IS_TEST}", "grid", "page_texts")
+def _(spark, d):
+    return tests.kept(_reconstructed(spark, d)).select("paper_id", "page", "table_index", "row_index", _r("t").alias("t"), _r("se").alias("se"), "t_mode")
+
+
+@query("agg15_drop_reasons", f"+{JUDGED}\nSELECT paper_id, reason, count(*) AS n FROM (SELECT paper_id, unnest([r1, r2, r3, r4, r5]) AS reason FROM made) WHERE reason IS NOT NULL GROUP BY ALL", "grid", "page_texts")
+def _(spark, d):
+    return tests.reason_counts(_reconstructed(spark, d))
+
+
+@query("agg19_keep_rate", f"+{JUDGED}\nSELECT paper_id, round(count(*) FILTER (WHERE {IS_TEST}) / count(*), 9) AS keep_rate FROM made GROUP BY 1", "grid", "page_texts")
+def _(spark, d):
+    return _reconstructed(spark, d).groupBy("paper_id").agg(_r(F.try_divide(F.count_if(F.size("reasons") == 0), F.count("*")), 9).alias("keep_rate"))
+
+
 @query("agg18_paren_modes", f"+{TRUE_PAIRS},{UPPER_MEDIAN},\nsaid AS (SELECT paper_id, CASE WHEN {T_SQL} > {SE_SQL} THEN 't' WHEN {SE_SQL} > {T_SQL} THEN 'se' END AS mode_text FROM page_texts GROUP BY 1)\nSELECT s.paper_id, coalesce(mode_text, {MODE}, 'se') AS paren_mode, CASE WHEN mode_text IS NOT NULL THEN 'text' WHEN {MODE} IS NOT NULL THEN 'values' ELSE 'default' END AS paren_mode_source FROM said s LEFT JOIN mids m ON s.paper_id = m.paper_id", "grid", "page_texts")
 def _(spark, d):
     return tests.paren_modes(tests.pairs(fx.cells(spark, d)), fx.fixture(spark, d, "page_texts"))
