@@ -200,6 +200,24 @@ def _around(text: Column, pattern: Column, around: int, cut: int) -> Column:
     return F.aggregate(pieces, start, one, lambda done: done["out"])
 
 
+def named(text: Column, around: int, cut: int) -> Column:
+    """Array of (name, k, snippet): every name of a table or figure in a text, by one pattern, in lower case, with what stands around it."""
+
+    def of(t: Column) -> Column:
+        names, between = F.regexp_extract_all(t, F.lit(fixed.NAMED), F.lit(1)), F.split(t, fixed.NAMED, -1)
+        # the pattern has no width: the parts between are the whole text, and none stands before a name at its very beginning
+        sizes = F.concat(F.when(F.size(between) == F.size(names), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.transform(between, F.length))
+
+        def one(name: Column, k: Column) -> Column:
+            at = F.aggregate(F.slice(sizes, F.lit(1), k + 1), F.lit(0), lambda a, n: a + n)
+            first = F.greatest(F.lit(0), at - around)
+            return F.struct(F.lower(name).alias("name"), k.alias("k"), clean_snippet(F.substring(t, first + 1, at + F.length(name) + around - first), cut).alias("snippet"))
+
+        return F.when(F.size(names) > 0, F.transform(names, one))
+
+    return let(F.coalesce(text, F.lit("")), of)
+
+
 def snippets(text: Column, patterns: "Iterable[str] | Iterable[Column]", most: int = 6, around: int = 80, cut: int = 220) -> Column:
     """Hits of the patterns with ``around`` characters on either side, pattern after pattern, each text once (whatever its case)."""
 

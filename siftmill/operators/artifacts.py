@@ -21,16 +21,31 @@ def inventory(captions: DataFrame, cap: int | None = None) -> DataFrame:
     return placed.filter(F.col("place") <= cap) if cap is not None else placed
 
 
+AROUND, CUT = 140, 220
+
+
+def name_index(pages: DataFrame) -> DataFrame:
+    """paper_id, page, name (lower case), k, snippet: every place where a page names a numbered table or figure, from one reading of it."""
+    return pages.select("paper_id", "page", F.explode(text.named(F.col("text"), AROUND, CUT)).alias("m")).select("paper_id", "page", "m.*")
+
+
 def mentions(items: DataFrame, pages: DataFrame, most: int = 8, of_page: int = 2) -> DataFrame:
     """paper_id, kind, id, page, snippet, rank: where a paper's pages name an artifact.
 
-    Pages meet the artifacts of their own paper by an equi-join; the pattern is tested after it. Each
-    hit has its own surroundings, also where they overlap.
+    Numbered artifacts meet the index of names by an equi-join on paper and name, so a page is read
+    once and by one pattern, however many artifacts its paper has. The few whose caption has no number
+    are looked for by their own words, on the pages of their papers only. Each hit has its own
+    surroundings, also where they overlap.
     """
-    both = pages.select("paper_id", "page", "text").join(items.select("paper_id", "kind", "id"), "paper_id")
+    numbered = F.col("id").rlike(r"(?iU)^(table|figure) [a-z]{0,3}\d+[a-z]?$")
+    own = items.select("paper_id", "kind", "id")
+    found = own.filter(numbered).withColumn("name", F.lower("id")).join(name_index(pages), ["paper_id", "name"]).filter("snippet <> ''")
+    first = found.groupBy("paper_id", "kind", "id", "page", F.lower("snippet").alias("same")).agg(F.min("k").alias("k"), F.min_by("snippet", "k").alias("snippet"))
+    upto = Window.partitionBy("paper_id", "kind", "id", "page").orderBy("k")
+    rows = first.withColumn("k", F.row_number().over(upto) - 1).filter(F.col("k") < of_page).select("paper_id", "kind", "id", "page", "k", "snippet")
     name = F.concat(F.lit(r"(?iU)\b\Q"), F.col("id"), F.lit(r"\E\b"))
-    found = both.filter(F.regexp_like(F.coalesce("text", F.lit("")), name))
-    rows = found.select("paper_id", "kind", "id", "page", F.posexplode(text.snippets(F.col("text"), [name], of_page, 140)).alias("k", "snippet"))
+    both = pages.select("paper_id", "page", "text").join(own.filter(~numbered), "paper_id").filter(F.regexp_like(F.coalesce("text", F.lit("")), name))
+    rows = rows.unionByName(both.select("paper_id", "kind", "id", "page", F.posexplode(text.snippets(F.col("text"), [name], of_page, AROUND, CUT)).alias("k", "snippet")))
     order = Window.partitionBy("paper_id", "kind", "id").orderBy("page", "k")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("k")
 
