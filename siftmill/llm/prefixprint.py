@@ -41,7 +41,7 @@ MODULI = (2147483647, 2147483629)  # primes below 2^31
 BASES = (911382323, 972663749)
 SPAN = 32
 HEAD = 32
-BYTES_PER_RANGE = 1 << 25
+BYTES_PER_RANGE = 1 << 30
 BLOCK = 1 << 20
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 EDGES = SCHEMA + ", range long, is_first boolean, text string"
