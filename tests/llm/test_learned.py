@@ -345,7 +345,7 @@ def test_pipeline(spark, tmp_path):
     base = docs(spark, [(i, t) for i, t, _, _ in rows] + [(500 + i, t) for i, t, _, _ in rows[:50]])
     base.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, q, t) for i, _, t, q in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "toxicity", "simhash near-dedup", "best-fit packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "toxicity", "near-dedup by word shingles", "best-fit packing"]
     frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
     counts = [frame.count()]
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
