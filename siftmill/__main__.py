@@ -20,7 +20,7 @@ def options() -> argparse.ArgumentParser:
     p.add_argument("what", choices=("extract", "report", "expert"))
     p.add_argument("--pages", required=True, help="folder of page texts")
     p.add_argument("--cells", help="folder of table cells (extract)")
-    p.add_argument("--papers", help="folder of papers with paper_id and sha256 (extract); without it the page texts are hashed")
+    p.add_argument("--papers", help="folder of papers with paper_id and sha256; without it the page texts are hashed")
     p.add_argument("--tests", help="folder of tests (report, expert)")
     p.add_argument("--features", help="CSV folder of features, for titles and scores (report, expert)")
     p.add_argument("--references", help="Markdown note with a list of APA references (report, expert)")
@@ -58,31 +58,27 @@ def extract(spark: SparkSession, a: argparse.Namespace) -> dict:
     hold = writers.holder(f"{a.out}/work")
     own = spark.read.parquet(a.papers).select("paper_id", "sha256") if a.papers else corpus.content_hash(pages)
     key = text.cache_key(F.lit(a.max_pages), F.lit(a.max_pdf_pages).cast("int"))
-    papers = hold(pages.select("paper_id").distinct().join(own, "paper_id", "left").withColumn("cache_key", key), "papers")
-    names = ("features", "tests", "meta")
-    todo = papers
-    if writers.has_cache(spark, f"{cache}/features") and not a.force:
-        todo = hold(writers.not_cached(papers, writers.read_cache(spark, f"{cache}/features")), "todo")
+    papers = pages.select("paper_id").distinct().join(own, "paper_id", "left").withColumn("cache_key", key)
+    papers, asked = writers.watched(hold, papers, "papers")
+    touched = writers.buckets_of(papers)
+    cached = None if a.force else writers.read_cache(spark, f"{cache}/features", touched)
+    todo, worked = writers.watched(hold, papers if cached is None else writers.not_cached(papers, cached), "todo")
     some = todo.select("paper_id")
     done = screen.extract(pages.join(some, "paper_id", "left_semi"), cells.join(some, "paper_id", "left_semi"), todo.select("paper_id", "sha256"), a.max_pages, a.max_pdf_pages, hold)
-    run = datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="microseconds")
-    for name, frame in zip(names, (done.features, done.tests, done.meta)):
-        keys = writers.keyed(todo).select(*writers.CACHE_KEY)
-        bare = frame.drop("cache_key", "extractor_version", "sha256")
-        writers.cache(bare.join(keys, "paper_id").withColumn("run", F.lit(run)), f"{cache}/{name}")
-    out = {}
-    wanted = writers.keyed(papers).select(*writers.CACHE_KEY)
-    latest = writers.read_cache(spark, f"{cache}/features").groupBy(*writers.CACHE_KEY).agg(F.max("run").alias("run"))
-    wanted = hold(wanted.join(latest, list(writers.CACHE_KEY)), "wanted")
-    for name in names:
-        cached = writers.read_cache(spark, f"{cache}/{name}")
-        out[name] = cached.join(wanted, [*writers.CACHE_KEY, "run"], "left_semi").drop("run", "sha12")
-    writers.by_paper(out["tests"], f"{a.out}/tests.parquet")
+    keys = writers.keyed(todo).select(*writers.CACHE_KEY)
+    for name, frame in (("tests", done.tests), ("meta", done.meta), ("features", done.features)):  # features last: they tell that a paper is there
+        writers.cache(frame.drop("cache_key", "extractor_version").join(keys, "paper_id"), f"{cache}/{name}", hold, name)
+    wanted, out = writers.keyed(papers).select(*writers.CACHE_KEY), {}
+    for name, made in (("tests", done.tests), ("meta", done.meta), ("features", done.features)):
+        cached = writers.read_cache(spark, f"{cache}/{name}", touched)
+        rows = made.join(keys, "paper_id").limit(0) if cached is None else cached.drop("bucket")
+        out[name] = rows.join(wanted, list(writers.CACHE_KEY), "left_semi").drop("sha12")
+    written = writers.by_paper(out["tests"], f"{a.out}/tests.parquet")
     writers.features_csv([out["features"]], f"{a.out}/features")
     writers.meta_json(out["meta"], f"{a.out}/meta")
     if a.export:
         writers.tests_json(out["tests"], f"{a.out}/tests")
-    return {"papers": papers.count(), "worked_out": todo.count(), "tests": spark.read.parquet(f"{a.out}/tests.parquet").count()}
+    return {"papers": asked["rows"], "worked_out": worked["rows"], "tests": written["rows"], "pairs": done.counts}
 
 
 def reported(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -91,8 +87,12 @@ def reported(spark: SparkSession, a: argparse.Namespace) -> dict:
     found = found.join(pages.select("paper_id").distinct(), "paper_id", "left_semi")
     titles = found.select("paper_id").distinct().withColumn("title", F.col("paper_id"))
     if a.features:
-        rows = readers.features(spark, a.features).select("paper_id", F.col("risk_score").cast("double").alias("risk_score"), "line").withColumn("sha256", F.lit(None).cast("string"))
-        titles = titles.join(corpus.match_rows(titles.select("paper_id", F.lit("").alias("sha256")), rows).select("paper_id", "risk_score"), "paper_id", "left")
+        listed = readers.features(spark, a.features)
+        sha256 = F.col("sha256") if "sha256" in listed.columns else F.lit(None).cast("string")
+        rows = listed.select("paper_id", sha256.alias("sha256"), F.col("risk_score").cast("double").alias("risk_score"), "line")
+        own = spark.read.parquet(a.papers).select("paper_id", "sha256") if a.papers else corpus.content_hash(pages)
+        scores = corpus.match_rows(titles.select("paper_id").join(own, "paper_id", "left"), rows)
+        titles = titles.join(scores.select("paper_id", "risk_score"), "paper_id", "left")
     else:
         titles = titles.withColumn("risk_score", F.lit(None).cast("double"))
     refs = [r["ref"] for r in report.references(readers.notes(spark, a.references)).orderBy("pos").collect()] if a.references else []
@@ -112,11 +112,11 @@ def reported(spark: SparkSession, a: argparse.Namespace) -> dict:
         made = done.reports
     else:
         made = screen.reports(pages, found, titles, refs)
-    writers.by_paper(made, f"{a.out}/reports.parquet")
+    written = writers.by_paper(made, f"{a.out}/reports.parquet")
     writers.objects(titles.join(summary.paper_summary(ordered), "paper_id", "left"), f"{a.out}/diagnostic")
     if a.export:
         writers.reports(made.select("paper_id", "report"), f"{a.out}/reports")
-    return {"reports": spark.read.parquet(f"{a.out}/reports.parquet").count()}
+    return {"reports": written["rows"]}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -126,6 +126,12 @@ def reason_counts(reconstructed: DataFrame) -> DataFrame:
     return reconstructed.select("paper_id", F.explode("reasons").alias("reason")).groupBy("paper_id", "reason").agg(F.count("*").alias("n"))
 
 
+def counters() -> dict[str, Column]:
+    """Aggregates over reconstructed pairs: how many are tests, and how many have each reason to be none."""
+    out = {"tests": F.count_if(F.size("reasons") == 0)}
+    return out | {f"dropped: {r}": F.count_if(F.array_contains("reasons", r)) for r in REASONS}
+
+
 def dropped_examples(reconstructed: DataFrame, most: int = 20) -> DataFrame:
     """paper_id, dropped_examples: the first pairs of a paper that are no tests, in order of place, with their reasons."""
     shown = ("page", "table_index", "coef", "paren", "cell_text_snippet", "se_cell_text_snippet", "reasons")

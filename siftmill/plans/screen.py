@@ -12,6 +12,7 @@ from siftmill import fixed
 from siftmill.functions import text
 from siftmill.operators import layout, report, summary, tests
 from siftmill.operators import pages as page_ops
+from siftmill.sources import writers
 
 TRIAGE_PAGES = 12
 TEST_ORDER = ("page", "table_index", "row_index", "col_index")
@@ -19,15 +20,16 @@ TEST_ORDER = ("page", "table_index", "row_index", "col_index")
 
 @dataclass
 class Extraction:
-    """features: a row for each paper; tests: kept pairs; dropped: pairs with their reasons; meta: a row for each paper about its extraction."""
+    """features: a row for each paper; tests: kept pairs; dropped: pairs with their reasons; meta: a row for each paper about its extraction; counts: of pairs, tests and reasons over all papers, from the pass that wrote them (empty if nothing was held)."""
 
     features: DataFrame
     tests: DataFrame
     dropped: DataFrame
     meta: DataFrame
+    counts: dict[str, int]
 
 
-def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None, max_pages: int = TRIAGE_PAGES, max_pdf_pages: int | None = None, hold: Callable[[DataFrame, str], DataFrame] = lambda frame, name: frame) -> Extraction:
+def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None, max_pages: int = TRIAGE_PAGES, max_pdf_pages: int | None = None, hold: Callable[[DataFrame, str], DataFrame] | None = None) -> Extraction:
     """Pages and cells of a corpus to tests, features and scores.
 
     Only cells of the ``max_pages`` best pages of each paper are read. papers: further columns of
@@ -42,9 +44,12 @@ def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None,
         pages, cells = pages.join(small, "paper_id", "left_semi"), cells.join(small, "paper_id", "left_semi")
     scored = page_ops.triage_scores(pages)
     chosen = page_ops.triage_pages(scored, max(1, max_pages))
-    raw = hold(tests.pairs(cells.join(chosen.select("paper_id", "page"), ["paper_id", "page"], "left_semi")), "pairs")
+    raw = tests.pairs(cells.join(chosen.select("paper_id", "page"), ["paper_id", "page"], "left_semi"))
+    raw = hold(raw, "pairs") if hold else raw
     modes = tests.paren_modes(raw, pages)
-    made = hold(tests.reconstruct(raw, modes), "reconstructed")
+    made, counts_of = tests.reconstruct(raw, modes), {}
+    if hold:
+        made, counts_of = writers.watched(hold, made, "reconstructed", **tests.counters())
     key = text.cache_key(F.lit(max_pages), F.lit(max_pdf_pages).cast("int"))
     base = (counts if skipped is None else counts.join(small, "paper_id", "left_semi")).withColumn("extractor_version", F.lit(fixed.VERSION)).withColumn("cache_key", key)
     base = base.join(scored.groupBy("paper_id").agg(F.count_if("is_reference").alias("reference_pages")), "paper_id")
@@ -57,7 +62,7 @@ def extract(pages: DataFrame, cells: DataFrame, papers: DataFrame | None = None,
     meta = meta.join(tests.tables_of(made), "paper_id", "left").join(tests.dropped_examples(made), "paper_id", "left")
     if skipped is not None:
         features = features.unionByName(skipped, allowMissingColumns=True)
-    return Extraction(features, tests.kept(made), made.filter(F.size("reasons") > 0), meta)
+    return Extraction(features, tests.kept(made), made.filter(F.size("reasons") > 0), meta, counts_of)
 
 
 def labelled_examples(examples: DataFrame, words: DataFrame, found: DataFrame) -> DataFrame:

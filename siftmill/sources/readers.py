@@ -25,20 +25,26 @@ TESTS = {
 
 
 def pdfs(spark: SparkSession, corpus: str, pattern: str | None = None, ids: DataFrame | None = None, first: int | None = None, hash_bytes: int | None = 5_000_000) -> DataFrame:
-    """paper_id, path, sha256, content of the PDFs of a corpus, by path.
+    """paper_id, path, sha256, content of the PDFs of a corpus.
 
-    pattern: a search in the paper's id; ids: only these paper_id; first: only so many. Without a
-    PDF it raises ValueError.
+    pattern: a search in the paper's id; ids: only these paper_id; first: only so many, by path. They are
+    chosen by the listing alone; only the files chosen are read. Without a PDF it raises ValueError.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{corpus}/pdfs")
-    if found.select("path").isEmpty():
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(f"{corpus}/pdfs").select("path")
+    if listed.isEmpty():
         raise ValueError(f"no PDF in {corpus}/pdfs")
-    out = found.select(F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("paper_id"), "path", text.file_hash(F.col("content"), hash_bytes).alias("sha256"), "content")
-    if ids is not None:
-        out = out.join(ids, "paper_id", "left_semi")
-    if pattern:
-        out = out.filter(F.col("paper_id").rlike(pattern))
-    return out.orderBy("path").limit(first) if first is not None else out
+    own = F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("paper_id")
+    if ids is None and not pattern and first is None:
+        chosen = [f"{corpus}/pdfs"]
+    else:
+        named = listed.select(own, "path")
+        named = named.join(ids, "paper_id", "left_semi") if ids is not None else named
+        named = named.filter(F.col("paper_id").rlike(pattern)) if pattern else named
+        named = named.orderBy("path").limit(first) if first is not None else named
+        chosen = [r["path"] for r in named.select("path").collect()]  # no more than the listing that the driver has made
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf")
+    found = whole.load(chosen) if chosen else whole.load(f"{corpus}/pdfs").limit(0)
+    return found.select(own, "path", text.file_hash(F.col("content"), hash_bytes).alias("sha256"), "content")
 
 
 def tests(spark: SparkSession, path: str) -> DataFrame:
@@ -54,8 +60,9 @@ def tests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """The feature table as text columns, in file order (column ``line``)."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("line", F.monotonically_increasing_id())
+    """The feature table as text columns, with its file order in ``line``: the file, then the place in it, however Spark packs files into tasks."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')  # of such files none is split
+    return rows.withColumn("line", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
 
 
 def sidecars(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -6,12 +6,14 @@ import functools
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill import fixed
 
 CACHE_KEY = ("paper_id", "sha12", "cache_key", "extractor_version")
+#: Folders of the cache; a paper's rows are in one of them.
+BUCKETS = 256
 
 
 def holder(folder: str) -> Callable[[DataFrame, str], DataFrame]:
@@ -25,9 +27,22 @@ def holder(folder: str) -> Callable[[DataFrame, str], DataFrame]:
     return hold
 
 
-def by_paper(frame: DataFrame, path: str) -> None:
-    """A table as Parquet whose files are of even size and sorted by paper, so that one paper's rows are found by the files' statistics."""
-    frame.hint("rebalance", F.col("paper_id")).sortWithinPartitions("paper_id").write.mode("overwrite").parquet(path)
+def by_paper(frame: DataFrame, path: str, **counts: Column) -> dict[str, int]:
+    """A table as Parquet whose files are of even size and sorted by paper, so that one paper's rows are found by the files' statistics.
+
+    Gives the number of its rows and the ``counts`` (aggregates), which are observed while it is written.
+    """
+    seen = Observation()
+    watched = frame.observe(seen, F.count("*").alias("rows"), *(c.alias(n) for n, c in counts.items()))
+    watched.hint("rebalance", F.col("paper_id")).sortWithinPartitions("paper_id").write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def watched(hold: Callable[[DataFrame, str], DataFrame], frame: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """A held table with its number of rows and the ``counts``, observed while it is written."""
+    seen = Observation()
+    held = hold(frame.observe(seen, F.count("*").alias("rows"), *(c.alias(n) for n, c in counts.items())), name)
+    return held, seen.get
 
 
 def tests_json(tests: DataFrame, path: str) -> None:
@@ -75,9 +90,29 @@ def keyed(papers: DataFrame) -> DataFrame:
     return papers.withColumn("sha12", F.substring("sha256", 1, 12)).withColumn("extractor_version", F.lit(fixed.VERSION))
 
 
-def cache(features: DataFrame, path: str) -> None:
-    """Appends rows (with CACHE_KEY columns) to the cache."""
-    features.write.mode("append").parquet(path)
+def bucket(paper_id: Column) -> Column:
+    return F.pmod(F.xxhash64(paper_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_of(rows: DataFrame) -> list[int]:
+    """The buckets that rows (paper_id) are in: BUCKETS at most."""
+    return sorted(r["bucket"] for r in rows.select(bucket(F.col("paper_id")).alias("bucket")).distinct().collect())
+
+
+def cache(rows: DataFrame, path: str, hold: Callable[[DataFrame, str], DataFrame], name: str) -> None:
+    """Puts rows (with CACHE_KEY columns) into the cache, in place of those of the same key: only the buckets that they are in are read and written.
+
+    A bucket is written anew as a whole, so it never piles up files of earlier runs.
+    """
+    rows = hold(rows, f"cache_{name}")
+    touched = buckets_of(rows)
+    if not touched:
+        return
+    old = read_cache(rows.sparkSession, path, touched)
+    if old is not None:
+        rows = old.join(rows.select(*CACHE_KEY).distinct(), list(CACHE_KEY), "left_anti").unionByName(rows, allowMissingColumns=True)
+    merged = hold(rows.withColumn("bucket", bucket(F.col("paper_id"))), f"cache_{name}_merged")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def not_cached(papers: DataFrame, cached: DataFrame) -> DataFrame:
@@ -85,9 +120,11 @@ def not_cached(papers: DataFrame, cached: DataFrame) -> DataFrame:
     return keyed(papers).join(cached.select(*CACHE_KEY).distinct(), list(CACHE_KEY), "left_anti").drop("sha12", "extractor_version")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """All rows of the cache, whichever columns the runs had that wrote them."""
-    return spark.read.option("mergeSchema", "true").parquet(path)
+def read_cache(spark: SparkSession, path: str, touched: list[int] | None = None) -> DataFrame | None:
+    """The rows of the cache in some buckets (all if None), whichever columns the runs had that wrote them; None if there are none."""
+    folders = [f"{path}/bucket={b}" for b in (range(BUCKETS) if touched is None else touched)]
+    folders = [f for f in folders if has_cache(spark, f)]
+    return spark.read.option("mergeSchema", "true").parquet(*folders) if folders else None
 
 
 def has_cache(spark: SparkSession, path: str) -> bool:

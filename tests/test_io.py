@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siftmill.operators import tests
+from siftmill.operators import corpus, tests
 from siftmill.plans import expert, fixtures
 from siftmill.sources import pdf, readers, responder, writers
 from siftmill.streaming import ingest
@@ -18,11 +18,15 @@ def test_pdf_scan(spark, tmp_path):
         (folder / f"{name}.pdf").write_bytes(b"%PDF " + name.encode())
     (folder / "x.txt").write_text("no")
     got = readers.pdfs(spark, str(tmp_path), first=2).collect()
-    assert [r["paper_id"] for r in got] == ["a", "b"] and len(got[0]["sha256"]) == 64
+    assert sorted(r["paper_id"] for r in got) == ["a", "b"] and len(got[0]["sha256"]) == 64
     (tmp_path / "ids").write_text("# note\n\n c \nc\n")
     ids = readers.id_list(spark, str(tmp_path / "ids"))
     assert [r["paper_id"] for r in readers.pdfs(spark, str(tmp_path), ids=ids).collect()] == ["c"]
-    assert [r["paper_id"] for r in readers.pdfs(spark, str(tmp_path), pattern="^[ab]$").collect()] == ["a", "b"]
+    assert sorted(r["paper_id"] for r in readers.pdfs(spark, str(tmp_path), pattern="^[ab]$").collect()) == ["a", "b"]
+    assert readers.pdfs(spark, str(tmp_path), pattern="nothing").count() == 0
+    (folder / "c.pdf").chmod(0)  # what is not chosen is not read, and nothing with a content is sorted
+    few = readers.pdfs(spark, str(tmp_path), first=2)
+    assert sorted(few.inputFiles()) == sorted(f"file://{folder}/{n}.pdf" for n in "ab") and "Sort" not in few._jdf.queryExecution().toString()
 
 
 def test_lines_of_tests(spark, tmp_path):
@@ -49,13 +53,57 @@ def test_round_trips(spark, sf, tmp_path):
 def test_cache(spark, tmp_path):
     papers = spark.createDataFrame([("a", "1" * 64, "k"), ("b", "2" * 64, "k")], "paper_id string, sha256 string, cache_key string")
     row = papers.filter("paper_id = 'a'").withColumn("sha12", F.substring("sha256", 1, 12)).withColumn("extractor_version", F.lit(tests.fixed.VERSION))
-    writers.cache(row, str(tmp_path / "cache"))
-    cached = writers.read_cache(spark, str(tmp_path / "cache"))
+    hold, path = writers.holder(str(tmp_path / "held")), str(tmp_path / "cache")
+    assert writers.read_cache(spark, path) is None
+    writers.cache(row, path, hold, "x")
+    cached = writers.read_cache(spark, path)
     assert [r["paper_id"] for r in writers.not_cached(papers, cached).collect()] == ["b"]
     changed = papers.withColumn("sha256", F.lit("3" * 64))
     assert writers.not_cached(changed, cached).count() == 2
 
 
+def test_one_paper_touches_one_bucket(spark, tmp_path):
+    """Only the bucket of a new or changed paper is read and written; a key has one row, and a bucket does not pile up files."""
+    hold, path = writers.holder(str(tmp_path / "held")), str(tmp_path / "cache")
+
+    def rows(names, value, more=""):
+        frame = spark.createDataFrame([(n, f"{k:064d}", "k", value) for k, n in enumerate(names)], "paper_id string, sha256 string, cache_key string, value int")
+        frame = writers.keyed(frame)
+        return frame.withColumn(more, F.lit("new")) if more else frame
+
+    def files():
+        return {tuple(str(p.relative_to(path)).split("/")) for p in (tmp_path / "cache").rglob("*.parquet")}
+
+    names = [f"p{k}" for k in range(40)]
+    writers.cache(rows(names, 1), path, hold, "x")
+    before = files()
+    writers.cache(rows(["p0"], 2, "added"), path, hold, "x")
+    after = files()
+    own = f"bucket={writers.buckets_of(rows(['p0'], 2))[0]}"
+    assert {d for d, _ in before - after} == {own} == {d for d, _ in after - before}
+    assert sum(d == own for d, _ in after) == 1
+    got = {r["paper_id"]: (r["value"], r["added"]) for r in writers.read_cache(spark, path).collect()}
+    assert got == {n: (1, None) for n in names} | {"p0": (2, "new")}
+    one = writers.read_cache(spark, path, writers.buckets_of(rows(["p0"], 2)))
+    assert {f.split("/")[-2] for f in one.inputFiles()} == {own}
+    writers.cache(rows([], 3), path, hold, "x")
+    assert files() == after
+
+
+def test_features_in_file_order(spark, tmp_path):
+    """The first match is the same from one file as from several, whatever their sizes and however Spark packs them."""
+    listed = [(f"p{k % 7}", f"h{k % 5}", str(k)) for k in range(200)]
+    for name, cuts in (("one", [0, 200]), ("three", [0, 3, 190, 200])):
+        (tmp_path / name).mkdir()
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            (tmp_path / name / f"part-{k:05d}.csv").write_text("paper_id,sha256,note\n" + "".join(f'{p},{h},"n{n}\nsecond line"\n' for p, h, n in listed[a:b]))
+    papers = spark.createDataFrame([("p3", "h4"), ("none", "h2"), ("p6", "h0")], "paper_id string, sha256 string")
+    want = {p: next(n for q, g, n in listed if q == p or g == h) for p, h in (("p3", "h4"), ("none", "h2"), ("p6", "h0"))}
+    for name in ("one", "three"):
+        rows = readers.features(spark, str(tmp_path / name))
+        assert {r["paper_id"]: r["note"].split("\n")[0][1:] for r in corpus.match_rows(papers, rows).collect()} == want
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     made = fixtures.tests(spark, sf).select(F.col("paper_id").cast("string").alias("paper_id"), "page", "table_index", "abs_t", "p_approx_2s")
     made.repartition(3).write.json(str(tmp_path / "in"))
@@ -153,13 +201,17 @@ def test_a_second_run_reads_the_cache(spark, tmp_path):
 
     def made(*more):
         __main__.main([*run, *more])
-        return json.loads(spark.read.text(str(tmp_path / "out/run_extract")).first()["value"])["made"]
+        record = json.loads(spark.read.text(str(tmp_path / "out/run_extract")).first()["value"])["made"]
+        pairs.append(record.pop("pairs"))
+        return record
 
+    pairs = []
     assert made("--only-regex", "^[ab]$") == {"papers": 2, "worked_out": 2, "tests": 4}
     assert made() == {"papers": 3, "worked_out": 1, "tests": 6}
     write("pages", [("a", 1, "Table 1. Something else")] + [(p, 1, f"Table 1. Effects in {p}") for p in "bc"], readers.PAGES)
     assert made() == {"papers": 3, "worked_out": 1, "tests": 6}
     assert made("--force", "--limit", "1") == {"papers": 1, "worked_out": 1, "tests": 2}
+    assert [(p["rows"], p["tests"]) for p in pairs] == [(4, 4), (2, 2), (2, 2), (2, 2)]  # seen in the pass that wrote them
 
 
 def test_sidecars_and_logs(spark, tmp_path):
