@@ -185,19 +185,22 @@ def _shown(t: pd.Series, p: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"t": column(t, "%.2f"), "p": column(p, "%.3g")})
 
 
-def _around(text: Column, pattern: Column, around: int, cut: int) -> Column:
-    """What stands around each hit of a pattern, each hit by itself, also where these parts overlap."""
+def _around(text: Column, pattern: Column, around: int, cut: int, most: int) -> Column:
+    """What stands around the hits of a pattern, each hit by itself, also where these parts overlap: the first ``most`` that differ in more than their case."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
 
     def one(sofar: Column, piece: Column) -> Column:
         at = sofar["at"] + F.length(piece["before"])
         first = F.greatest(F.lit(0), at - around)
         end = at + F.length(piece["hit"])
-        return F.struct(end.alias("at"), F.concat(sofar["out"], F.array(clean_snippet(F.substring(text, first + 1, end + around - first), cut))).alias("out"))
+        shown = clean_snippet(F.substring(text, first + 1, end + around - first), cut)
+        more = let(shown, lambda s: F.when((F.length(s) == 0) | F.exists(sofar["out"], lambda x: F.lower(x) == F.lower(s)), sofar["out"]).otherwise(F.concat(sofar["out"], F.array(s))))
+        return F.struct(end.alias("at"), F.when(F.size(sofar["out"]) >= most, sofar["out"]).otherwise(more).alias("out"))
 
     pieces = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, h: F.struct(b.alias("before"), h.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(pieces, start, one, lambda done: done["out"])
+    none = F.array().cast("array<string>")
+    every = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), one, lambda done: done["out"])
+    return F.when(F.regexp_like(text, pattern), every).otherwise(none)
 
 
 def named(text: Column, around: int, cut: int) -> Column:
@@ -222,8 +225,7 @@ def snippets(text: Column, patterns: "Iterable[str] | Iterable[Column]", most: i
     """Hits of the patterns with ``around`` characters on either side, pattern after pattern, each text once (whatever its case)."""
 
     def of(t: Column) -> Column:
-        every = F.concat(*(_around(t, F.lit(p) if isinstance(p, str) else p, around, cut) for p in patterns))
-        named = F.filter(every, lambda s: F.length(s) > 0)
-        return let(named, lambda all_: let(F.transform(all_, F.lower), lambda low: F.filter(all_, lambda s, k: F.array_position(low, F.lower(s)) == k + 1)))
+        every = F.concat(*(_around(t, F.lit(p) if isinstance(p, str) else p, around, cut, most) for p in patterns))
+        return let(every, lambda all_: let(F.transform(all_, F.lower), lambda low: F.filter(all_, lambda s, k: F.array_position(low, F.lower(s)) == k + 1)))
 
     return F.slice(let(F.coalesce(text, F.lit("")), of), 1, most)
