@@ -1,4 +1,4 @@
-"""python -m siftmill extract|report|expert: the engine on extracted tables in Parquet."""
+"""python -m siftmill extract|report|expert|light: the engine on extracted tables in Parquet."""
 
 from __future__ import annotations
 
@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from siftmill import fixed, session
 from siftmill.functions import text
 from siftmill.operators import corpus, report, summary
-from siftmill.plans import expert, screen
+from siftmill.plans import expert, light, screen
 from siftmill.sources import ledger, readers, responder, writers
 
 
 def options() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="siftmill", description=__doc__)
-    p.add_argument("what", choices=("extract", "report", "expert"))
+    p.add_argument("what", choices=("extract", "report", "expert", "light"))
     p.add_argument("--pages", required=True, help="folder of page texts")
     p.add_argument("--cells", help="folder of table cells (extract)")
     p.add_argument("--papers", help="folder of papers with paper_id and sha256; without it the page texts are hashed")
+    p.add_argument("--images", help="folder of page images: paper_id, page, image (light)")
     p.add_argument("--tests", help="folder of tests (report, expert)")
     p.add_argument("--features", help="CSV folder of features, for titles and scores (report, expert)")
     p.add_argument("--references", help="Markdown note with a list of APA references (report, expert)")
@@ -97,18 +98,23 @@ def reported(spark: SparkSession, a: argparse.Namespace) -> dict:
         titles = titles.withColumn("risk_score", F.lit(None).cast("double"))
     refs = [r["ref"] for r in report.references(readers.notes(spark, a.references)).orderBy("pos").collect()] if a.references else []
     ordered = found.withColumn("seq", F.struct(*screen.TEST_ORDER))
-    if a.what == "expert":
+    if a.what in ("expert", "light"):
         key = readers.notes(spark, a.key_file).first()["text"].strip() if a.key_file else ""
         if a.endpoint:
             who = ledger.Ledger(spark, a.ledger or f"{a.out}/ledger", responder.Adaptive(responder.Endpoint(a.endpoint, a.model, key)), a.calls, pause=a.pause, again=a.force)
         else:
             who = responder.Offline()
-        done = expert.run(pages, found, titles, who, hold, refs)
+        if a.what == "light":
+            images = readers.images(spark, a.images) if a.images else spark.createDataFrame([], readers.IMAGES)
+            done = light.run(pages, found, titles, images, who, hold, refs)
+        else:
+            done = expert.run(pages, found, titles, who, hold, refs)
         if a.endpoint:
-            writers.objects(ledger.log(who.calls()), f"{a.out}/expert/calls")
-        for name in ("inventory", "chunks", "digests", "audits"):
-            writers.objects(getattr(done, name), f"{a.out}/expert/{name}")
-        writers.objects(done.metrics.drop("facts"), f"{a.out}/diagnostic_metrics")
+            writers.objects(ledger.log(who.calls()), f"{a.out}/{a.what}/calls")
+        for name in ("inventory", "chunks", "digests", "audits") if a.what == "expert" else ("chosen", "evidence", "meta"):
+            writers.objects(getattr(done, name), f"{a.out}/{a.what}/{name}")
+        if a.what == "expert":
+            writers.objects(done.metrics.drop("facts"), f"{a.out}/diagnostic_metrics")
         made = done.reports
     else:
         made = screen.reports(pages, found, titles, refs)

@@ -2,7 +2,7 @@
 
 A row is one call: what was asked (kind of step, system text, prompt), of whom (model, address,
 limits), how it went and what came back. Rows are only ever appended. A prompt is known by the hashes
-of its text and of the system's text and by the model; of a prompt that has an answer none is asked
+of its text (with its image) and of the system's text and by the model; of a prompt that has an answer none is asked
 again, by any later step or run, so a run that failed goes on where it stopped and a run over changed
 papers asks only what has changed. Errors are in the log, and are asked again.
 
@@ -59,9 +59,12 @@ class Ledger:
     def ask(self, packets: DataFrame, system: str, kind: str) -> DataFrame:
         """packets (key columns, prompt) with answer and error; what the ledger lacks is asked and appended first."""
         system_sha256 = F.sha2(F.lit(system).cast("binary"), 256)
-        hashed = packets.withColumn("prompt_sha256", F.sha2(F.col("prompt").cast("binary"), 256))
+        image = ["image"] if "image" in packets.columns else []
+        asked = F.col("prompt").cast("binary")
+        asked = F.concat(asked, F.coalesce("image", F.lit(b""))) if image else asked
+        hashed = packets.withColumn("prompt_sha256", F.sha2(asked, 256))
         answered = self._answers(system_sha256, kind).filter("said.answer IS NOT NULL").select("prompt_sha256")
-        todo = hashed.filter("prompt IS NOT NULL").select("prompt_sha256", "prompt").join(answered, "prompt_sha256", "left_anti").dropDuplicates(["prompt_sha256"])
+        todo = hashed.filter("prompt IS NOT NULL").select("prompt_sha256", "prompt", *image).join(answered, "prompt_sha256", "left_anti").dropDuplicates(["prompt_sha256"])
         todo, n = self._waiting(todo, kind)
         waves = -(-n // (self.slots * self.per_slot))
         for wave in range(waves):
@@ -70,7 +73,7 @@ class Ledger:
             facts = {"kind": F.lit(kind), "system_sha256": system_sha256, "base_url": F.lit(getattr(self.who, "url", None)).cast("string"), "max_tokens": F.lit(getattr(self.who, "most_tokens", None)).cast("int"), "temperature": F.lit(getattr(self.who, "temperature", None)).cast("double"), "system": F.lit(system), "notes": F.when(F.col("attempts") > 1, F.concat(F.lit("retries: "), F.col("attempts") - 1))}
             made.withColumns(facts).select(*NAMES).write.mode("append").partitionBy("kind").parquet(self.folder)
         known = self._answers(system_sha256, kind).select("prompt_sha256", "said.answer", "said.error")
-        return hashed.join(known, "prompt_sha256", "left").select(*packets.columns, "answer", "error")
+        return hashed.drop(*image).join(known, "prompt_sha256", "left").select(*(c for c in packets.columns if c != "image"), "answer", "error")
 
     def _waiting(self, todo: DataFrame, kind: str) -> tuple[DataFrame, int]:
         """The prompts to ask, written beside the ledger, so that the waves do not read what they append; and their number."""
@@ -88,7 +91,7 @@ class Ledger:
             again = self.ask(asked, system, kind)
             mended = F.col("prompt").isNotNull()
             answer = F.when(mended, F.coalesce("answer", "had")).otherwise(F.col("had"))
-            done = again.select(*(F.col("own_prompt").alias(c) if c == "prompt" else F.col(c) for c in packets.columns), answer.alias("answer"), F.when(mended, F.col("error")).otherwise(F.col("had_error")).alias("error"), F.coalesce("object", jsons.json_object(F.col("answer"))).alias("object"))
+            done = again.select(*(F.col("own_prompt").alias(c) if c == "prompt" else F.col(c) for c in packets.columns if c != "image"), answer.alias("answer"), F.when(mended, F.col("error")).otherwise(F.col("had_error")).alias("error"), F.coalesce("object", jsons.json_object(F.col("answer"))).alias("object"))
         return done
 
 

@@ -15,6 +15,7 @@ CELLS = T.StructType([
     T.StructField("paper_id", T.StringType()), T.StructField("page", T.IntegerType()), T.StructField("table_index", T.IntegerType()), T.StructField("row_index", T.IntegerType()),
     T.StructField("col_index", T.IntegerType()), T.StructField("cell_text", T.StringType()), T.StructField("table_bbox", BOX), T.StructField("cell_bbox", BOX),
 ])
+IMAGES = T.StructType([T.StructField("paper_id", T.StringType()), T.StructField("page", T.IntegerType()), T.StructField("image", T.BinaryType())])
 #: Fields of a line of tests, by the type that they are read as.
 TESTS = {
     "paper_id": "string", "page": "int", "table_index": "int", "table_bbox": "array<double>", "row_index": "int", "col_index": "int", "coef_raw": "string",
@@ -87,6 +88,11 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGES).parquet(path)
 
 
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """Page images (Parquet)."""
+    return spark.read.schema(IMAGES).parquet(path)
+
+
 def cells(spark: SparkSession, path: str) -> DataFrame:
     """Extracted table cells (Parquet)."""
     return spark.read.schema(CELLS).parquet(path)

@@ -6,6 +6,7 @@ text, and metrics from audits that exist. A responder is called on the executors
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import time
@@ -30,6 +31,8 @@ PASSING = ("your request was blocked", "empty response content")
 
 
 class Responder(Protocol):
+    """Answers a prompt; one that can see takes an image (JPEG or PNG) as a third argument."""
+
     def answer(self, system: str, prompt: str) -> str: ...
 
 
@@ -48,9 +51,13 @@ class Endpoint:
     def __init__(self, url: str, model: str, key: str = "", timeout: float = 180.0, most_tokens: int = 3500):
         self.url, self.model, self.key, self.timeout, self.most_tokens = url, model, key, timeout, most_tokens
 
-    def answer(self, system: str, prompt: str) -> str:
+    def answer(self, system: str, prompt: str, image: bytes | None = None) -> str:
         messages = [{"role": "system", "content": system}] if system else []
-        body = {"model": self.model, "messages": [*messages, {"role": "user", "content": prompt}], "temperature": self.temperature, "max_tokens": self.most_tokens}
+        said = prompt
+        if image is not None:
+            kind = "png" if image.startswith(b"\x89PNG") else "jpeg"
+            said = [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": f"data:image/{kind};base64,{base64.b64encode(image).decode()}"}}]
+        body = {"model": self.model, "messages": [*messages, {"role": "user", "content": said}], "temperature": self.temperature, "max_tokens": self.most_tokens}
         headers = {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.key}"} if self.key else {})}
         request = urllib.request.Request(self.url, json.dumps(body).encode(), headers)
         try:
@@ -70,8 +77,8 @@ class Joined:
     def __init__(self, inner: Responder):
         self.inner = inner
 
-    def answer(self, system: str, prompt: str) -> str:
-        return self.inner.answer("", f"{system}\n\n{prompt}" if system else prompt)
+    def answer(self, system: str, prompt: str, *image: bytes) -> str:
+        return self.inner.answer("", f"{system}\n\n{prompt}" if system else prompt, *image)
 
 
 class Adaptive:
@@ -83,16 +90,16 @@ class Adaptive:
         self.model = self.model or type(inner).__name__
         self.only_prompts = False
 
-    def answer(self, system: str, prompt: str) -> str:
+    def answer(self, system: str, prompt: str, *image: bytes) -> str:
         if self.only_prompts or not system:
-            return self.joined.answer(system, prompt)
+            return self.joined.answer(system, prompt, *image)
         try:
-            return self.inner.answer(system, prompt)
+            return self.inner.answer(system, prompt, *image)
         except Exception as e:
             if not passing(e):
                 raise
             self.only_prompts = True
-            return self.joined.answer(system, prompt)
+            return self.joined.answer(system, prompt, *image)
 
 
 def name_of(responder: Responder) -> str:
@@ -106,12 +113,15 @@ def passing(error: BaseException) -> bool:
     return blocked or any(s in said for s in PASSING)
 
 
-def persistent(responder: Responder, system: str, prompt: str, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep) -> str:
-    """The answer, asked for again while errors pass."""
+def persistent(responder: Responder, system: str, prompt: str, attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep, image: bytes | None = None) -> str:
+    """The answer, asked for again while errors pass; where an image is refused, without it."""
     for attempt in range(1, attempts + 1):
         try:
-            return responder.answer(system, prompt)
+            return responder.answer(system, prompt, image) if image is not None else responder.answer(system, prompt)
         except Exception as e:
+            if image is not None and not passing(e):
+                image = None
+                continue
             if attempt == attempts or not passing(e):
                 raise
             wait(retry_delay(attempt))
@@ -144,13 +154,18 @@ def paced(pause: float, clock: Callable[[], float] = time.monotonic, wait: Calla
 
 
 def ask(packets: DataFrame, responder: Responder, system: str, attempts: int = ATTEMPTS, pause: float = 0.0) -> DataFrame:
-    """packets (key columns, prompt) with the columns of CALL: also the log of the calls. No key is ever in it. ``pause``: seconds between calls of a task."""
+    """packets (key columns, prompt, perhaps image) with the columns of CALL, without the image: also the log of the calls. No key is ever in it.
+
+    ``pause``: seconds between calls of a task. A prompt_sha256 that packets have is kept.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = paced(pause)
         for part in parts:
             rows = []
-            for prompt in part["prompt"]:
+            images = part["image"] if "image" in part else [None] * len(part)
+            known = part["prompt_sha256"] if "prompt_sha256" in part else [None] * len(part)
+            for prompt, image, sha256 in zip(part["prompt"], images, known):
                 waits: list[float] = []
 
                 def wait(seconds: float, waits: list[float] = waits) -> None:
@@ -160,13 +175,13 @@ def ask(packets: DataFrame, responder: Responder, system: str, attempts: int = A
                 turn()
                 began, started = time.monotonic(), datetime.now(timezone.utc).isoformat(timespec="microseconds")
                 try:
-                    answer, error = persistent(responder, system, prompt, attempts, wait), None
+                    answer, error = persistent(responder, system, prompt, attempts, wait, None if image is None else bytes(image)), None
                 except Exception as e:
                     answer, error = None, f"{type(e).__name__}: {e}"[:500]
-                rows.append((answer, error, len(waits) + 1, started, time.monotonic() - began, name_of(responder), len(system), len(prompt), len(answer or ""), hashlib.sha256(prompt.encode()).hexdigest()))
-            yield part.drop(columns=["prompt_sha256"], errors="ignore").reset_index(drop=True).join(pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")]))
+                rows.append((answer, error, len(waits) + 1, started, time.monotonic() - began, name_of(responder), len(system), len(prompt), len(answer or ""), sha256 or hashlib.sha256(prompt.encode()).hexdigest()))
+            yield part.drop(columns=["prompt_sha256", "image"], errors="ignore").reset_index(drop=True).join(pd.DataFrame(rows, columns=[c.split()[0] for c in CALL.split(", ")]))
 
-    fields = ", ".join(f"`{c}` {kind}" for c, kind in packets.dtypes if c != "prompt_sha256")
+    fields = ", ".join(f"`{c}` {kind}" for c, kind in packets.dtypes if c not in ("prompt_sha256", "image"))
     return packets.mapInPandas(run, f"{fields}, {CALL}")
 
 
@@ -188,10 +203,11 @@ def objects(packets: DataFrame, responder: Responder, system: str, repairs: int
 
     Answers are held after each round, so that none is asked for again by a later step.
     """
+    columns = [c for c in packets.columns if c != "image"]
     done = hold(ask(packets, responder, system).withColumn("object", jsons.json_object(F.col("answer"))), "0")
     for k in range(repairs - 1):
         todo = done.filter(F.col("object").isNull() & F.col("answer").isNotNull())
-        again = todo.select(*packets.columns, F.col("answer").alias("bad")).withColumn("asked", F.col("prompt")).withColumn("prompt", F.concat(F.lit("Give this again as one valid JSON object:\n"), F.col("bad"))).drop("bad")
+        again = todo.select(*columns, F.col("answer").alias("bad")).withColumn("asked", F.col("prompt")).withColumn("prompt", F.concat(F.lit("Give this again as one valid JSON object:\n"), F.col("bad"))).drop("bad")
         mended = ask(again, responder, system).withColumn("object", jsons.json_object(F.col("answer"))).withColumn("prompt", F.col("asked")).drop("asked")
         done = hold(done.filter(F.col("object").isNotNull() | F.col("answer").isNull()).unionByName(mended), str(k + 1))
     return done
