@@ -31,7 +31,7 @@ def numeric_ratio(s: Column) -> Column:
     return let(F.regexp_replace(F.coalesce(s, F.lit("")), r"(?U)\s+", ""), share)
 
 
-#: Applied in this order.
+#: Fixed values, applied in this order.
 TIGHTEN = (
     (r"(?U)(?<=\d),(?=\d{3}\b)", ""),
     (r"(?U)(?<=\d)\s+(?=[\.,])", ""),
