@@ -41,16 +41,17 @@ def p_values_across(before: Column, after: Column) -> Column:
 
     def of(pattern: str) -> Column:
         found = lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
-        in_first = F.size(found(before))
-        return F.slice(found(F.concat(before, after)), in_first + 1, F.greatest(F.lit(0), F.size(found(F.concat(before, after))) - in_first - F.size(found(after))))
+        both = found(F.concat(before, after))
+        own = lambda x: let(F.size(found(before)), lambda n: F.slice(x, n + 1, F.greatest(F.lit(0), F.size(x) - n - F.size(found(after)))))
+        return let(both, lambda x: F.when(F.size(x) > 0, own(x)).otherwise(F.array().cast("array<string>")))
 
     values = F.transform(F.flatten(F.array(*map(of, fixed.P_VALUE_PATTERNS))), lambda v: v.cast("double"))
     return F.filter(values, lambda v: v.between(0.0, 1.0))
 
 
 def hits_across(before: Column, after: Column, patterns: Iterable[str] | str) -> Column:
-    """How many more hits two texts have together than each by itself."""
-    return hits(F.concat(before, after), patterns) - hits(before, patterns) - hits(after, patterns)
+    """How many more hits two texts have together than each by itself; most have none, and are read once."""
+    return let(hits(F.concat(before, after), patterns), lambda n: F.when(n > 0, n - hits(before, patterns) - hits(after, patterns)).otherwise(0))
 
 
 def p_sample(values: Column, most: int = 30) -> Column:
@@ -206,17 +207,19 @@ def _around(text: Column, pattern: Column, around: int, cut: int, most: int) ->
 def named(text: Column, around: int, cut: int) -> Column:
     """Array of (name, k, snippet): every name of a table or figure in a text, by one pattern, in lower case, with what stands around it."""
 
-    def of(t: Column) -> Column:
-        names, between = F.regexp_extract_all(t, F.lit(fixed.NAMED), F.lit(1)), F.split(t, fixed.NAMED, -1)
-        # the pattern has no width: the parts between are the whole text, and none stands before a name at its very beginning
-        sizes = F.concat(F.when(F.size(between) == F.size(names), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.transform(between, F.length))
-
+    def shown(t: Column, names: Column, sizes: Column) -> Column:
         def one(name: Column, k: Column) -> Column:
             at = F.aggregate(F.slice(sizes, F.lit(1), k + 1), F.lit(0), lambda a, n: a + n)
             first = F.greatest(F.lit(0), at - around)
             return F.struct(F.lower(name).alias("name"), k.alias("k"), clean_snippet(F.substring(t, first + 1, at + F.length(name) + around - first), cut).alias("snippet"))
 
-        return F.when(F.size(names) > 0, F.transform(names, one))
+        return F.transform(names, one)
+
+    def of(t: Column) -> Column:
+        # the pattern has no width: the parts between are the whole text, and none stands before a name at its very beginning
+        lengths = lambda names: let(F.transform(F.split(t, fixed.NAMED, -1), F.length), lambda parts: F.when(F.size(parts) == F.size(names), F.concat(F.array(F.lit(0)), parts)).otherwise(parts))
+        found = let(F.regexp_extract_all(t, F.lit(fixed.NAMED), F.lit(1)), lambda names: F.when(F.size(names) > 0, let(lengths(names), lambda sizes: shown(t, names, sizes))))
+        return F.when(t.rlike("(?i)table|figure"), found)
 
     return let(F.coalesce(text, F.lit("")), of)
 

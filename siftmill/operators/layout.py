@@ -33,9 +33,9 @@ def lines(words: DataFrame) -> DataFrame:
 
 
 #: Height of a strip in points; what lies beyond the first and last strip belongs to those.
-STRIP, FIRST, LAST = 16.0, -8, 256
+STRIP, FIRST, LAST = 48.0, -8, 256
 #: How many strips above a cell are searched before the whole page is.
-NEAR = 6
+NEAR = 2
 
 
 def _strip(y: Column) -> Column:

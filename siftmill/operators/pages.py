@@ -66,7 +66,7 @@ def captions(pages: DataFrame, kind: str) -> DataFrame:
 
 
 #: How many characters on either side of a page's end are looked at together.
-BORDER = 400
+BORDER = 160
 #: What stands between two pages of a paper.
 BETWEEN = "\n\n"
 
