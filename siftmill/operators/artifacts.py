@@ -38,14 +38,20 @@ def mentions(items: DataFrame, pages: DataFrame, most: int = 8, of_page: int = 2
     surroundings, also where they overlap.
     """
     numbered = F.col("id").rlike(r"(?iU)^(table|figure) [a-z]{0,3}\d+[a-z]?$")
-    own = items.select("paper_id", "kind", "id")
-    found = own.filter(numbered).withColumn("name", F.lower("id")).join(name_index(pages), ["paper_id", "name"]).filter("snippet <> ''")
+    own = items.select("paper_id", "kind", "id", F.when(numbered, F.lower("id")).otherwise("").alias("name"))
+    # one join, so that the inventory is worked out once: whole pages have the name of those without a number
+    none = {"text": "string", "k": "int", "snippet": "string"}
+    named = name_index(pages).withColumn("text", F.lit(None).cast("string"))
+    whole = pages.select("paper_id", "page", "text", F.lit("").alias("name"), *(F.lit(None).cast(none[c]).alias(c) for c in ("k", "snippet")))
+    met = own.join(named.unionByName(whole), ["paper_id", "name"])
+    words = F.concat(F.lit(r"(?iU)\b\Q"), F.col("id"), F.lit(r"\E\b"))
+    t = F.coalesce("text", F.lit(""))
+    searched = F.when(F.regexp_like(t, words), F.transform(text.snippets(t, [words], of_page, AROUND, CUT), lambda s, k: F.struct(k.alias("k"), s.alias("snippet"))))
+    shown = F.when(F.col("name") != "", F.array(F.struct("k", "snippet"))).otherwise(searched)
+    found = met.select("paper_id", "kind", "id", "page", F.inline(shown)).filter("snippet <> ''")
     first = found.groupBy("paper_id", "kind", "id", "page", F.lower("snippet").alias("same")).agg(F.min("k").alias("k"), F.min_by("snippet", "k").alias("snippet"))
     upto = Window.partitionBy("paper_id", "kind", "id", "page").orderBy("k")
     rows = first.withColumn("k", F.row_number().over(upto) - 1).filter(F.col("k") < of_page).select("paper_id", "kind", "id", "page", "k", "snippet")
-    name = F.concat(F.lit(r"(?iU)\b\Q"), F.col("id"), F.lit(r"\E\b"))
-    both = pages.select("paper_id", "page", "text").join(own.filter(~numbered), "paper_id").filter(F.regexp_like(F.coalesce("text", F.lit("")), name))
-    rows = rows.unionByName(both.select("paper_id", "kind", "id", "page", F.posexplode(text.snippets(F.col("text"), [name], of_page, AROUND, CUT)).alias("k", "snippet")))
     order = Window.partitionBy("paper_id", "kind", "id").orderBy("page", "k")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("k")
 
