@@ -1,11 +1,16 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have Jaccard >= 0.8.
 
-SimHashes cannot serve for this search: at Jaccard 0.8 two of them differ in 9.7 of 64 bits on
-average (standard deviation 2.9), so that a threshold which misses one pair in a thousand is about
-19 bits, where the pigeonhole principle no longer sifts. So candidates come from min-hashes: ``BANDS``
+Search by SimHash: each set's 64-bit SimHash goes through the operator's search (``simhash.links``, the
+generalised pigeonhole with its hot buckets), which gives a spanning forest of the fingerprints within
+``TAU`` bits; nodes of one fingerprint are tied to the least of them. Each of these pairs is verified by the
+exact Jaccard of its sets, and what is near joins components before anything else is looked at.
+
+What lies further apart: at Jaccard 0.8 two SimHashes differ in 9.7 of 64 bits on average (standard
+deviation 2.9), so that a threshold which misses one pair in a thousand is about 19 bits, where the
+pigeonhole principle no longer sifts. So pairs that SimHash leaves apart come from min-hashes: ``BANDS``
 buckets of ``ROWS`` minima each, which a pair at Jaccard j shares none of with chance
-(1 - j ** ROWS) ** BANDS, about 5e-8 at 0.8 and less above. Each candidate pair that could join two
-components is verified by the exact Jaccard of its sets.
+(1 - j ** ROWS) ** BANDS, about 5e-8 at 0.8 and less above. A bucket of one component is passed over; each
+candidate pair that could join two components is verified by the exact Jaccard of its sets.
 
 Texts with the same set are one node. A bucket's sets meet in one task, which gives out a spanning
 forest of the near pairs (breadth first: a node that is reached is compared with those that are not),
@@ -37,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftmill.llm import bloom
+from siftmill.llm import bloom, simhash
 from siftmill.llm.components import connect
 from siftmill.llm.shared import Shelf, columns, quoted, small, unused, utf8_list
 from siftmill.llm.simhash import PRINT, one_of_each, shingles
@@ -45,6 +50,8 @@ from siftmill.llm.simhash import PRINT, one_of_each, shingles
 WORDS = 5
 #: The least Jaccard of near copies as a fraction.
 NEAR = (4, 5)
+#: Within how many bits SimHashes are searched. Two more find three times as many pairs, and file twice as many rows.
+TAU = 5
 BANDS, ROWS = 32, 4
 #: The greatest number of shingles, over all its sets, of a bucket that meets in one task, and into how many others a member of a greater one goes.
 MOST, DEALT = 1 << 19, BANDS // 2
@@ -83,8 +90,8 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return shared * NEAR[1] >= (len(a) + len(b) - shared) * NEAR[0]
 
 
-#: What is added to a row's columns: the name of its set, what tells sets of one name apart, its size and its buckets.
-ENDS = ("", "_other", "_size", "_buckets")
+#: What is added to a row's columns: the name of its set, what tells sets of one name apart, its size, SimHash and buckets.
+ENDS = ("", "_other", "_size", "_simhash", "_buckets")
 
 
 def _print(mark: str):
@@ -94,7 +101,8 @@ def _print(mark: str):
         for batch in small(batches):
             sets = [shingle_set(t) for t in utf8_list(columns(batch, "text")[0])]
             names, others = zip(*map(node, sets)) if sets else ((), ())
-            made = (pa.array(names, pa.int64()), pa.array(others, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([buckets(s) for s in sets], pa.list_(pa.int64())))
+            prints = np.array([simhash.fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
+            made = (pa.array(names, pa.int64()), pa.array(others, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.int64()), pa.array([buckets(s) for s in sets], pa.list_(pa.int64())))
             yield pa.record_batch([*batch.columns, *made], names=[*batch.schema.names, *(mark + end for end in ENDS)])
 
     return run
@@ -188,9 +196,9 @@ def _buckets_of(rows: DataFrame) -> DataFrame:
     """g, weight, least of the buckets that hold several components; of those with the same members one. rows: g, fp, size, root."""
     sums = rows.groupBy("g").agg(
         F.count("*").alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "fp")).alias("y"),
-        F.min(F.struct("fp", "size")).alias("least"), F.min("root").alias("low"), F.max("root").alias("high"),
+        F.min("fp").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"),
     )
-    return sums.filter("low <> high").groupBy("n", "weight", "x", "y").agg(F.min(F.struct("g", "least")).alias("one")).select("one.g", "weight", "one.least")
+    return sums.filter("low <> high").groupBy("n", "weight", "x", "y").agg(F.min("g").alias("g"), F.min("least").alias("least")).select("g", "weight", "least")
 
 
 def _sizes_fit(x: str, y: str) -> Column:
@@ -198,24 +206,39 @@ def _sizes_fit(x: str, y: str) -> Column:
     return (x * NEAR[1] >= y * NEAR[0]) & (y * NEAR[1] >= x * NEAR[0])
 
 
+def by_simhash(nodes: DataFrame, printed: DataFrame, shelf: Shelf) -> DataFrame:
+    """Near pairs (a, b) of nodes that the search of SimHashes within TAU bits finds. nodes: fp, size, print."""
+    least = shelf.put(nodes.groupBy("print").agg(F.min("fp").alias("fp"), F.count("*").alias("n")))
+    links = simhash.links(least.select(F.col("print").alias("fp")), TAU, shelf=shelf)
+    of = [least.select(F.col("print").alias(end), F.col("fp").alias("node_" + end)) for end in ("a", "b")]
+    across = links.distinct().join(of[0], "a").join(of[1], "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    within = nodes.select("print", F.col("fp").alias("b")).join(least.filter("n > 1").select("print", F.col("fp").alias("a")), "print").filter("a <> b").select("a", "b")
+    sizes = [nodes.select(F.col("fp").alias(end), F.col("size").alias("size_" + end)) for end in ("a", "b")]
+    fit = across.unionByName(within).join(sizes[0], "a").join(sizes[1], "b").filter(_sizes_fit("size_a", "size_b"))
+    return _verified(fit.select("a", "b"), printed, shelf)
+
+
 def components(printed: DataFrame, shelf: Shelf, most: int = MOST) -> DataFrame:
     """fp, root of every node that is near another and not its component's root."""
-    nodes = shelf.put(printed.groupBy(F.col(PRINT).alias("fp")).agg(F.first(PRINT + "_size").alias("size"), F.first(PRINT + "_buckets").alias("keys")))
-    filed = nodes.select("fp", "size", F.posexplode("keys").alias("band", "key"))
-    rows = filed.select(F.xxhash64("band", "key").alias("g"), "fp", "size", F.col("fp").alias("root"), "band", F.expr("shiftleft(1L, band)").alias("used"))
-    links, ready = None, []
+    own = [F.first(PRINT + end).alias(name) for end, name in (("_size", "size"), ("_simhash", "print"), ("_buckets", "keys"))]
+    nodes = shelf.put(printed.groupBy(F.col(PRINT).alias("fp")).agg(*own))
+    links = by_simhash(nodes.select("fp", "size", "print"), printed, shelf)
+    placed = nodes.join(connect(links, shelf).withColumnRenamed("node", "fp"), "fp", "left")
+    filed = placed.select("fp", "size", F.coalesce("root", "fp").alias("root"), F.posexplode("keys").alias("band", "key"))
+    rows = filed.select(F.xxhash64("band", "key").alias("g"), "fp", "size", "root", "band", F.expr("shiftleft(1L, band)").alias("used"))
+    ready = []
     while True:
         kinds = shelf.put(_buckets_of(rows))
         ready.append(rows.join(kinds.filter(F.col("weight") <= most).select("g"), "g", "left_semi").select("g", "fp", "root"))
         hot = kinds.filter(F.col("weight") > most)
         if not hot.limit(1).collect():
             break
-        members = shelf.put(rows.join(hot.select("g", "least"), "g"))
-        stars = members.filter((F.col("fp") != F.col("least.fp")) & _sizes_fit("size", "least.size")).select(F.col("least.fp").alias("a"), F.col("fp").alias("b"))
-        near_ = _verified(stars, printed, shelf)
-        links = near_ if links is None else links.unionByName(near_)
+        hot = hot.join(nodes.select(F.col("fp").alias("least"), F.col("size").alias("least_size")), "least").select("g", "least", "least_size")
+        members = shelf.put(rows.join(hot, "g"))
+        stars = members.filter((F.col("fp") != F.col("least")) & _sizes_fit("size", "least_size")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+        links = links.unionByName(_verified(stars, printed, shelf))
         roots = connect(links, shelf)
-        placed = members.drop("root", "least").join(roots, members["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+        placed = members.drop("root", "least", "least_size").join(roots, members["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
         apart = placed.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("g")
         onward = F.expr(f"slice(filter(transform(sequence(1, {BANDS - 1}), i -> (band + i) % {BANDS}), b -> shiftrightunsigned(used, b) % 2 = 0), 1, {DEALT})")
         dealt = placed.join(apart, "g", "left_semi").join(nodes.select("fp", "keys"), "fp").select("g", "fp", "size", "root", "used", "keys", F.explode(onward).alias("next"))
@@ -224,7 +247,7 @@ def components(printed: DataFrame, shelf: Shelf, most: int = MOST) -> DataFrame:
     sets = _sets_of(met.select("fp"), printed, shelf)
     ordered = met.join(sets, "fp").repartition("g").sortWithinPartitions("g", "root", "fp")
     found = shelf.put(ordered.mapInArrow(_forests, "a long, b long"))
-    return connect(found if links is None else found.unionByName(links), shelf).withColumnRenamed("node", "fp")
+    return connect(found.unionByName(links), shelf).withColumnRenamed("node", "fp")
 
 
 def told_apart(printed: DataFrame, mark: str, shelf: Shelf) -> DataFrame:
@@ -242,9 +265,9 @@ def told_apart(printed: DataFrame, mark: str, shelf: Shelf) -> DataFrame:
 def keep_one(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The rows of ``docs`` (all columns) without near copies: one row of each component stays, as ``simhash.one_of_each`` says."""
     shelf, mark = Shelf(docs.sparkSession, "nearcopies"), unused(docs.columns, PRINT)
-    more = [*(T.StructField(mark + end, T.LongType()) for end in ENDS[:3]), T.StructField(mark + ENDS[3], T.ArrayType(T.LongType()))]
+    more = [*(T.StructField(mark + end, T.LongType()) for end in ENDS[:-1]), T.StructField(mark + ENDS[-1], T.ArrayType(T.LongType()))]
     printed = told_apart(shelf.put(docs.mapInArrow(_print(mark), T.StructType([*docs.schema.fields, *more]))), mark, shelf)
-    own = printed.select("doc_id", "text", F.col(mark).alias(PRINT), F.col(mark + "_size").alias(PRINT + "_size"), F.col(mark + "_buckets").alias(PRINT + "_buckets"))
+    own = printed.select("doc_id", "text", *(F.col(mark + end).alias(PRINT + end) for end in ENDS if end != "_other"))
     roots = components(own, shelf, most)
     rows = own.select("doc_id", F.col(PRINT).alias("fp")).join(roots, "fp", "left")
     groups = rows.select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))

@@ -62,7 +62,11 @@ def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
     """The unsigned fingerprint of a UTF-8 text."""
-    hashes = shingles(text, words)
+    return fingerprint_of(shingles(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of shingles."""
     if not len(hashes):
         return 0
     counts = np.zeros(64, np.int64)

@@ -9,7 +9,7 @@ from helpers import ODD, docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftmill.llm import nearcopies
+from siftmill.llm import nearcopies, simhash
 
 
 def plain_set(text):
@@ -115,6 +115,25 @@ def test_a_pair_that_shares_two_buckets_meets_again():
     assert all(a in onward[b] or b in onward[a] for a in range(n) for b in range(a))
 
 
+def test_simhash_alone_joins_what_is_within_its_bits(spark):
+    """Without a single min-hash bucket the SimHash search still joins near copies of few bits, and nothing that is not near."""
+    rng = random.Random(3)
+    rows = [(10 * k + i, " ".join(w)) for k in range(30) for base in [[f"k{k}w{n}" for n in range(600)]] for i, w in enumerate((base, base, edited(rng, base, 1), edited(rng, base, 60)))]
+    sets = {i: nearcopies.shingle_set(t.encode()) for i, t in rows}
+    names, prints = {i: nearcopies.node(s)[0] for i, s in sets.items()}, {i: simhash.fingerprint_of(s) for i, s in sets.items()}
+    mark = nearcopies.PRINT
+    made = [(i, t, names[i], len(sets[i]), prints[i] - (prints[i] >> 63 << 64), []) for i, t in rows]
+    frame = spark.createDataFrame(made, f"doc_id long, text string, {mark} long, {mark}_size long, {mark}_simhash long, {mark}_buckets array<long>")
+    shelf = nearcopies.Shelf(spark, "simhash-alone")
+    nodes = frame.select(nearcopies.F.col(mark).alias("fp"), nearcopies.F.col(mark + "_size").alias("size"), nearcopies.F.col(mark + "_simhash").alias("print")).distinct()
+    links = {frozenset((r["a"], r["b"])) for r in nearcopies.by_simhash(nodes, frame, shelf).collect()}
+    within = {k for k in range(30) if (prints[10 * k] ^ prints[10 * k + 2]).bit_count() <= nearcopies.TAU}
+    assert len(within) > 10
+    assert links == {frozenset((names[10 * k], names[10 * k + 2])) for k in within}
+    roots = {r["fp"] for r in nearcopies.components(frame, shelf).collect()}
+    assert roots == {max(names[10 * k], names[10 * k + 2]) for k in within}
+
+
 def test_odd_rows(spark):
     rows = [*ODD, (None, "quite another text without an id here")]
     made = nearcopies.keep_one(docs(spark, rows))
