@@ -134,6 +134,14 @@ def test_simhash_alone_joins_what_is_within_its_bits(spark):
     assert roots == {max(names[10 * k], names[10 * k + 2]) for k in within}
 
 
+def test_sums_of_buckets_are_not_sorted(spark):
+    """A sort of all filed rows takes pages of an executor's memory for each task."""
+    rows = spark.createDataFrame([(1, 2, 3, 2), (1, 4, 3, 4), (5, 2, 3, 2), (5, 4, 3, 4), (6, 2, 3, 2)], "g long, fp long, size long, root long")
+    made = nearcopies._buckets_of(rows)
+    assert [tuple(r) for r in made.collect()] == [(1, 6, 2)]
+    assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_odd_rows(spark):
     rows = [*ODD, (None, "quite another text without an id here")]
     made = nearcopies.keep_one(docs(spark, rows))
