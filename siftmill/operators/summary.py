@@ -64,11 +64,20 @@ def page_borderline(tests: DataFrame) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("paper_id", "page").orderBy("distance", "seq"))).filter(F.col("rank") <= fixed.PAGE_EXAMPLES)
 
 
+def _good_box() -> Column:
+    box = F.col("coef_cell_bbox")
+    return (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull() & ~F.isnan(x))
+
+
 def table_tops(tests: DataFrame) -> DataFrame:
     """paper_id, page, table_index, top: the least upper edge of a table's coefficient cells."""
-    box = F.col("coef_cell_bbox")
-    good = (F.size(box) == 4) & F.forall(box, lambda x: x.isNotNull() & ~F.isnan(x))
-    return tests.filter(good & F.col("page").isNotNull() & F.col("table_index").isNotNull()).groupBy("paper_id", "page", "table_index").agg(F.min(box[1]).alias("top"))
+    return tests.filter(_good_box() & F.col("page").isNotNull() & F.col("table_index").isNotNull()).groupBy("paper_id", "page", "table_index").agg(F.min(F.col("coef_cell_bbox")[1]).alias("top"))
+
+
+def with_table_tops(tests: DataFrame) -> DataFrame:
+    """Tests with ``top``, as a left join with ``table_tops`` gives it, in one pass over the tests; cells dealt by table are not moved again."""
+    known = F.col("paper_id").isNotNull() & F.col("page").isNotNull() & F.col("table_index").isNotNull()
+    return tests.withColumn("top", F.min(F.when(_good_box() & known, F.col("coef_cell_bbox")[1])).over(Window.partitionBy("paper_id", "page", "table_index")))
 
 
 def with_tables(tests: DataFrame, captions: DataFrame) -> DataFrame:

@@ -31,11 +31,18 @@ def pairs(cells: DataFrame) -> DataFrame:
     cell = cell.withColumn("next_cell", F.when(follows, F.lead("cell").over(below))).withColumn("next_bbox", F.when(follows, F.lead("cell_bbox").over(below)))
     # the cheap test goes first: the others need not run on words
     numeric = cell.filter(tokens.numeric_ratio(F.col("cell")) >= 0.60).filter(~tokens.citation_like(F.col("cell")))
-    numeric = numeric.withColumn("coefficient", tokens.first_coefficient(F.col("cell"))).filter("coefficient IS NOT NULL")
-    numeric = numeric.withColumn("own", tokens.first_paren(F.col("cell"))).withColumn("other", F.when(F.col("own").isNull() & tokens.usable(F.col("next_cell")), tokens.first_paren(F.col("next_cell"))))
+
+    # a filter on a column would be pushed below it and read the cell again, so what is found comes as a list of none or one
+    def beside(coefficient: Column) -> Column:
+        def joined(own: Column) -> Column:
+            other = F.when(own.isNull() & tokens.usable(F.col("next_cell")), tokens.first_paren(F.col("next_cell")))
+            return tokens.let(F.coalesce(own, other), lambda paren: F.when(paren.isNotNull() & (paren != 0), F.array(F.struct(coefficient.alias("coefficient"), own.alias("own"), paren.alias("paren")))))
+
+        return F.when(coefficient.isNotNull(), tokens.let(tokens.first_paren(F.col("cell")), joined))
+
+    found = numeric.select("*", F.inline(tokens.let(tokens.first_coefficient(F.col("cell")), beside)))
     # a cell below that was looked at is the one that is quoted, also where it gave nothing
     in_next = F.col("own").isNull()
-    found = numeric.withColumn("paren", F.coalesce("own", "other")).filter("paren IS NOT NULL AND paren <> 0")
     return found.select(
         *PAIR_KEY, "table_bbox",
         F.col("coefficient.raw").alias("coef_raw"), F.col("coefficient.value").alias("coef"), "paren",

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from siftmill.operators import artifacts, layout
+from siftmill.operators import artifacts, layout, summary
 
 LINES = "paper_id string, page int, text string, x0 double, y0 double, x1 double, y1 double, line_no int"
 CELLS = "paper_id string, page int, cell_id int, table_bbox array<double>, cell_bbox array<double>, top double"
@@ -97,3 +97,13 @@ def test_mentions_by_an_index_of_names(spark):
             if p == paper and around(t, name):
                 want.setdefault((paper, name), []).extend((page, s) for s in around(t, name))
     assert got == want and ("a", "Table 9") not in got
+
+
+def test_tops_by_window_are_those_of_the_join(spark):
+    boxes = ([0.0, 9.0, 1.0, 2.0], [0.0, 4.0, 1.0, 2.0], [0.0, float("nan"), 1.0, 2.0], [0.0, 1.0], None)
+    rows = [(paper, page, table, k, box) for paper in ("a", None) for page in (1, None) for table in (0, 1, None) for k, box in enumerate(boxes[table or 0 :])]
+    frame = spark.createDataFrame(rows, "paper_id string, page int, table_index int, k int, coef_cell_bbox array<double>")
+    got = summary.with_table_tops(frame).select("paper_id", "page", "table_index", "k", "top")
+    want = frame.join(summary.table_tops(frame), ["paper_id", "page", "table_index"], "left").select("paper_id", "page", "table_index", "k", "top")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.filter("top = 4").count() == 9  # both tables of the one page that has a place

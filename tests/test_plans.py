@@ -1,7 +1,7 @@
 """What the plans must look like for large inputs."""
 
 from siftmill.operators import corpus, summary, tests
-from siftmill.plans import fixtures
+from siftmill.plans import catalog, fixtures
 
 
 def plan(frame):
@@ -23,3 +23,9 @@ def test_counts_need_no_python_and_two_columns_more_than_the_key(spark, sf):
 
 def test_top_k_is_limited_before_the_shuffle(spark, sf):
     assert "WindowGroupLimit" in plan(summary.page_borderline(fixtures.tests(spark, sf)))
+
+
+def test_tops_of_tables_take_one_pass_over_the_cells(spark, sf):
+    shown = plan(catalog.QUERIES["jn12_pairs_with_table_tops"](spark, sf))
+    assert "Join" not in shown and shown.count("FileScan") == 2  # the fixture's upper and lower cells
+    assert shown.count("Exchange hashpartitioning(paper_id") == 1
