@@ -292,8 +292,15 @@ def row_pairs(rows: DataFrame, most: int = 8) -> DataFrame:
     rows: paper_id, page, table_index, row_index, row_text.
     """
     below = Window.partitionBy("paper_id", "page", "table_index").orderBy("row_index")
-    both = rows.withColumn("values", tokens.numeric_tokens(tokens.normal_cell(F.col("row_text")))).withColumn("errors", F.lead(tokens.paren_tokens(tokens.normal_cell(F.col("row_text")))).over(below))
-    both = both.filter("size(values) >= 2 AND size(errors) >= 2").withColumn("k", F.least(F.size("values"), F.size("errors"), F.lit(most)))
-    zipped = F.arrays_zip(F.slice("values", F.lit(1), F.col("k")).alias("value"), F.slice("errors", F.lit(1), F.col("k")).alias("se"))
-    out = both.select("paper_id", "page", "table_index", "row_index", F.inline(zipped)).filter("se <> 0")
+    # texts are sorted, not tokens, and each is read once: a filter on tokens would be pushed below them and read it again
+    both = rows.select("paper_id", "page", "table_index", "row_index", tokens.normal_cell(F.col("row_text")).alias("text")).withColumn("next_text", F.lead("text").over(below))
+
+    def against(values: Column) -> Column:
+        def zipped(errors: Column) -> Column:
+            k = F.least(F.size(values), F.size(errors), F.lit(most))
+            return F.when(F.size(errors) >= 2, F.arrays_zip(F.slice(values, F.lit(1), k).alias("value"), F.slice(errors, F.lit(1), k).alias("se")))
+
+        return F.when(F.size(values) >= 2, tokens.let(tokens.paren_tokens(F.col("next_text")), zipped))
+
+    out = both.select("paper_id", "page", "table_index", "row_index", F.inline(tokens.let(tokens.numeric_tokens(F.col("text")), against))).filter("se <> 0")
     return out.select("paper_id", "page", "table_index", "row_index", F.col("value.raw").alias("coef_raw"), F.col("value.value").alias("coef"), "se", (F.col("value.value") / F.col("se")).alias("t"), F.col("value.stars").alias("stars"))

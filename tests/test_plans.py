@@ -29,3 +29,9 @@ def test_tops_of_tables_take_one_pass_over_the_cells(spark, sf):
     shown = plan(catalog.QUERIES["jn12_pairs_with_table_tops"](spark, sf))
     assert "Join" not in shown and shown.count("FileScan") == 2  # the fixture's upper and lower cells
     assert shown.count("Exchange hashpartitioning(paper_id") == 1
+
+
+def test_row_pairs_read_their_rows_once(spark, sf):
+    shown = plan(catalog.QUERIES["agg25_row_pairs"](spark, sf))
+    assert shown.count("FileScan") == 1 and shown.count("Exchange hashpartitioning(paper_id") == 1
+    assert shown.split("Window [lead")[0].count("regexp_extract_all(text") == 1
